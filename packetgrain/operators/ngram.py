@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetgrain.operators.scoring import score_with
 from packetgrain.session import MODEL_ROWS, limit
 
 ALPHA = 0.1
@@ -250,10 +251,150 @@ def context_entropy(model: DataFrame, alpha: float = ALPHA) -> DataFrame:
     denominator = F.col("total") + 256 * alpha
     p = (F.col("n") + alpha) / denominator
     per = joined.groupBy("ctx").agg(
-        F.sum(-p * F.log2(p)).alias("seen"),
+        F.sum(-p * F.log2(p + 1e-9)).alias("seen"),
         F.count(F.lit(1)).alias("kinds"),
         F.max(F.lit(alpha) / denominator).alias("rest"),
     )
     return per.select(
-        "ctx", (F.col("seen") - (256 - F.col("kinds")) * F.col("rest") * F.log2("rest")).alias("entropy")
+        "ctx", (F.col("seen") - (256 - F.col("kinds")) * F.col("rest") * F.log2(F.col("rest") + 1e-9)).alias("entropy")
+    )
+
+
+def spikes(
+    windows: DataFrame,
+    model: DataFrame,
+    keys: list[str],
+    threshold: float = 5.0,
+    order: int = 3,
+    alpha: float = ALPHA,
+    data: str = "bytes",
+) -> DataFrame:
+    """Per position, whether the next byte's entropy after it exceeds the threshold.
+
+    Positions without a full context do not spike; a context the model never saw is
+    uniform and has 8 bits.
+    """
+    table = context_entropy(model, alpha).select("ctx", (F.col("entropy") > threshold).alias("high"))
+    bound = limit(windows.sparkSession, MODEL_ROWS)
+    got = table.limit(bound + 1).toPandas()
+    if len(got) > bound:
+        return _spikes_joined(windows, table, keys, threshold, order, data)
+    got = got.sort_values("ctx")
+    shared = windows.sparkSession.sparkContext.broadcast(
+        (got["ctx"].to_numpy(np.int64), got["high"].to_numpy(bool))
+    )
+    schema = T.StructType(
+        [windows.schema[k] for k in keys] + [T.StructField("spikes", T.ArrayType(T.BooleanType()))]
+    )
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, high = shared.value
+        for pdf in batches:
+            buffers = list(pdf[data])
+            ctx, rows, pos = _codes(buffers, order - 1)
+            flag = np.full(len(ctx), 8.0 > threshold)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
+                flag = np.where(known[at] == ctx, high[at], flag)
+            lengths = [len(b) for b in buffers]
+            grid = np.zeros((len(buffers), max(lengths, default=1)), bool)
+            grid[rows, pos] = flag
+            yield pdf[keys].assign(spikes=[grid[i, :n] for i, n in enumerate(lengths)])
+
+    return windows.mapInPandas(mark, schema)
+
+
+def _spikes_joined(
+    windows: DataFrame, table: DataFrame, keys: list[str], threshold: float, order: int, data: str
+) -> DataFrame:
+    """The same marks for a model of any size, by a salted join per position."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
+    positions = _positions(windows, keys, order - 1, data).withColumnRenamed("code", "ctx")
+    joined = positions.join(table.select("ctx", "high", salts), ["ctx", "_salt"], "left")
+    flag = F.coalesce("high", F.lit(8.0 > threshold))
+    marked = joined.groupBy(*keys).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", flag.alias("f")))), lambda x: x["f"]
+        ).alias("_m")
+    )
+    early = F.array_repeat(F.lit(False), F.least(F.length(data), F.lit(order - 1)))
+    return windows.join(marked, keys, "left").select(
+        *keys, F.concat(early, F.coalesce("_m", F.array().cast("array<boolean>"))).alias("spikes")
+    )
+
+
+def position_bits(
+    windows: DataFrame, model: DataFrame, keys: list[str], order: int = 3, alpha: float = ALPHA, data: str = "bytes"
+) -> DataFrame:
+    """Bits per (keys, distinct code) with the number of positions.
+
+    Codes are counted per key before the join, so a frequent code is a single row there.
+    """
+    kept = [windows.schema[k] for k in keys]
+    schema = T.StructType(kept + [T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            code, rows, _ = _codes(list(pdf[data]), order)
+            head = pdf[keys].iloc[rows].reset_index(drop=True)
+            yield head.assign(code=code, n=1).groupby([*keys, "code"], dropna=False, as_index=False)["n"].sum()
+
+    counted = windows.select(*keys, data).mapInPandas(count, schema)
+    counted = counted.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
+    table = surprise_table(model, alpha)
+    contexts = table.select("ctx", "unseen_bits").distinct()
+    joined = (
+        counted.withColumn("ctx", F.shiftright("code", 8))
+        .join(table.select("code", "bits"), "code", "left")
+        .join(contexts, "ctx", "left")
+    )
+    return joined.select(*keys, "code", "n", F.coalesce("bits", "unseen_bits", F.lit(8.0)).alias("bits"))
+
+
+def bits_arrays(
+    windows: DataFrame, model: DataFrame, keys: list[str], order: int = 3, alpha: float = ALPHA, data: str = "bytes"
+) -> DataFrame:
+    """Bits of every predicted byte of a window as an array, in byte order."""
+    found = lookup(model, alpha)
+    plain = windows.select(*keys, data)
+    if found is not None:
+        shared = windows.sparkSession.sparkContext.broadcast(found)
+
+        def scorer(buffers: list[bytes]) -> list[np.ndarray]:
+            code, rows, _ = _codes(buffers, order)
+            ends = np.bincount(rows, minlength=len(buffers)).cumsum()
+            return np.split(shared.value(code), ends[:-1])
+
+        return score_with(plain, scorer, data).drop(data)
+    table = surprise_table(model, alpha)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
+    contexts = table.select("ctx", "unseen_bits").distinct().select("ctx", "unseen_bits", salts)
+    joined = (
+        _positions(plain, keys, order, data)
+        .withColumn("ctx", F.shiftright("code", 8))
+        .join(table.select("code", "bits", salts), ["code", "_salt"], "left")
+        .join(contexts, ["ctx", "_salt"], "left")
+    )
+    bits = F.coalesce("bits", "unseen_bits", F.lit(8.0)).alias("b")
+    # A group is one window, so it holds at most the window's width.
+    return joined.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", bits))), lambda x: x["b"]).alias("bits")
+    )
+
+
+def _positions(windows: DataFrame, keys: list[str], order: int, data: str) -> DataFrame:
+    """One row per position with a full context: keys, pos, code and a salt by window."""
+    schema = T.StructType(
+        [windows.schema[k] for k in keys]
+        + [T.StructField("pos", T.IntegerType()), T.StructField("code", T.LongType())]
+    )
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            code, rows, pos = _codes(list(pdf[data]), order)
+            head = pdf[keys].iloc[rows].reset_index(drop=True)
+            yield head.assign(pos=pos.astype(np.int32), code=code)
+
+    return windows.select(*keys, data).mapInPandas(explode, schema).withColumn(
+        "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))
     )
