@@ -97,25 +97,27 @@ def typicality(scores: DataFrame, calibration: Column, score: str = "score") ->
     ).drop("_one", "_mean")
 
 
-def patch_lengths(spikes: Column, limit: int = MAX_PATCH) -> Column:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def patch_lengths(spikes: pd.Series) -> pd.Series:
     """Lengths of patches that end after a spike or at the size limit.
 
-    ``spikes`` is a window's array of booleans, so the fold is bounded by the window.
+    A stretch between spikes is full patches and what is left of it.
     """
-    state = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("done"))
-
-    def step(acc, spike):
-        size = acc["open"] + 1
-        cut = F.coalesce(spike, F.lit(False)) | (size >= limit)
-        return F.struct(
-            F.when(cut, 0).otherwise(size).alias("open"),
-            F.when(cut, F.concat(acc["done"], F.array(size))).otherwise(acc["done"]).alias("done"),
-        )
-
-    return F.aggregate(
-        spikes, state, step,
-        lambda acc: F.when(acc["open"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]),
-    )
+
+    def one(flags):
+        if flags is None:
+            return None
+        ends = np.flatnonzero(np.asarray(flags, bool)) + 1
+        edges = np.unique(np.concatenate([[0], ends, [len(flags)]]))
+        stretch = np.diff(edges)
+        full, rest = stretch // MAX_PATCH, stretch % MAX_PATCH
+        pieces = full + (rest > 0)
+        out = np.full(int(pieces.sum()), MAX_PATCH, np.int32)
+        last = pieces.cumsum() - 1
+        out[last[rest > 0]] = rest[rest > 0]
+        return out
+
+    return spikes.map(one)
 
 
 def patch_statistics(lengths: Column) -> Column:
