@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetgrain.operators.ordering import running
+from packetgrain.session import small
 
 INCIDENT_GAP_US = 60_000_000
 CAPTURE_GAP_US = 300_000_000
@@ -70,7 +71,6 @@ def incidents(
     return numbered.groupBy(*keys, "incident").agg(
         F.min("_lo").alias("first_us"), F.max("_hi").alias("last_us"),
         F.sum("_n").alias("raw_alerts"),
-        # A negative first score counts as given; a missing one as 0.
         F.max("_peak").alias("peak_score"),
         *[F.min_by(f"_open_{c}", "_cell").alias(c) for c in opening],
     )
@@ -115,7 +115,7 @@ def context_packets(alerts: DataFrame, packets: DataFrame, keys: list[str], span
     """Packets of the same sensor in the span before each alert, alert included.
 
     Joined on time cells of the span's length: an alert looks into its own cell and the
-    one before.
+    one before. ``alerts`` are incident openings, so a packet is near few of them.
     """
     cell = F.floor(F.col("ts_us") / span_us)
     asked = alerts.select(
@@ -123,7 +123,8 @@ def context_packets(alerts: DataFrame, packets: DataFrame, keys: list[str], span
         F.explode(F.array(cell - 1, cell)).alias("_cell"),
     )
     placed = packets.withColumn("_cell", cell)
-    return placed.join(asked, [*keys, "_cell"]).where(
+    side = F.broadcast(asked) if small(asked) else asked
+    return placed.join(side, [*keys, "_cell"]).where(
         (F.col("ts_us") <= F.col("_at")) & (F.col("ts_us") >= F.col("_at") - span_us)
     ).drop("_cell", "_at")
 

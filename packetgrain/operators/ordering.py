@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from packetgrain.session import HOT_ROWS, limit, small
 
 MAX_CELLS = 10_000
-CELL = "_cell"
-_HOT = "_hot"
+CELL = "_order_cell"
+_HOT = "_order_hot"
 
 
 @dataclass
@@ -41,7 +41,7 @@ def _search(df: DataFrame, source: str, target: str, bounds: list[float]) -> Dat
 
 
 def cells(df: DataFrame, keys: list[str], order: list[Column], rows: int | None = None) -> Cells:
-    """Add the ``_cell`` column; ``order`` is ascending and numeric, unique per key.
+    """Add the ``_order_cell`` column; ``order`` is ascending and numeric, unique per key.
 
     ``order[0]`` decides the cells. A value of ``order[0]`` shared by so many rows
     that it fills a cell alone gets a cell of its own, cut further by ``order[1]``.
@@ -62,25 +62,25 @@ def cells(df: DataFrame, keys: list[str], order: list[Column], rows: int | None
         flagged = df.join(F.broadcast(hot), keys, "left")
     else:
         flagged = df.withColumn(_HOT, F.lit(True))
-    d = flagged.withColumn("_o1", order[0].cast("double"))
+    d = flagged.withColumn("_order_1", order[0].cast("double"))
     second = order[1] if len(order) > 1 else F.lit(0)
-    d = d.withColumn("_o2", second.cast("double"))
+    d = d.withColumn("_order_2", second.cast("double"))
     hot_part = d.where(F.col(_HOT))
     n = min(MAX_CELLS, max(2, math.ceil(2 * hot_rows / bound)))
     probs = [i / n for i in range(1, n)]
-    cuts = hot_part.stat.approxQuantile("_o1", probs, 1.0 / (4 * n))
+    cuts = hot_part.stat.approxQuantile("_order_1", probs, 1.0 / (4 * n))
     heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     first = sorted(set(cuts) | {v for h in heavy for v in (h, math.nextafter(h, math.inf))})
-    d = _search(d, "_o1", "_c1", first)
-    cell = F.col("_c1").cast("long")
+    d = _search(d, "_order_1", "_order_c1", first)
+    cell = F.col("_order_c1").cast("long")
     if heavy:
-        tied = hot_part.where(F.col("_o1").isin(heavy))
-        ties = sorted(set(tied.stat.approxQuantile("_o2", probs, 1.0 / (4 * n))))
-        d = _search(d, "_o2", "_c2", ties)
-        inner = F.when(F.col("_o1").isin(heavy), F.col("_c2").cast("long")).otherwise(F.lit(0))
+        tied = hot_part.where(F.col("_order_1").isin(heavy))
+        ties = sorted(set(tied.stat.approxQuantile("_order_2", probs, 1.0 / (4 * n))))
+        d = _search(d, "_order_2", "_order_c2", ties)
+        inner = F.when(F.col("_order_1").isin(heavy), F.col("_order_c2").cast("long")).otherwise(F.lit(0))
         cell = cell * (len(ties) + 2) + inner
     d = d.withColumn(CELL, F.when(F.col(_HOT), cell).otherwise(F.lit(0)).cast("long"))
-    return Cells(d.drop("_o1", "_o2", "_c1", "_c2", _HOT), True)
+    return Cells(d.drop("_order_1", "_order_2", "_order_c1", "_order_c2", _HOT), True)
 
 
 _AGGREGATE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}

@@ -121,7 +121,10 @@ def patch_lengths(spikes: pd.Series) -> pd.Series:
 
 
 def patch_statistics(lengths: Column) -> Column:
-    """Count, mean, extremes and cumulative boundaries of a window's patches."""
+    """Count, mean, extremes and cumulative boundaries of a window's patches.
+
+    ``lengths`` must be a plain column, as the result reads it several times.
+    """
     total = F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
     ends = F.transform(
         F.sequence(F.lit(1), F.size(lengths)),

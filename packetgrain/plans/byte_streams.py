@@ -113,8 +113,8 @@ def complexity_scores(spark: SparkSession, folder: str) -> DataFrame:
 def patch_segments(spark: SparkSession, folder: str) -> DataFrame:
     cut = _windows(spark, folder)
     marked = ngram.spikes(cut.select(*KEYS, "bytes"), _model(cut), KEYS, 5.0, ORDER)
-    stats = scoring.patch_statistics(scoring.patch_lengths(F.col("spikes")))
-    return marked.select(*KEYS, stats.alias("s")).select(
+    cut_at = marked.select(*KEYS, scoring.patch_lengths("spikes").alias("lengths"))
+    return cut_at.select(*KEYS, scoring.patch_statistics(F.col("lengths")).alias("s")).select(
         *KEYS, F.col("s.patches").cast("long").alias("patches"), F.round("s.mean_len", 6).alias("mean_len"),
         F.col("s.min_len").cast("long").alias("min_len"), F.col("s.max_len").cast("long").alias("max_len"),
     )
