@@ -22,16 +22,35 @@ def any_syn(flags: Column) -> Column:
     return flags.bitwiseAND(SYN) != 0
 
 
-def ipv6_text(data: str, start: Column) -> Column:
-    """RFC 5952 text: lower case, no leading zeros, the first longest zero run shortened."""
-    groups = F.array(*[F.lower(F.conv(F.hex(cut_bytes(data, start + 2 * i, 2)), 16, 16)) for i in range(8)])
-    plain = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-    out = None
-    for run in range(8, 1, -1):
+def _stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row.
+
+    Later expressions read them many times; without the stage the optimiser would paste
+    each definition into every use and into pushed-down filters.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _ipv6_groups(data: str, start: Column) -> Column:
+    """All eight groups without leading zeros, as ``:a:b:…:h:``."""
+    text = F.lower(F.hex(cut_bytes(data, start, 16)))
+    groups = F.transform(
+        F.sequence(F.lit(1), F.lit(29), F.lit(4)),
+        lambda i: F.regexp_replace(F.substring(text, i, F.lit(4)), "^0{1,3}", ""),
+    )
+    return F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+
+
+def _ipv6_text(groups: Column) -> Column:
+    """RFC 5952 text: the first longest run of two or more zero groups is shortened."""
+    out = F.regexp_replace(groups, "^:|:$", "")
+    for run in range(2, 9):
         zero = ":" + "0:" * run
-        short = F.regexp_replace(F.regexp_replace(plain, f"^(.*?){zero}", "$1::"), "^:(?!:)|(?<!:):$", "")
-        out = F.when(plain.contains(zero), short) if out is None else out.when(plain.contains(zero), short)
-    return out.otherwise(F.regexp_replace(plain, "^:|:$", ""))
+        at = F.instr(groups, zero)
+        before = F.regexp_replace(F.substring(groups, F.lit(1), at - 1), "^:", "")
+        after = F.regexp_replace(F.substring(groups, at + len(zero), F.length(groups)), ":$", "")
+        out = F.when(at > 0, F.concat(before, F.lit("::"), after)).otherwise(out)
+    return out
 
 
 def parse(packets: DataFrame, data: str = "data") -> DataFrame:
@@ -39,41 +58,49 @@ def parse(packets: DataFrame, data: str = "data") -> DataFrame:
 
     One VLAN tag, IPv4 with options, IPv6. TCP needs 14 bytes of its header, UDP four.
     """
-    n = F.length(data)
-    base = packets.withColumn("_e0", unsigned(data, 12, 2))
-    tagged = F.col("_e0") == 0x8100
-    base = base.withColumn("_type", F.when(tagged, unsigned(data, 16, 2)).otherwise(F.col("_e0")))
-    base = base.withColumn("_l3", F.when(tagged, 18).otherwise(14))
-    head = F.when(F.col("_type") == 0x0800, unsigned(data, F.col("_l3")).bitwiseAND(15) * 4)
-    base = base.withColumn("_ihl", head)
-    v4 = (F.col("_type") == 0x0800) & (n >= F.col("_l3") + 20) & (F.col("_ihl") >= 20) & (n >= F.col("_l3") + F.col("_ihl"))
-    v6 = (F.col("_type") == 0x86DD) & (n >= F.col("_l3") + 40)
-    base = base.withColumn("_v", F.when(v4, 4).when(v6, 6))
-    v = F.col("_v")
-    base = base.withColumn(
-        "_p", F.when(v == 4, unsigned(data, F.col("_l3") + 9)).when(v == 6, unsigned(data, F.col("_l3") + 6))
-    ).withColumn("_l4", F.when(v == 4, F.col("_l3") + F.col("_ihl")).when(v == 6, F.col("_l3") + 40))
-    tcp, udp = F.col("_p") == 6, F.col("_p") == 17
-    ok = v.isNotNull() & F.when(tcp, n >= F.col("_l4") + 14).when(udp, n >= F.col("_l4") + 4).otherwise(True)
-    base = base.withColumn("_ok", ok)
-
-    def when_ok(value: Column) -> Column:
-        return F.when(F.col("_ok"), value)
+    n, c = F.length(data), F.col
+    df = _stage(packets, _e0=unsigned(data, 12, 2))
+    tagged = c("_e0") == 0x8100
+    df = _stage(
+        df,
+        _type=F.when(tagged, unsigned(data, 16, 2)).otherwise(c("_e0")),
+        _l3=F.when(tagged, 18).otherwise(14),
+    )
+    df = _stage(df, _ihl=F.when(c("_type") == 0x0800, unsigned(data, c("_l3")).bitwiseAND(15) * 4).cast("int"))
+    v4 = (c("_type") == 0x0800) & (n >= c("_l3") + 20) & (c("_ihl") >= 20) & (n >= c("_l3") + c("_ihl"))
+    v6 = (c("_type") == 0x86DD) & (n >= c("_l3") + 40)
+    df = _stage(df, _v=F.when(v4, 4).when(v6, 6))
+    four, six = c("_v") == 4, c("_v") == 6
+    df = _stage(
+        df,
+        _p=F.when(four, unsigned(data, c("_l3") + 9)).when(six, unsigned(data, c("_l3") + 6)),
+        _l4=F.when(four, c("_l3") + c("_ihl")).when(six, c("_l3") + 40),
+    )
+    tcp, udp = c("_p") == 6, c("_p") == 17
+    fits = F.when(tcp, n >= c("_l4") + 14).when(udp, n >= c("_l4") + 4).otherwise(True)
+    df = _stage(
+        df,
+        _ok=c("_v").isNotNull() & fits,
+        _s6=F.when(six, _ipv6_groups(data, c("_l3") + 8)),
+        _d6=F.when(six, _ipv6_groups(data, c("_l3") + 24)),
+    )
+
+    def text(groups: str, at: int) -> Column:
+        return F.when(c("_ok") & four, dotted_quad(data, c("_l3") + at)).when(c("_ok"), _ipv6_text(c(groups)))
 
     def port(at: int) -> Column:
-        return when_ok(F.when(tcp | udp, unsigned(data, F.col("_l4") + at, 2)).otherwise(0)).cast("int")
-
-    flags = when_ok(F.when(tcp, unsigned(data, F.col("_l4") + 13)).otherwise(0)).cast("int")
-    src = F.when(v == 4, dotted_quad(data, F.col("_l3") + 12)).otherwise(ipv6_text(data, F.col("_l3") + 8))
-    dst = F.when(v == 4, dotted_quad(data, F.col("_l3") + 16)).otherwise(ipv6_text(data, F.col("_l3") + 24))
-    out = base.select(
-        *packets.columns,
-        when_ok(src).alias("src"), port(0).alias("sport"),
-        when_ok(dst).alias("dst"), port(2).alias("dport"),
-        when_ok(F.when(tcp, "TCP").when(udp, "UDP").otherwise("other")).alias("proto"),
-        flags.alias("flags"),
+        return F.when(c("_ok"), F.when(tcp | udp, unsigned(data, c("_l4") + at, 2)).otherwise(0)).cast("int")
+
+    flags = F.when(c("_ok"), F.when(tcp, unsigned(data, c("_l4") + 13)).otherwise(0)).cast("int")
+    out = _stage(
+        df,
+        src=text("_s6", 12), sport=port(0), dst=text("_d6", 16), dport=port(2),
+        proto=F.when(c("_ok"), F.when(tcp, "TCP").when(udp, "UDP").otherwise("other")),
+        flags=flags,
+    )
+    return out.select(*packets.columns, "src", "sport", "dst", "dport", "proto", "flags").withColumn(
+        "is_syn", any_syn(c("flags"))
     )
-    return out.withColumn("is_syn", any_syn(F.col("flags")))
 
 
 def flow_key(directed: bool = True) -> Column:

@@ -1,2 +1,216 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over raw frames. Frames are built from the event and conversation rows.
+
+The builder is SQL text both engines run, with every field that masking removes as a
+placeholder: filled in it gives the frames, with zeros it gives the expected result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetgrain.operators import masking, packets, tls, windows
+from packetgrain.sources.tables import events, spread, table
+
+# Field texts: (as sent, as left by masking).
+_FIELDS = {
+    "mac": ("'AABBCCDDEE01020000000001'", "repeat('00', 12)"),
+    "id": ("lpad(hex(event_id % 65536), 4, '0')", "'0000'"),
+    "ipsum": ("'BEEF'", "'0000'"),
+    "src4": ("concat('0A00', lpad(hex(user_id), 4, '0'))", "'00000000'"),
+    "dst4": ("concat('C0A800', lpad(hex(k), 2, '0'))", "'00000000'"),
+    "flow": ("'6ABCDEF1'", "'6AB00000'"),
+    "src6": ("concat('FD00', repeat('0', 24), lpad(hex(user_id), 4, '0'))", "repeat('00', 16)"),
+    "dst6": ("concat('FD00000100020003000400050006', lpad(hex(k), 4, '0'))", "repeat('00', 16)"),
+    "seq": ("concat(lpad(hex(event_id), 8, '0'), '01020304')", "repeat('00', 8)"),
+    "sum": ("'CAFE'", "'0000'"),
+    "opts": ("'020405B4'", "'00000000'"),
+    "arp": ("concat('020000000001', '0A000001', '000000000000', '0A000002')", "repeat('00', 20)"),
+}
+_DPORT = "CASE WHEN k < 30 THEN 443 WHEN k < 50 THEN 22 WHEN k < 60 THEN 4500 ELSE 8000 + k END"
+_BODY = "repeat('4D', k + 1)"
+_SSH = "CASE WHEN user_id > 75 THEN concat('5353482D322E30', repeat('4D', k)) ELSE repeat('4D', k) END"
+_TLS = "concat('170303', lpad(hex(k + 1), 4, '0'), {body})"
+
+
+def _frame(masked: bool) -> str:
+    """Frame text by event kind: plain and option-bearing TCP, tagged UDP, IPv6 TCP, ARP."""
+    f = {name: pair[masked] for name, pair in _FIELDS.items()}
+    dport = f"lpad(hex({_DPORT}), 4, '0')"
+    sport = "lpad(hex(1024 + CAST(floor(value) AS BIGINT)), 4, '0')"
+    tls = _TLS.format(body="repeat('00', k + 1)" if masked else _BODY)
+    ssh = _SSH.replace("ELSE repeat('4D', k)", "ELSE repeat('00', k)") if masked else _SSH
+    tcp_body = f"CASE WHEN k < 30 THEN {tls} WHEN k < 50 THEN {ssh} ELSE {_BODY} END"
+    udp_body = f"CASE WHEN k < 30 OR (k >= 50 AND k < 60) THEN {'repeat(' + chr(39) + '00' + chr(39) + ', k + 1)' if masked else _BODY} ELSE {_BODY} END"
+    v4 = "concat('45000000', {id}, '400040', '{p}', {ipsum}, {src4}, {dst4})"
+    v6 = f"concat({f['flow']}, '0000', '06', '40', {f['src6']}, {f['dst6']})"
+    tcp = f"concat({sport}, {dport}, {f['seq']}, '{{o}}', 'FFFF', {f['sum']}, '0000')"
+
+    def ip4(proto: str) -> str:
+        return v4.format(p=proto, **f)
+
+    return f"""concat({f['mac']}, CASE event_type
+      WHEN 'click' THEN concat('0800', {ip4('06')}, {tcp.format(o='5018')}, {tcp_body})
+      WHEN 'error' THEN concat('0800', {ip4('06')}, {tcp.format(o='6002')}, {f['opts']})
+      WHEN 'view' THEN concat('8100', '0001', '0800', {ip4('11')}, {sport}, {dport}, '0010', {f['sum']}, {udp_body})
+      WHEN 'signup' THEN concat('86DD', {v6}, {tcp.format(o='5012')}, {tcp_body})
+      ELSE concat('0806', '0001080006040001', {f['arp']}, repeat('EE', 18)) END)"""
+
+
+def _frames(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "events")).select(
+        "event_id", "user_id", "event_type", "value",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+    data = F.unhex(F.expr(_frame(False)))
+    return rows.select(
+        F.lit("events").alias("capture"), F.col("event_id").alias("packet_index"), "ts_us",
+        F.lit(packets.ETHERNET).alias("linktype"), "event_type", data.alias("data"),
+    )
+
+
+def frame_parse(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = packets.parse(_frames(spark, folder))
+    return parsed.select(
+        "packet_index", "src", F.col("sport").cast("long").alias("sport"), "dst",
+        F.col("dport").cast("long").alias("dport"), "proto", "is_syn",
+        packets.bare_syn(F.col("flags")).alias("bare_syn"),
+    )
+
+
+def frame_mask(spark: SparkSession, folder: str) -> DataFrame:
+    return tls.mask(_frames(spark, folder)).select("packet_index", F.hex("data").alias("frame"))
+
+
+def unparsed_frames(spark: SparkSession, folder: str) -> DataFrame:
+    return packets.unparsed_count(packets.parse(_frames(spark, folder)), ["capture"])
+
+
+def frame_flow_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked frames of each directed flow cut into 256-byte windows; ARP goes to ``global``."""
+    parsed = packets.parse(_frames(spark, folder)).withColumn("flow", packets.flow_key())
+    masked = tls.mask(parsed.select("capture", "packet_index", "ts_us", "flow", "data"))
+    cut = windows.packet_windows(masked, ["flow"], [F.col("packet_index")], 256)
+    return cut.select("flow", "win_idx", "ts_us", F.md5(F.hex("bytes")).alias("digest"))
+
+
+def flow_lives(spark: SparkSession, folder: str) -> DataFrame:
+    """Flows by user; a pause of two days, in place of five minutes, starts a new life."""
+    split = windows.idle_split(events(spark, folder), ["user_id"], 2 * 86_400_000_000)
+    return split.select("user_id", "event_id", "life")
+
+
+def link_normalise(spark: SparkSession, folder: str) -> DataFrame:
+    """The same IP packets behind cooked, raw and Ethernet link layers come out equal."""
+    rows = _frames(spark, folder).where(F.col("event_type").isin("click", "signup", "error"))
+    ip = F.substring(F.col("data"), 15, 2**30)
+    kind = F.substring(F.col("data"), 13, 2)
+    link = F.when(F.col("event_type") == "click", packets.SLL).when(F.col("event_type") == "signup", 101).otherwise(packets.SLL2)
+    framed = (
+        F.when(link == packets.SLL, F.concat(F.unhex(F.lit("00000001000602000000000100" + "00")), kind, ip))
+        .when(link == packets.SLL2, F.concat(kind, F.unhex(F.lit("000000000001000100060200000000010000")), ip))
+        .otherwise(ip)
+    )
+    sent = rows.withColumn("linktype", link).withColumn("data", framed)
+    return packets.to_ethernet(sent).select("packet_index", F.md5(F.hex("data")).alias("digest"))
+
+
+def _tls_packets(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn is a record; a packet carries the rest of one record and half of the next."""
+    turns = table(spark, folder, "conversations").select(
+        "conv_id", "turn", (F.col("role") == "user").alias("app"), F.encode("text", "UTF-8").alias("body")
+    )
+    half = F.floor(F.length("body") / 2).cast("int")
+    kind = F.when(F.col("app"), F.unhex(F.lit("170303"))).otherwise(F.unhex(F.lit("160303")))
+    head = F.concat(kind, F.unhex(F.lpad(F.hex(F.length("body")), 4, "0")))
+    first = turns.select(
+        "conv_id", F.col("turn").alias("at"), F.lit(1).alias("part"), F.concat(head, F.substring(F.col("body"), F.lit(1), half)).alias("piece")
+    )
+    rest = turns.select(
+        "conv_id", (F.col("turn") + 1).alias("at"), F.lit(0).alias("part"),
+        F.substring(F.col("body"), half + 1, F.length("body")).alias("piece"),
+    )
+    # A packet has at most two pieces.
+    both = first.unionByName(rest).groupBy("conv_id", "at").agg(
+        F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p")
+    )
+    payload = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), ""))
+    src = F.lpad(F.hex(F.col("conv_id")), 8, "0")
+    header = F.concat(
+        F.lit("AABBCCDDEE01020000000001" + "0800" + "4500000000004000400600" + "00"), src,
+        F.lit("C0A80001" + "01BB" + "C001" + "0000000000000000" + "5018" + "FFFF" + "0000" + "0000"),
+    )
+    return both.select(
+        F.lit("tls").alias("capture"), "conv_id", F.col("at").alias("packet_index"),
+        F.concat(F.unhex(header), payload).alias("data"),
+    )
+
+
+def tls_mask_walk(spark: SparkSession, folder: str) -> DataFrame:
+    masked = tls.mask(_tls_packets(spark, folder))
+    payload = F.substring(F.col("data"), 55, 2**30)
+    return masked.select("conv_id", "packet_index", F.md5(F.hex(payload)).alias("digest"))
+
+
+QUERIES = {
+    name: globals()[name]
+    for name in (
+        "frame_parse", "frame_mask", "unparsed_frames", "frame_flow_windows", "flow_lives", "link_normalise", "tls_mask_walk",
+    )
+}
+
+_EV = """
+ev AS (
+  SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, (props::JSON->>'k')::INT AS k FROM events)"""
+_SRC = """CASE WHEN event_type = 'purchase' THEN NULL
+     WHEN event_type = 'signup' THEN 'fd00::' || CASE WHEN user_id > 0 THEN lower(hex(user_id)) ELSE '' END
+     ELSE '10.0.' || (user_id // 256) || '.' || (user_id % 256) END"""
+_DST = """CASE WHEN event_type = 'purchase' THEN NULL
+     WHEN event_type = 'signup' THEN 'fd00:1:2:3:4:5:6:' || lower(hex(k)) ELSE '192.168.0.' || k END"""
+
+ORACLE = {
+    "frame_parse": f"""
+WITH {_EV}
+SELECT event_id AS packet_index, {_SRC} AS src, {_DST} AS dst,
+       CASE WHEN event_type <> 'purchase' THEN 1024 + floor(value)::BIGINT END AS sport,
+       CASE WHEN event_type <> 'purchase' THEN {_DPORT} END AS dport,
+       CASE event_type WHEN 'purchase' THEN NULL WHEN 'view' THEN 'UDP' ELSE 'TCP' END AS proto,
+       CASE WHEN event_type <> 'purchase' THEN event_type IN ('error', 'signup') END AS is_syn,
+       CASE WHEN event_type <> 'purchase' THEN event_type = 'error' END AS bare_syn
+FROM ev""",
+    "frame_mask": f"WITH {_EV} SELECT event_id AS packet_index, {_frame(True)} AS frame FROM ev",
+    "unparsed_frames": """
+SELECT 'events' AS capture, count(*) FILTER (event_type = 'purchase') AS skipped, count(*) AS packets FROM events""",
+    "frame_flow_windows": f"""
+WITH {_EV},
+fr AS (
+  SELECT event_id, ts_us, {_frame(True)} AS h,
+         CASE WHEN event_type = 'purchase' THEN 'global'
+              ELSE {_SRC} || '|' || (1024 + floor(value)::BIGINT) || '|' || {_DST} || '|' || ({_DPORT}) END AS flow FROM ev),
+o AS (SELECT *, length(h) // 2 AS n, coalesce(sum(length(h) // 2) OVER (PARTITION BY flow ORDER BY event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM fr),
+s AS (SELECT flow, string_agg(h, '' ORDER BY event_id) AS h, sum(n)::BIGINT AS n FROM o GROUP BY flow),
+w AS (SELECT flow, w AS win_idx, substr(h, w * 512 + 1, 512) AS hx
+      FROM (SELECT *, unnest(generate_series(0, n // 256 - 1)) AS w FROM s WHERE n >= 256))
+SELECT w.flow, w.win_idx, o.ts_us, md5(hx) AS digest
+FROM w JOIN o ON o.flow = w.flow AND win_idx * 256 >= off AND win_idx * 256 < off + n""",
+    "flow_lives": f"""
+WITH {_EV},
+g AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us) > {2 * 86_400_000_000}, false)::INT AS f FROM ev)
+SELECT user_id, event_id, (sum(f) OVER (PARTITION BY user_id ORDER BY ts_us))::BIGINT AS life FROM g""",
+    "link_normalise": f"""
+WITH {_EV}
+SELECT event_id AS packet_index, md5(concat(repeat('00', 12), substr({_frame(False)}, 25))) AS digest
+FROM ev WHERE event_type IN ('click', 'signup', 'error')""",
+    "tls_mask_walk": """
+WITH t AS (
+  SELECT conv_id, turn, role = 'user' AS app, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM conversations),
+p AS (
+  SELECT conv_id, turn AS at_, 1 AS part,
+         CASE WHEN app THEN '170303' ELSE '160303' END || lpad(hex(n), 4, '0') ||
+         CASE WHEN app THEN repeat('00', n // 2) ELSE substr(h, 1, 2 * (n // 2)) END AS x FROM t
+  UNION ALL
+  SELECT conv_id, turn + 1, 0, CASE WHEN app THEN repeat('00', n - n // 2) ELSE substr(h, 2 * (n // 2) + 1) END FROM t)
+SELECT conv_id, at_ AS packet_index, md5(string_agg(x, '' ORDER BY part)) AS digest FROM p GROUP BY conv_id, at_""",
+}
