@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,14 +87,29 @@ def mask_records(packets: DataFrame) -> DataFrame:
         ready = ready.withColumn("owed", F.coalesce("owed", F.lit(0).cast("long")))
         for c in ("hide", "known"):
             ready = ready.withColumn(c, F.coalesce(c, F.lit(False)))
-    schema = packets.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("packet_index")
-        masked, _ = _mask_chunk(pdf)
-        return pdf.assign(data=masked)[names]
-
-    return plain.unionByName(ready.groupBy(*by).applyInPandas(run, schema))
+    at = ready.columns.index
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Streams are contiguous and ordered inside a partition; the state is carried
+        # from row to row and starts anew from the chunk's entry at each new key.
+        keys = [at(c) for c in by]
+        entry, start, data = [at(c) for c in STATE], at("_pay"), at("data")
+        last, state = None, (0, False, False)
+        for pdf in batches:
+            masked = []
+            for row in pdf.itertuples(index=False, name=None):
+                key = tuple(row[i] for i in keys)
+                if key != last:
+                    last, state = key, (int(row[entry[0]]), bool(row[entry[1]]), bool(row[entry[2]]))
+                raw = row[data]
+                begin = min(int(row[start]), len(raw))
+                payload = bytearray(raw[begin:])
+                state = walk(payload, *state)
+                masked.append(raw[:begin] + bytes(payload))
+            yield pdf.assign(data=masked)[names]
+
+    placed = ready.repartition(*by).sortWithinPartitions(*by, "packet_index")
+    return plain.unionByName(placed.mapInPandas(run, packets.schema))
 
 
 def _settle(chunks: DataFrame, by: list[str], fresh: list) -> DataFrame:

@@ -41,7 +41,7 @@ def _frame(masked: bool) -> str:
     tls = _TLS.format(body="repeat('00', k + 1)" if masked else _BODY)
     ssh = _SSH.replace("ELSE repeat('4D', k)", "ELSE repeat('00', k)") if masked else _SSH
     tcp_body = f"CASE WHEN k < 30 THEN {tls} WHEN k < 50 THEN {ssh} ELSE {_BODY} END"
-    udp_body = f"CASE WHEN k < 30 OR (k >= 50 AND k < 60) THEN {'repeat(' + chr(39) + '00' + chr(39) + ', k + 1)' if masked else _BODY} ELSE {_BODY} END"
+    udp_body = f"CASE WHEN k < 30 OR (k >= 50 AND k < 60) OR floor(value) = 170 THEN {'repeat(' + chr(39) + '00' + chr(39) + ', k + 1)' if masked else _BODY} ELSE {_BODY} END"
     v4 = "concat('45000000', {id}, '400040', '{p}', {ipsum}, {src4}, {dst4})"
     v6 = f"concat({f['flow']}, '0000', '06', '40', {f['src6']}, {f['dst6']})"
     tcp = f"concat({sport}, {dport}, {f['seq']}, '{{o}}', 'FFFF', {f['sum']}, '0000')"
