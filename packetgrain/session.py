@@ -37,21 +37,26 @@ def local_session(cpus: str = "8", app: str = "packetgrain") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; one of our own only in local runs."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="packetgrain-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 
     Used where several branches read one expensive intermediate, or where an
     iteration would grow the plan. The data survives the loss of an executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="packetgrain-")
-        sc.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
