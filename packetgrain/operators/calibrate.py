@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetgrain.operators.ordering import order_statistics, quantiles, running
+from packetgrain.operators.ordering import fits, order_statistics, quantiles, running
 
 DEFAULT_THRESHOLD = 12.0
 GOLD_MARGIN = 3.0
@@ -130,31 +130,36 @@ def calibration_records(
 ) -> DataFrame:
     """One calibration row per sensor."""
     fractions = [i / 100 for i in range(101)] + [0.999]
-    cut = quantiles(scores, keys, score, fractions, "_q")
-    basics = scores.groupBy(*keys).agg(
+    facts = [
         F.avg(score).alias("mean"),
         F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std"),
         F.count(score).alias("num_windows"),
-    )
-    base = basics.join(cut, keys).select(
-        *keys, "mean", "std", "num_windows",
+        ((F.max(ts) - F.min(ts)) / 1e6).alias("elapsed_seconds"),
+    ]
+    if fits(scores, keys):
+        listed = F.percentile(score, F.array(*[F.lit(f) for f in fractions])).alias("_q")
+        base = scores.groupBy(*keys).agg(*facts, listed)
+    else:
+        base = scores.groupBy(*keys).agg(*facts).join(quantiles(scores, keys, score, fractions, "_q"), keys)
+    base = base.select(
+        *keys, "mean", "std", "num_windows", "elapsed_seconds",
         F.slice("_q", 1, 101).alias("score_quantiles"),
         F.element_at("_q", 102).alias("quantile_999"),
         (F.col("mean") + 3 * F.col("std")).alias("mean_plus_3sigma"),
     )
     fallback = F.greatest("quantile_999", "mean_plus_3sigma")
     if per_hour > 0:
-        base = base.join(budget_thresholds(scores, keys, per_hour, score, ts), keys, "left")
+        found = budget_thresholds(scores, keys, per_hour, score, ts).drop("elapsed_seconds")
+        base = base.join(found, keys, "left")
         threshold = F.coalesce("budget_threshold", fallback)
         method = F.when(
             F.col("budget_threshold").isNotNull(),
             F.format_string(f"alert-budget ({per_hour:g}/hr -> q%.5f)", "budget_quantile"),
         ).otherwise("max(q99.9, mean+3sigma)")
     else:
-        span = scores.groupBy(*keys).agg(((F.max(ts) - F.min(ts)) / 1e6).alias("elapsed_seconds"))
         rate = F.when(F.col("elapsed_seconds") > 0, F.col("num_windows") / F.col("elapsed_seconds"))
         base = (
-            base.join(span, keys)
+            base
             .withColumn("window_rate_per_sec", F.coalesce(rate, F.lit(0.0)))
             .withColumn("budget_quantile", F.lit(None).cast("double"))
             .withColumn("budget_threshold", F.lit(None).cast("double"))

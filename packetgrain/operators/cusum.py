@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetgrain.operators.ordering import row_index, running
+from packetgrain.operators.ordering import fits, row_index, running
 from packetgrain.session import FOLD_ROWS, cut, limit
 
 PIECES = T.ArrayType(
@@ -36,8 +36,9 @@ def path(
 ) -> DataFrame:
     """The path without reset, P - min(0, running min P) with P the running sum of steps."""
     moved = df.withColumn("_step", step)
-    summed = running(moved, keys, order, {"_p": ("sum", F.col("_step"))})
-    low = running(summed, keys, order, {"_low": ("min", F.col("_p"))})
+    within = fits(moved, keys)
+    summed = running(moved, keys, order, {"_p": ("sum", F.col("_step"))}, within=within)
+    low = running(summed, keys, order, {"_low": ("min", F.col("_p"))}, within=within)
     return low.withColumn(name, F.col("_p") - F.least(F.lit(0.0), F.col("_low"))).drop("_step", "_p", "_low")
 
 
@@ -139,17 +140,22 @@ def enter(pieces, state: float) -> tuple[float, int]:
     return max(0.0, slope * state + offset), int(alarms)
 
 
-def chunked(df: DataFrame, keys: list[str], order: list[Column], step: Column, payload: list[str]) -> DataFrame:
-    """One row per (key, chunk) with the ordered steps and the payload of their rows."""
+def chunked(
+    df: DataFrame, keys: list[str], order: list[Column], step: Column, payload: list[str], within: bool
+) -> DataFrame:
+    """One row per (key, chunk) with the ordered steps and the payload of their rows.
+
+    ``within`` says that every series is one chunk; only longer ones are numbered first.
+    """
     size = limit(df.sparkSession, FOLD_ROWS)
-    moved = df.select(*keys, *payload, step.cast("double").alias("_step"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    placed = row_index(moved, keys, [F.col(f"_o{i}") for i in range(len(order))])
-    rows = F.struct("idx", "_step", *payload)
-    return (
-        placed.withColumn("chunk", F.floor(F.col("idx") / size))
-        .groupBy(*keys, "chunk")
-        .agg(F.array_sort(F.collect_list(rows)).alias("rows"))
-    )
+    names = [f"_at{i}" for i in range(len(order))]
+    moved = df.select(*keys, *payload, step.cast("double").alias("_step"), *[o.alias(n) for o, n in zip(order, names)])
+    if within:
+        placed = moved.withColumn("chunk", F.lit(0).cast("long"))
+    else:
+        placed = row_index(moved, keys, [F.col(n) for n in names]).withColumn("chunk", F.floor(F.col("idx") / size))
+    rows = F.struct(*names, "_step", *payload)
+    return placed.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(rows)).alias("rows"))
 
 
 def _entry_states(chunks: DataFrame, keys: list[str], leak: float, h: float) -> DataFrame | None:
@@ -195,10 +201,11 @@ def levels(
 ) -> DataFrame:
     """Level and alarm of every row, with reset after an alarm."""
     payload = payload or []
-    chunks = chunked(df, keys, order, step, payload)
     size = limit(df.sparkSession, FOLD_ROWS)
+    within = fits(df, keys, size)
+    chunks = chunked(df, keys, order, step, payload, within)
     entries = None
-    if df.limit(size + 1).count() > size:
+    if not within:
         chunks = cut(chunks)
         entries = _entry_states(chunks, keys, leak, h)
     if entries is None:
@@ -213,10 +220,10 @@ def levels(
         return pd.Series([fold_levels(xs.tolist(), leak, h, e) for xs, e in zip(steps, entry)])
 
     zipped = F.arrays_zip(F.col("rows"), fold(F.col("rows._step"), F.col("entry")).alias("level"))
-    out = entered.select(*keys, F.explode(zipped).alias("z"))
+    out = entered.select(*keys, "chunk", F.posexplode(zipped).alias("_i", "z"))
     return out.select(
         *keys,
-        F.col("z.rows.idx").alias("idx"),
+        (F.col("chunk") * size + F.col("_i")).alias("idx"),
         *[F.col(f"z.rows.{c}").alias(c) for c in payload],
         F.col("z.level").alias("level"),
         (F.col("z.level") > h).alias("alarm"),
@@ -242,7 +249,8 @@ def bounds(
     A higher bound never alarms more often, so the grid is searched by halving. Series
     of one chunk are searched inside their row; longer ones take one pass per halving.
     """
-    chunks = chunked(df, keys, order, step, [])
+    within = fits(df, keys, limit(df.sparkSession, FOLD_ROWS))
+    chunks = chunked(df, keys, order, step, [], within)
     budget = F.lit(alarms_per_10k / 10000.0)
 
     @F.pandas_udf(T.DoubleType())
@@ -261,8 +269,7 @@ def bounds(
 
         return steps.map(one)
 
-    size = limit(df.sparkSession, FOLD_ROWS)
-    if df.limit(size + 1).count() <= size:
+    if within:
         return chunks.select(*keys, F.size("rows").cast("long").alias("n"), search(F.col("rows._step")).alias("h"))
     chunks = cut(chunks)
     sizes = chunks.groupBy(*keys).agg(F.sum(F.size("rows")).alias("n"), F.max("chunk").alias("_last"))
@@ -299,12 +306,12 @@ def bounds(
             *keys, "chunk", summarise(F.col("rows._step"), F.get(values, F.col("mid"))).alias("pieces")
         )
         alarms = summary.groupBy(*keys).applyInPandas(count, schema)
-        fits = F.col("alarms") <= budget * F.col("n")
+        good = F.col("alarms") <= budget * F.col("n")
         state = cut(
             asked.join(alarms, keys).select(
                 *keys, "n",
-                F.when(fits, F.col("lo")).otherwise(F.least(F.col("mid") + 1, F.col("hi"))).alias("lo"),
-                F.when(fits, F.col("mid")).otherwise(F.col("hi")).alias("hi"),
+                F.when(good, F.col("lo")).otherwise(F.least(F.col("mid") + 1, F.col("hi"))).alias("lo"),
+                F.when(good, F.col("mid")).otherwise(F.col("hi")).alias("hi"),
             )
         )
     return one.unionByName(state.select(*keys, "n", F.get(values, F.col("lo")).alias("h")))

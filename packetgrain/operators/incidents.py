@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetgrain.operators.ordering import running
-from packetgrain.session import small
+from packetgrain.operators.ordering import fits, running
+from packetgrain.session import cut, small
 
 INCIDENT_GAP_US = 60_000_000
 CAPTURE_GAP_US = 300_000_000
@@ -63,10 +63,12 @@ def incidents(
         F.max(F.coalesce(score, F.lit(0.0))).alias("_peak"),
         *[F.min_by(c, at).alias(f"_open_{c}") for c in opening],
     )
-    seen = running(cells, keys, [F.col("_cell")], {"_prev": ("previous", F.col("_hi"))})
+    cells = cut(cells)
+    fit = fits(cells, keys)
+    seen = running(cells, keys, [F.col("_cell")], {"_prev": ("previous", F.col("_hi"))}, within=fit)
     fresh = F.when(F.col("_prev").isNull() | (F.col("_lo") - F.col("_prev") > gap_us), 1).otherwise(0)
     numbered = running(
-        seen.withColumn("_fresh", fresh), keys, [F.col("_cell")], {"incident": ("sum", F.col("_fresh"))}
+        seen.withColumn("_fresh", fresh), keys, [F.col("_cell")], {"incident": ("sum", F.col("_fresh"))}, within=fit
     )
     return numbered.groupBy(*keys, "incident").agg(
         F.min("_lo").alias("first_us"), F.max("_hi").alias("last_us"),
@@ -132,8 +134,10 @@ def context_packets(alerts: DataFrame, packets: DataFrame, keys: list[str], span
 def enrichment(context: DataFrame, by: list[str], order: str = "packet_index", talkers: int = 3, ports: int = 5) -> DataFrame:
     """A1-A3: volume, busiest pairs, ports and protocol mix of the packets around an alert.
 
-    Pairs, ports and protocols are summed before they are ranked.
+    Pairs, ports and protocols are summed before they are ranked. The context is kept
+    once, as four summaries read it.
     """
+    context = cut(context)
     seq = F.struct("ts_us", order)
     volume = context.groupBy(*by).agg(
         F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"),

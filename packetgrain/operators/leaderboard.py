@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetgrain.operators.ordering import running
+from packetgrain.operators.ordering import fits, running
 
 # Fixed values of the selection rules.
 COLLAPSE_FPR = 0.50
@@ -45,7 +45,8 @@ def judge(points: DataFrame, keys: list[str], order: list[Column], drift: float
 
     ``points`` has auc, evt_dr, evt_fpr and sigma per checkpoint.
     """
-    prior = running(points, keys, order, {"sigma_min": ("min", F.col("sigma"))}, inclusive=False)
+    within = fits(points, keys)
+    prior = running(points, keys, order, {"sigma_min": ("min", F.col("sigma"))}, False, within=within)
     collapsed = (
         F.coalesce(F.col("evt_fpr") > COLLAPSE_FPR, F.lit(False))
         | F.coalesce(F.col("auc") <= COLLAPSE_AUC, F.lit(False))
@@ -60,7 +61,7 @@ def judge(points: DataFrame, keys: list[str], order: list[Column], drift: float
     judged = prior.withColumn("status", F.when(collapsed, "COLLAPSED").otherwise("OK")).withColumn("note", reason)
     eligible = (F.col("status") == "OK") & F.col("evt_dr").isNotNull() & (F.col("evt_fpr") <= budget)
     judged = judged.withColumn("metric", F.when(eligible, F.col("evt_dr")))
-    best = running(judged, keys, order, {"best_before": ("max", F.col("metric"))}, inclusive=False)
+    best = running(judged, keys, order, {"best_before": ("max", F.col("metric"))}, False, within=within)
     verdict = (
         F.when(F.col("status") == "COLLAPSED", "COLLAPSED")
         .when(F.col("metric").isNull(), "NOT ELIGIBLE")
@@ -69,9 +70,9 @@ def judge(points: DataFrame, keys: list[str], order: list[Column], drift: float
     )
     best = best.withColumn("verdict", verdict)
     healthy = F.when(F.col("status") == "OK", 1).otherwise(0)
-    islands = running(best, keys, order, {"_island": ("sum", healthy)})
+    islands = running(best, keys, order, {"_island": ("sum", healthy)}, within=within)
     broken = F.when(F.col("status") == "COLLAPSED", 1).otherwise(0)
-    streak = running(islands, [*keys, "_island"], order, {"collapse_streak": ("sum", broken)})
+    streak = running(islands, [*keys, "_island"], order, {"collapse_streak": ("sum", broken)}, within=within)
     return streak.withColumn("abort", F.col("collapse_streak") >= ABORT_STREAK).drop("_island")
 
 

@@ -40,12 +40,28 @@ def _search(df: DataFrame, source: str, target: str, bounds: list[float]) -> Dat
     ).transform(df)
 
 
-def cells(df: DataFrame, keys: list[str], order: list[Column], rows: int | None = None) -> Cells:
+def fits(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
+    """True when no key has more rows than the limit; one job over the keys alone.
+
+    A chain of ordered steps over the same rows asks once and passes the answer on.
+    """
+    bound = rows or limit(df.sparkSession, HOT_ROWS)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > bound).isEmpty()
+
+
+def cells(
+    df: DataFrame, keys: list[str], order: list[Column], rows: int | None = None, within: bool | None = None
+) -> Cells:
     """Add the ``_order_cell`` column; ``order`` is ascending and numeric, unique per key.
 
+    ``within=True`` says that ``fits`` has already found every key within the limit.
+
     ``order[0]`` decides the cells. A value of ``order[0]`` shared by so many rows
     that it fills a cell alone gets a cell of its own, cut further by ``order[1]``.
     """
+    if within:
+        return Cells(df.withColumn(CELL, F.lit(0).cast("long")), False)
     bound = rows or limit(df.sparkSession, HOT_ROWS)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
     if keys:
@@ -104,6 +120,7 @@ def running(
     values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     rows: int | None = None,
+    within: bool | None = None,
 ) -> DataFrame:
     """Add running aggregates per key in ascending ``order``.
 
@@ -111,7 +128,7 @@ def running(
     min, max, previous (the value of the row before). ``inclusive=False`` leaves the
     row itself out.
     """
-    parts = cells(df, keys, order, rows)
+    parts = cells(df, keys, order, rows, within)
     by = [*keys, CELL] if parts.split else list(keys)
     ordered = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -157,10 +174,10 @@ def running(
 
 
 def row_index(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "idx", rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[Column], name: str = "idx", within: bool | None = None
 ) -> DataFrame:
     """Zero-based position of every row within its key."""
-    out = running(df, keys, order, {name: ("count", F.lit(1))}, rows=rows)
+    out = running(df, keys, order, {name: ("count", F.lit(1))}, within=within)
     return out.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
@@ -178,7 +195,7 @@ def order_statistics(
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: str, fractions: list[float], name: str = "q"
+    df: DataFrame, keys: list[str], value: str, fractions: list[float], name: str = "q", within: bool | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles per key as one array column.
 
@@ -190,7 +207,7 @@ def quantiles(
     present = df.where(F.col(value).isNotNull())
     sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > bound)
-    if hot.isEmpty():
+    if within or hot.isEmpty():
         return present.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
     marked = F.broadcast(hot.select(*keys))
     cold = present.join(marked, keys, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetgrain.operators.masking import mask_headers
-from packetgrain.operators.ordering import row_index
+from packetgrain.operators.ordering import fits, row_index
 from packetgrain.session import cut, limit
 
 STREAM = ["capture", "_src", "_dst", "_sp", "_dp"]
@@ -72,13 +72,16 @@ def mask_records(packets: DataFrame) -> DataFrame:
     size = limit(spark, CHUNK_PACKETS)
     names = packets.columns
     plain = packets.where(~F.col("_tls"))
-    placed = row_index(packets.where(F.col("_tls")), STREAM, [F.col("packet_index")], "_at")
-    chunks = placed.withColumn("_chunk", F.floor(F.col("_at") / size)).drop("_at")
+    walked = packets.where(F.col("_tls"))
     by = [*STREAM, "_chunk"]
     fresh = [F.lit(0).cast("long").alias("owed"), F.lit(False).alias("hide"), F.lit(False).alias("known")]
-    several = chunks.where(F.col("_chunk") > 0).select(*STREAM).distinct()
     entries = None
-    if not several.isEmpty():
+    if fits(walked, STREAM, size):
+        chunks = walked.withColumn("_chunk", F.lit(0).cast("long"))
+    else:
+        placed = row_index(walked, STREAM, [F.col("packet_index")], "_at")
+        chunks = placed.withColumn("_chunk", F.floor(F.col("_at") / size)).drop("_at")
+        several = chunks.where(F.col("_chunk") > 0).select(*STREAM).distinct()
         entries = _settle(cut(chunks.join(several, STREAM, "left_semi")), by, fresh)
     if entries is None:
         ready = chunks.select("*", *fresh)

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetgrain.functions.octets import cut_bytes
-from packetgrain.operators.ordering import running
+from packetgrain.operators.ordering import fits, running
 
 PAD = -1
 
 
 def byte_offsets(
-    packets: DataFrame, keys: list[str], order: list[Column], data: str = "data"
+    packets: DataFrame, keys: list[str], order: list[Column], data: str = "data", within: bool | None = None
 ) -> DataFrame:
     """Bytes of the same stream that precede each packet."""
     out = running(
-        packets, keys, order, {"byte_offset": ("sum", F.length(data).cast("long"))}, inclusive=False
+        packets, keys, order, {"byte_offset": ("sum", F.length(data).cast("long"))}, inclusive=False, within=within
     )
     return out.withColumn("byte_offset", F.coalesce("byte_offset", F.lit(0)).cast("long"))
 
@@ -60,14 +60,16 @@ def packet_windows(
     tail: str = "drop",
     data: str = "data",
     ts: str = "ts_us",
+    within: bool | None = None,
 ) -> DataFrame:
     """Non-overlapping windows over packets concatenated per key.
 
     Every packet is cut where it crosses a window edge; a window collects at most
     ``width`` slices, so a group never grows with the stream. The window's time is
-    the time of the packet holding its first byte.
+    the time of the packet holding its first byte. ``within`` is the answer of
+    ``ordering.fits`` on a cheaper frame with the same packets, when there is one.
     """
-    off = byte_offsets(packets, keys, order, data).where(F.length(data) > 0)
+    off = byte_offsets(packets, keys, order, data, within).where(F.length(data) > 0)
     first = F.floor(F.col("byte_offset") / width)
     last = F.floor((F.col("byte_offset") + F.length(data) - 1) / width)
     sliced = off.select(
@@ -103,13 +105,15 @@ def idle_split(packets: DataFrame, keys: list[str], ttl_us: int, ts: str = "ts_u
     marked = packets.withColumn("_tcell", cell)
     # Inside a cell no pause exceeds ttl_us; between cells the neighbours' edges decide.
     edges = marked.groupBy(*keys, "_tcell").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    seen = running(edges, keys, [F.col("_tcell")], {"_prev": ("previous", F.col("_hi"))})
+    fit = fits(edges, keys)
+    seen = running(edges, keys, [F.col("_tcell")], {"_prev": ("previous", F.col("_hi"))}, within=fit)
     fresh = (F.col("_lo") - F.col("_prev") > ttl_us).cast("long")
     lives = running(
         seen.withColumn("_fresh", F.coalesce(fresh, F.lit(0))),
         keys,
         [F.col("_tcell")],
         {"life": ("sum", F.col("_fresh"))},
+        within=fit,
     ).select(*keys, "_tcell", "life")
     return marked.join(lives, [*keys, "_tcell"]).drop("_tcell")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetgrain.operators import calibrate, ngram, scoring, windows
+from packetgrain.session import cut
 from packetgrain.sources.tables import byte_streams, spread, table
 
 WIDTH = 512
@@ -19,14 +20,14 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _model(cut: DataFrame) -> DataFrame:
-    return ngram.train(cut.where(F.col("label") == 0), ORDER)
+def _model(pieces: DataFrame) -> DataFrame:
+    return ngram.train(pieces.where(F.col("label") == 0), ORDER)
 
 
 def scored_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of all documents with their n-gram surprise; labels as given."""
-    cut = _windows(spark, folder)
-    return ngram.score_windows(cut.drop("n_valid"), _model(cut), ORDER)
+    pieces = _windows(spark, folder)
+    return ngram.score_windows(pieces.drop("n_valid"), _model(pieces), ORDER)
 
 
 def byte_entropy_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,8 +44,8 @@ def byte_windows_512(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strided_windows(spark: SparkSession, folder: str) -> DataFrame:
-    cut = windows.stream_windows(byte_streams(spark, folder), WIDTH, 256, tail="drop")
-    return cut.select(*KEYS, "n_valid", F.md5(F.hex("bytes")).alias("digest"))
+    pieces = windows.stream_windows(byte_streams(spark, folder), WIDTH, 256, tail="drop")
+    return pieces.select(*KEYS, "n_valid", F.md5(F.hex("bytes")).alias("digest"))
 
 
 def flow_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,8 +53,8 @@ def flow_windows(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select(
         "conv_id", "turn", F.encode("text", "UTF-8").alias("data")
     )
-    cut = windows.packet_windows(turns, ["conv_id"], [F.col("turn")], 128, tail="drop", ts="turn")
-    return cut.select("conv_id", "win_idx", F.col("turn").alias("first_turn"), F.md5(F.hex("bytes")).alias("digest"))
+    pieces = windows.packet_windows(turns, ["conv_id"], [F.col("turn")], 128, tail="drop", ts="turn")
+    return pieces.select("conv_id", "win_idx", F.col("turn").alias("first_turn"), F.md5(F.hex("bytes")).alias("digest"))
 
 
 def ngram_model(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +76,8 @@ def ngram_window_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def flagged_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows above max(99.9 % quantile, mean + 3 sigma) of the benign ones."""
-    scored = scored_windows(spark, folder)
+    # Scored once; calibration and gating read the kept scores.
+    scored = cut(scored_windows(spark, folder))
     benign = scored.where(F.col("label") == 0).withColumn("sensor", F.lit("byte"))
     fitted = calibrate.calibration_records(
         benign.withColumn("ts_us", F.col("win_idx")), ["sensor"], "topk", score="topk_bits"
@@ -89,8 +91,8 @@ def flagged_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def window_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     """Bits per byte from the scorer plug-in, and the three window scores over them."""
-    cut = _windows(spark, folder)
-    scored = ngram.bits_arrays(cut, _model(cut), KEYS, ORDER)
+    pieces = _windows(spark, folder)
+    scored = ngram.bits_arrays(pieces, _model(pieces), KEYS, ORDER)
     bits = F.col("bits")
     named = [
         F.round(scoring.window_score(bits, how, WIDTH), 6).alias(how) for how in ("mean", "max", "topk")
@@ -99,10 +101,9 @@ def window_aggregates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def complexity_scores(spark: SparkSession, folder: str) -> DataFrame:
-    cut = _windows(spark, folder)
-    scored = ngram.score_windows(
-        cut.withColumn("complexity", scoring.code_length("bytes")).drop("n_valid"), _model(cut), ORDER
-    )
+    pieces = _windows(spark, folder)
+    sized = pieces.withColumn("complexity", scoring.code_length("bytes")).drop("n_valid")
+    scored = cut(ngram.score_windows(sized, _model(pieces), ORDER))
     fixed = scoring.corrected(scored, "topk_bits")
     typical = scoring.typicality(fixed, F.col("label") == 0, "topk_bits")
     return typical.select(
@@ -111,8 +112,8 @@ def complexity_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def patch_segments(spark: SparkSession, folder: str) -> DataFrame:
-    cut = _windows(spark, folder)
-    marked = ngram.spikes(cut.select(*KEYS, "bytes"), _model(cut), KEYS, 5.0, ORDER)
+    pieces = _windows(spark, folder)
+    marked = ngram.spikes(pieces.select(*KEYS, "bytes"), _model(pieces), KEYS, 5.0, ORDER)
     cut_at = marked.select(*KEYS, scoring.patch_lengths("spikes").alias("lengths"))
     return cut_at.select(*KEYS, scoring.patch_statistics(F.col("lengths")).alias("s")).select(
         *KEYS, F.col("s.patches").cast("long").alias("patches"), F.round("s.mean_len", 6).alias("mean_len"),
@@ -122,8 +123,8 @@ def patch_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def heatmap_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean surprise intensity per heatmap cell over all windows."""
-    cut = _windows(spark, folder)
-    scored = ngram.bits_arrays(cut, _model(cut), KEYS, ORDER)
+    pieces = _windows(spark, folder)
+    scored = ngram.bits_arrays(pieces, _model(pieces), KEYS, ORDER)
     cells = scored.select(F.explode(scoring.heatmap(F.col("bits"), F.array())).alias("c"))
     return cells.groupBy(F.col("c.row").cast("long").alias("grid_row"), F.col("c.column").cast("long").alias("grid_column")).agg(
         F.count(F.lit(1)).alias("cells"), F.round(F.avg("c.intensity"), 6).alias("intensity")
@@ -135,11 +136,11 @@ def model_loss(spark: SparkSession, folder: str) -> DataFrame:
 
     The surprise of a byte is -log2 of its probability, so both come from the bits.
     """
-    cut = _windows(spark, folder)
-    sets = cut.withColumn(
+    pieces = _windows(spark, folder)
+    sets = pieces.withColumn(
         "split", F.when(F.col("label") == 0, "train").when(F.col("label").isNull(), "validation").otherwise("attack")
     )
-    model = _model(cut)
+    model = _model(pieces)
     bits = ngram.position_bits(sets.select("split", "bytes"), model, ["split"], ORDER)
     p = F.pow(F.lit(2.0), -F.col("bits"))
     return bits.withColumn("p", p).groupBy("split").agg(
@@ -152,8 +153,8 @@ def model_loss(spark: SparkSession, folder: str) -> DataFrame:
 def page_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-corpus check: web pages scored by the model of benign documents."""
     pages = spread(table(spark, folder, "pages")).select("page_id", F.encode("html", "UTF-8").alias("data"))
-    cut = windows.stream_windows(pages, WIDTH)
-    scored = ngram.score_windows(cut.select("page_id", "win_idx", "bytes"), _model(_windows(spark, folder)), ORDER)
+    pieces = windows.stream_windows(pages, WIDTH)
+    scored = ngram.score_windows(pieces.select("page_id", "win_idx", "bytes"), _model(_windows(spark, folder)), ORDER)
     return scored.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("windows"), F.round(F.avg("topk_bits"), 6).alias("mean_score")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.operators import masking, packets, tls, windows
+from packetgrain.operators import ordering, packets, tls, windows
 from packetgrain.sources.tables import events, spread, table
 
 # Field texts: (as sent, as left by masking).
@@ -91,8 +91,9 @@ def frame_flow_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Masked frames of each directed flow cut into 256-byte windows; ARP goes to ``global``."""
     parsed = packets.parse(_frames(spark, folder)).withColumn("flow", packets.flow_key())
     masked = tls.mask(parsed.select("capture", "packet_index", "ts_us", "flow", "data"))
-    cut = windows.packet_windows(masked, ["flow"], [F.col("packet_index")], 256)
-    return cut.select("flow", "win_idx", "ts_us", F.md5(F.hex("bytes")).alias("digest"))
+    within = ordering.fits(parsed, ["flow"])
+    pieces = windows.packet_windows(masked, ["flow"], [F.col("packet_index")], 256, within=within)
+    return pieces.select("flow", "win_idx", "ts_us", F.md5(F.hex("bytes")).alias("digest"))
 
 
 def flow_lives(spark: SparkSession, folder: str) -> DataFrame:

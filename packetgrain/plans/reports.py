@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetgrain.operators import calibrate, classify, incidents, leaderboard, scoring, windows
 from packetgrain.plans.thresholds import EV
+from packetgrain.session import cut
 from packetgrain.sources.tables import events, packet_meta, table
 
 HOUR_US = 3_600_000_000
@@ -55,18 +56,12 @@ def incident_sessions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _context(spark: SparkSession, folder: str) -> DataFrame:
-    """Packets of the six hours before each incident opens, in place of ten seconds."""
-    opened = _incidents(spark, folder).select("type", "alert_id", F.col("first_us").alias("ts_us"))
-    packets = packet_meta(spark, folder)
-    asked = opened.withColumn("alert", F.concat_ws("/", "type", "alert_id")).select("alert", "ts_us")
-    return incidents.context_packets(asked, packets, [], 6 * HOUR_US, "alert")
-
-
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    facts = incidents.enrichment(_context(spark, folder), ["alert"], "event_id")
-    opened = _incidents(spark, folder).withColumn("alert", F.concat_ws("/", "type", "alert_id"))
-    return opened.join(facts, "alert", "left")
+    """Incidents with the packets of the six hours before them, in place of ten seconds."""
+    opened = cut(_incidents(spark, folder).withColumn("alert", F.concat_ws("/", "type", "alert_id")))
+    asked = opened.select("alert", F.col("first_us").alias("ts_us"))
+    context = incidents.context_packets(asked, packet_meta(spark, folder), [], 6 * HOUR_US, "alert")
+    return opened.join(incidents.enrichment(context, ["alert"], "event_id"), "alert", "left")
 
 
 def incident_enrichment(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +93,7 @@ def _drift(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def meta_digest(spark: SparkSession, folder: str) -> DataFrame:
-    out = incidents.digests(_enriched(spark, folder), DAY_US, _drift(spark, folder))
+    out = incidents.digests(cut(_enriched(spark, folder)), DAY_US, _drift(spark, folder))
     return out.select(
         "bucket", "window_start_us", "window_end_us", "incidents",
         F.array_join(

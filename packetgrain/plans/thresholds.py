@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetgrain.operators import calibrate, windows
+from packetgrain.session import cut
 from packetgrain.sources.tables import events, scores
 
 SENSOR = ["sensor"]
@@ -26,7 +27,8 @@ def _halves(spark: SparkSession, folder: str) -> DataFrame:
 
 def _calibration(spark: SparkSession, folder: str, per_hour: float = 0.0) -> DataFrame:
     fit = _halves(spark, folder).where(F.col("part") == "calibration")
-    return calibrate.calibration_records(fit, SENSOR, "value", per_hour)
+    # A stored table of one row per sensor, as every reader of a calibration has it.
+    return cut(calibrate.calibration_records(fit, SENSOR, "value", per_hour))
 
 
 def _rounded(df: DataFrame, names: list[str]) -> list:
@@ -34,8 +36,8 @@ def _rounded(df: DataFrame, names: list[str]) -> list:
 
 
 def half_split(spark: SparkSession, folder: str) -> DataFrame:
-    cut = windows.half_split(scores(spark, folder), ["series"], [F.col("ts_us"), F.col("event_id")])
-    return cut.select("series", "event_id", "part")
+    parts = windows.half_split(scores(spark, folder), ["series"], [F.col("ts_us"), F.col("event_id")])
+    return parts.select("series", "event_id", "part")
 
 
 def calibration_table(spark: SparkSession, folder: str) -> DataFrame:

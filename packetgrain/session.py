@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +52,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` once as a table in the shared folder and continue from its files.
 
-    Used where several branches read one expensive intermediate, or where an
-    iteration would grow the plan. The data survives the loss of an executor.
+    Used where several branches read one expensive intermediate, or where an iteration
+    would grow the plan. The files survive the loss of an executor, later reads prune
+    their columns, and unlike a checkpoint the work behind them runs only once.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> bool:
