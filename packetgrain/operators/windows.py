@@ -118,7 +118,7 @@ def idle_split(packets: DataFrame, keys: list[str], ttl_us: int, ts: str = "ts_u
     return marked.join(lives, [*keys, "_tcell"]).drop("_tcell")
 
 
-def packet_rate_windows(packets: DataFrame, width: int = 512, data: str = "data") -> DataFrame:
+def one_window_per_packet(packets: DataFrame, width: int = 512, data: str = "data") -> DataFrame:
     """One zero-padded or truncated window per packet; under 10 bytes it is not scored."""
     padded = F.rpad(F.substring(F.col(data), 1, width), width, F.unhex(F.lit("00")))
     return packets.withColumn("bytes", padded).withColumn("scorable", F.length(data) >= 10)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.operators import calibrate, windows
+from packetgrain.operators import calibrate, evaluation, windows
 from packetgrain.session import cut
 from packetgrain.sources.tables import events, scores
 
@@ -131,7 +131,23 @@ def evt_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return calibrate.evt_thresholds(_scores(spark, folder), SENSOR, 0.001)
 
 
+def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
+    """One evaluation per port: errors against the rest, calibration and holdout halves."""
+    rows = events(spark, folder).select(
+        F.col("k").cast("long").alias("run"), "event_id", "ts_us", F.col("value").alias("score"),
+        (F.col("event_type") == "error").cast("int").alias("label"),
+    )
+    parts = windows.half_split(rows, ["run"], [F.col("ts_us"), F.col("event_id")]).withColumnRenamed("part", "role")
+    docs = evaluation.metrics_documents(parts, 0.1, evt=False)
+    return docs.select("run", "calibration.auc", F.explode("holdout.results").alias("rule", "r")).select(
+        "run", F.round("auc", 9).alias("auc"), "rule", F.col("r.threshold").alias("threshold"),
+        F.round("r.holdout_benign_false_positive_rate", 9).alias("fpr"),
+        F.round("r.holdout_attack_detection_rate", 9).alias("dr"),
+    )
+
+
 QUERIES = {
+    "metrics_report": metrics_report,
     "half_split": half_split,
     "calibration_table": calibration_table,
     "calibration_quantiles": calibration_quantiles,
@@ -184,6 +200,28 @@ tot AS (
 pts AS (SELECT *, tp / p AS tpr, fp / n AS fpr FROM roc JOIN tot USING (user_id))"""
 
 ORACLE = {
+    "metrics_report": f"""
+WITH {EV},
+h AS (
+  SELECT k AS run, event_id, value, (event_type = 'error')::INT AS y,
+         row_number() OVER (PARTITION BY k ORDER BY ts_us, event_id) <= count(*) OVER (PARTITION BY k) // 2 AS cal
+  FROM ev),
+c AS (SELECT * FROM h WHERE cal),
+pn AS (SELECT run, sum(y) AS p, count(*) - sum(y) AS n FROM c GROUP BY run),
+r AS (SELECT run, value, sum(sum(y)) OVER w AS tp, sum(count(*) - sum(y)) OVER w AS fp FROM c GROUP BY run, value
+      WINDOW w AS (PARTITION BY run ORDER BY value DESC)),
+t AS (
+  SELECT run, arg_max(value, (tp * n - fp * p, value)) AS youden,
+         arg_min(value, (abs(fp / n - 0.1::DOUBLE), -value)) AS target_fpr
+  FROM r JOIN pn USING (run) GROUP BY run),
+rk AS (SELECT run, y, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2.0 AS q FROM c),
+au AS (SELECT run, CASE WHEN any_value(p) > 0 AND any_value(n) > 0 THEN
+         ((sum(q) FILTER (y = 1) - any_value(p) * (any_value(p) + 1) / 2.0) / (any_value(p) * any_value(n)))::DOUBLE END AS auc
+       FROM rk JOIN pn USING (run) GROUP BY run),
+u AS (SELECT run, 'youden' AS rule, youden AS threshold FROM t UNION ALL SELECT run, 'target_fpr', target_fpr FROM t)
+SELECT run, round(any_value(auc), 9) AS auc, rule, any_value(threshold) AS threshold,
+       round(avg((value > threshold)::INT) FILTER (y = 0), 9) AS fpr, round(avg((value > threshold)::INT) FILTER (y = 1), 9) AS dr
+FROM u JOIN au USING (run) JOIN h USING (run) WHERE NOT cal GROUP BY run, rule""",
     "half_split": f"""
 WITH {EV}
 SELECT user_id AS series, event_id,
