@@ -194,7 +194,7 @@ class _Tls(StatefulProcessor):
         pdf = _ordered(rows, ["packet_index"])
         now = tuple(self.state.get()) if self.state.exists() else (0, False, False)
         out = []
-        for raw, start in zip(pdf["data"], pdf["_pay"].tolist()):
+        for raw, start in zip(pdf["data"], pdf["payload_at"].tolist()):
             payload = bytearray(raw[start:])
             now = walk(payload, *now)
             out.append(raw[:start] + bytes(payload))
@@ -206,7 +206,7 @@ class _Tls(StatefulProcessor):
 
 
 def tls_records(packets: DataFrame) -> DataFrame:
-    """P10: ``packets`` has stream, packet_index, data and the payload's start ``_pay``."""
+    """P10: ``packets`` has stream, packet_index, data and the payload's start ``payload_at``."""
     return _stateful(packets, ["stream"], _Tls(), "stream string, packet_index bigint, data binary")
 
 

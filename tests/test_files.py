@@ -121,7 +121,7 @@ def test_stream_tls_state_crosses_batches(spark, tmp_path):
     pay = len(head)
     first, rest = record(0x17, 300, b"x" * 100), b"y" * 200
     batches = [[("s", 0, head + first, pay)], [("s", 1, head + rest, pay)]]
-    df = stream_of(spark, tmp_path, batches, "stream string, packet_index long, data binary, _pay int")
+    df = stream_of(spark, tmp_path, batches, "stream string, packet_index long, data binary, payload_at int")
     got = {r.packet_index: bytes(r.data)[pay:] for r in live.run_available(live.tls_records(df)).collect()}
     assert [got[0], got[1]] == steps(first, rest)[0]
 
