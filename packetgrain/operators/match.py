@@ -184,26 +184,58 @@ def attacker_categories(flows: DataFrame) -> DataFrame:
     return attackers.join(found, "ip", "left").select("ip", F.coalesce("cat", F.lit("unknown")).alias("cat"))
 
 
-def _time_hits(packets: DataFrame, spans: DataFrame, keys: list[str], cell_s: int) -> DataFrame:
+LEVELS = 32
+
+
+def dyadic_pieces(start: Column, end: Column) -> Column:
+    """[start, end] as the fewest aligned blocks of 2^level whole numbers.
+
+    A level gives at most its first block, when that is an odd one, and its last, when
+    that is even; any other block inside is half of a larger one that is inside too.
+    """
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        first = F.floor((start + size - 1) / size)
+        last = F.floor((end + 1) / size) - 1
+        inside = first <= last
+        return F.array(
+            F.when(inside & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block"))),
+            F.when(inside & (last % 2 == 0), F.struct(level.alias("level"), last.alias("block"))),
+        )
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)))
+
+
+def _time_hits(packets: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """First labelled span, by file order, that covers each packet of the key.
 
-    Packets of one key and second are the same question, so distinct (key, second) pairs
-    are matched; spans meet them through time cells of the same key.
+    Spans are cut into aligned blocks and the first span of every block is kept; a second
+    then looks up the one block of each size it lies in. However many spans cover a
+    second, it meets at most one row per block size, so no pairs are listed. Packets of
+    one key and second are the same question and are asked once.
     """
-    asked = packets.select(*keys, "t").distinct().withColumn("_cell", F.floor(F.col("t") / cell_s))
-    placed = spans.withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("st") / cell_s), F.floor(F.col("lt") / cell_s)))
+    blocks = (
+        spans.select(*keys, "cat", "ordinal", F.inline(dyadic_pieces(F.col("st"), F.col("lt"))))
+        .groupBy(*keys, "level", "block")
+        .agg(F.min_by("cat", "ordinal").alias("cat"), F.min("ordinal").alias("ordinal"))
     )
+    used = [r["level"] for r in blocks.select("level").distinct().collect()]  # at most LEVELS rows
+    if not used:
+        used = [0]
+    levels = F.explode(F.array(*[F.lit(v) for v in sorted(used)])).alias("level")
+    asked = packets.select(*keys, "t").distinct().select(*keys, "t", levels)
+    block = F.call_function("shiftright", F.col("t"), F.col("level")).alias("block")
     return (
-        asked.join(placed, [*keys, "_cell"])
-        .where((F.col("t") >= F.col("st")) & (F.col("t") <= F.col("lt")))
+        asked.select(*keys, "t", "level", block)
+        .join(blocks, [*keys, "level", "block"])
         .groupBy(*keys, "t")
         .agg(F.min_by("cat", "ordinal").alias("cat"))
     )
 
 
 def label_packets(
-    packets: DataFrame, flows: DataFrame, capture: list[str], mode: str = "auto", cell_s: int = 3600
+    packets: DataFrame, flows: DataFrame, capture: list[str], mode: str = "auto"
 ) -> DataFrame:
     """Attack category per packet by 5-tuple, then host pair, then attacker address.
 
@@ -220,8 +252,8 @@ def label_packets(
     p = packets.withColumn("pair", pair_key("srcip", "dstip"))
     five_first = spans.groupBy(*FIVE).agg(F.min_by("cat", "ordinal").alias("five_any"))
     pair_first = pairs.groupBy("pair").agg(F.min_by("cat", "ordinal").alias("pair_any"))
-    five_time = _time_hits(p, spans, FIVE, cell_s).withColumnRenamed("cat", "five_time")
-    pair_time = _time_hits(p, pairs, ["pair"], cell_s).withColumnRenamed("cat", "pair_time")
+    five_time = _time_hits(p, spans, FIVE).withColumnRenamed("cat", "five_time")
+    pair_time = _time_hits(p, pairs, ["pair"]).withColumnRenamed("cat", "pair_time")
     ips = attacker_categories(flows)
     joined = (
         p.join(five_first, FIVE, "left")

@@ -183,9 +183,11 @@ def shuffled(windows: DataFrame, seed: int) -> DataFrame:
     return windows.orderBy(F.rand(seed))
 
 
-def spread_by_stream(packets: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """Partition packets by stream, so ordered per-stream state stays together."""
-    return packets.repartition(parts, *keys)
+def spread_by_stream(packets: DataFrame, keys: list[str], order: str, parts: int) -> DataFrame:
+    """Packets in ranges of (stream, order): a stream stays together and in order, and
+    one that is larger than a part continues in the next."""
+    ranged = packets.repartitionByRange(parts, *keys, order)
+    return ranged.sortWithinPartitions(*keys, order)
 
 
 def bytes_array(data: Column | str, width: int) -> Column:

@@ -56,9 +56,16 @@ def stream_flow_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_capture_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Pauses of over an hour within an event kind; cells still open are not yet seen."""
+    rows = _events(spark, folder).select("ts", "event_type")
+    out = live.capture_gaps(rows, "event_type", "ts", "1 hour", HOUR_US, "0 seconds")
+    return live.run_available(out)
+
+
 QUERIES = {
     name: globals()[name]
-    for name in ("stream_rate", "stream_incidents", "stream_flow_cusum", "stream_byte_alerts", "stream_flow_windows")
+    for name in ("stream_rate", "stream_incidents", "stream_flow_cusum", "stream_byte_alerts", "stream_flow_windows", "stream_capture_gaps")
 }
 
 # A window or session is out once its end is not after the watermark, which counts in milliseconds.
@@ -76,6 +83,14 @@ lg AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY type ORDER BY ts
 nb AS (SELECT *, sum(f) OVER (PARTITION BY type ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM lg)
 SELECT type, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS raw_alerts, max(score) AS peak_score
 FROM nb, wm GROUP BY type, g, w HAVING max(ts_us) + {HOUR_US} <= w""",
+    "stream_capture_gaps": f"""
+WITH {EV},
+wm AS (SELECT max(ts_us) // 1000 * 1000 AS w FROM ev),
+g AS (
+  SELECT event_type, ts_us, lag(ts_us) OVER (PARTITION BY event_type ORDER BY ts_us) AS p
+  FROM ev, wm WHERE (ts_us // {HOUR_US} + 1) * {HOUR_US} <= w)
+SELECT event_type, p AS opened_us, ts_us AS closed_us, round_even((ts_us - p) / 1e6, 0)::BIGINT AS gap_seconds
+FROM g WHERE ts_us - p > {HOUR_US}""",
     "stream_flow_cusum": f"""
 WITH RECURSIVE {EV},
 st AS (SELECT user_id AS series, event_id, value - 60.0::DOUBLE AS d,

@@ -66,7 +66,7 @@ def budget_thresholds(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_percentile(spark: SparkSession, folder: str) -> DataFrame:
     fitted = _calibration(spark, folder).select("sensor", "score_quantiles")
-    joined = _scores(spark, folder).join(F.broadcast(fitted), "sensor")
+    joined = _scores(spark, folder).join(fitted, "sensor")
     pct = calibrate.score_percentile(F.col("score"), F.col("score_quantiles"))
     return joined.select("event_id", pct.cast("long").alias("percentile"))
 
@@ -105,7 +105,7 @@ def nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 def holdout_rates(spark: SparkSession, folder: str) -> DataFrame:
     fitted = _calibration(spark, folder).select("sensor", "byte_threshold", "gold_threshold")
-    held = _halves(spark, folder).where(F.col("part") == "holdout").join(F.broadcast(fitted), "sensor")
+    held = _halves(spark, folder).where(F.col("part") == "holdout").join(fitted, "sensor")
     over = calibrate.exceedance_rate(held, SENSOR, F.col("byte_threshold"))
     return over.select("sensor", F.round("rate", 9).alias("rate"))
 

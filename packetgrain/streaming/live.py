@@ -33,6 +33,7 @@ BUFFER_STATE = _struct(
 )
 TLS_STATE = _struct(("owed", T.LongType()), ("hide", T.BooleanType()), ("known", T.BooleanType()))
 BAN_STATE = _struct(("banned_at", T.LongType()), ("count", T.LongType()), ("type", T.StringType()))
+LAST_STATE = _struct(("last", T.LongType()))
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -241,3 +242,38 @@ def bans(requests: DataFrame, ttl_us: int = incidents.BAN_TTL_US, ttl_ms: int |
     clean = requests.where(~F.col("ip").isin(incidents.NEVER_BANNED) & (F.col("ip") != ""))
     schema = "ip string, banned_at bigint, ttl bigint, count bigint, last_seen bigint, reason string, incident_type string"
     return _stateful(clean, ["ip"], _Bans(ttl_us, ttl_ms), schema)
+
+
+class _Gaps(StatefulProcessor):
+    """The time of the last packet of a capture."""
+
+    def __init__(self, key: str, gap_us: int):
+        self.key, self.gap_us = key, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", LAST_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _ordered(rows, ["lo_us"])
+        last = self.state.get()[0] if self.state.exists() else None
+        out = []
+        for lo, hi in pdf[["lo_us", "hi_us"]].itertuples(index=False):
+            if last is not None and lo - last > self.gap_us:
+                out.append((key[0], int(last), int(lo), round((lo - last) / 1e6)))
+            last = int(hi) if last is None else max(last, int(hi))
+        self.state.update((last,))
+        yield pd.DataFrame(out, columns=[self.key, "opened_us", "closed_us", "gap_seconds"])
+
+    def close(self) -> None:
+        pass
+
+
+def capture_gaps(packets: DataFrame, key: str, ts: str, gap: str, gap_us: int, delay: str) -> DataFrame:
+    """Pauses of a capture. Packets are first reduced to their edges per time cell,
+    so a busy capture brings one row per cell to its state."""
+    edges = packets.withWatermark(ts, delay).groupBy(F.window(ts, gap), key).agg(
+        F.min(F.unix_micros(ts)).alias("lo_us"), F.max(F.unix_micros(ts)).alias("hi_us")
+    ).select(key, "lo_us", "hi_us")
+    kind = packets.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, opened_us bigint, closed_us bigint, gap_seconds bigint"
+    return _stateful(edges, [key], _Gaps(key, gap_us), schema)

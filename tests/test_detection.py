@@ -212,3 +212,19 @@ def test_excerpts(spark):
     assert got == [("x", 3), ("x", 4), ("x", 5), ("y", 8), ("y", 9), ("y", 10)]
     files = {r.incident_id: bytes(r.content) for r in pcap_files(found).collect()}
     assert len(files["x"]) == 24 + 3 * 17 and files["x"][:4] == b"\xd4\xc3\xb2\xa1" and files["x"][-1] == 5
+
+
+def test_dyadic_pieces_cover_exactly(spark):
+    rnd = random.Random(5)
+    spans = [(a, a + rnd.randrange(300)) for a in (rnd.randrange(1000) for _ in range(60))] + [(7, 7), (0, 255)]
+    df = spark.createDataFrame(spans, "a long, b long")
+    for r in df.select("a", "b", match.dyadic_pieces(F.col("a"), F.col("b")).alias("p")).collect():
+        covered = [x for p in r.p for x in range(p.block << p.level, (p.block + 1) << p.level)]
+        assert sorted(covered) == list(range(r.a, r.b + 1))
+
+
+def test_ranges_keep_streams_together(spark):
+    df = spark.createDataFrame([("a", i) for i in range(80)] + [("b", i) for i in range(5)], "flow string, i long")
+    parts = windows.spread_by_stream(df, ["flow"], "i", 4).withColumn("p", F.spark_partition_id())
+    sizes = [r["count"] for r in parts.groupBy("p").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 40
