@@ -37,8 +37,3 @@ def blank(data: Column | str, start: Column | int, size: Column | int) -> Column
     size = size.cast("int")
     filled = F.overlay(_col(data), zeros(size), (start + 1).cast("int"), size)
     return F.when(size > 0, filled).otherwise(_col(data))
-
-
-def dotted_quad(data: Column | str, start: Column | int) -> Column:
-    start = start if isinstance(start, Column) else F.lit(start)
-    return F.concat_ws(".", *[unsigned(data, start + i).cast("string") for i in range(4)])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetgrain.functions.batches import Batch
 from packetgrain.functions.octets import blank
 
 # Link-layer tags and the ports whose payload is encrypted.
@@ -36,7 +37,7 @@ HEADER = T.StructType(
 )
 
 
-class Frames:
+class Frames(Batch):
     """Frames of a batch with the layers of each: ``l3``, ``net``, ``l4``, ``tp`` and ports.
 
     P6: stacked VLAN tags and MPLS labels of any depth are followed to the network layer.
@@ -44,20 +45,10 @@ class Frames:
     """
 
     def __init__(self, buffers: list[bytes]):
-        self.buffers = buffers
-        self.n = np.fromiter((len(b) for b in buffers), np.int64, len(buffers))
-        self.start = np.cumsum(self.n) - self.n
-        self.flat = np.frombuffer(b"".join(buffers) + b"\0", np.uint8).copy()
+        super().__init__(buffers)
         self._network()
         self._transport()
 
-    def u8(self, off: np.ndarray) -> np.ndarray:
-        inside = (off >= 0) & (off < self.n)
-        return np.where(inside, self.flat[np.where(inside, self.start + off, 0)], 0).astype(np.int64)
-
-    def u16(self, off: np.ndarray) -> np.ndarray:
-        return self.u8(off) * 256 + self.u8(off + 1)
-
     def _network(self) -> None:
         n = self.n
         off = np.full(len(n), 14)

@@ -1,11 +1,17 @@
-"""Header parsing of raw frames with column expressions."""
+"""Header parsing, flow keys and link-layer framing of raw frames."""
 
 from __future__ import annotations
 
+import socket
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from packetgrain.functions.octets import cut_bytes, dotted_quad, unsigned, zeros
+from packetgrain.functions.batches import Batch
+from packetgrain.functions.octets import cut_bytes, unsigned, zeros
 
 ETHERNET, SLL, SLL2 = 1, 113, 276
 RAW_IP = (101, 12, 14)
@@ -22,85 +28,64 @@ def any_syn(flags: Column) -> Column:
     return flags.bitwiseAND(SYN) != 0
 
 
-def _stage(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator of one row.
-
-    Later expressions read them many times; without the stage the optimiser would paste
-    each definition into every use and into pushed-down filters.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
-def _ipv6_groups(data: str, start: Column) -> Column:
-    """All eight groups without leading zeros, as ``:a:b:…:h:``."""
-    text = F.lower(F.hex(cut_bytes(data, start, 16)))
-    groups = F.transform(
-        F.sequence(F.lit(1), F.lit(29), F.lit(4)),
-        lambda i: F.regexp_replace(F.substring(text, i, F.lit(4)), "^0{1,3}", ""),
+HEADER = T.StructType(
+    [
+        T.StructField("src", T.StringType()),
+        T.StructField("sport", T.IntegerType()),
+        T.StructField("dst", T.StringType()),
+        T.StructField("dport", T.IntegerType()),
+        T.StructField("proto", T.StringType()),
+        T.StructField("flags", T.IntegerType()),
+    ]
+)
+
+
+@F.pandas_udf(HEADER)
+def _headers(data: pd.Series) -> pd.DataFrame:
+    f = Batch([b or b"" for b in data])
+    n = f.n
+    at = np.full(len(n), 12)
+    tagged = f.u16(at) == 0x8100
+    kind = np.where(tagged, f.u16(at + 4), f.u16(at))
+    l3 = np.where(tagged, 18, 14)
+    whole = n >= l3
+    ihl = (f.u8(l3) & 15) * 4
+    v4 = whole & (kind == 0x0800) & (ihl >= 20) & (n >= l3 + ihl)
+    v6 = whole & (kind == 0x86DD) & (n >= l3 + 40)
+    proto = np.select([v4, v6], [f.u8(l3 + 9), f.u8(l3 + 6)], 0)
+    l4 = np.select([v4, v6], [l3 + ihl, l3 + 40], 0)
+    tcp, udp = proto == 6, proto == 17
+    ok = (v4 | v6) & (n >= l4 + np.select([tcp, udp], [14, 4], 0))
+    known = ok & (tcp | udp)
+
+    def number(values: np.ndarray) -> pd.Series:
+        return pd.Series(pd.arrays.IntegerArray(np.where(known, values, 0).astype(np.int32), ~ok))
+
+    def text(back: int) -> list[str | None]:
+        first = np.where(v4, l3 + 12 + 4 * back, l3 + 8 + 16 * back).tolist()
+        family = np.where(v4, socket.AF_INET, socket.AF_INET6).tolist()
+        size = np.where(v4, 4, 16).tolist()
+        rows = zip(f.buffers, first, size, family, ok.tolist())
+        return [socket.inet_ntop(k, b[a : a + s]) if good else None for b, a, s, k, good in rows]
+
+    name = np.where(ok, np.select([tcp, udp], ["TCP", "UDP"], "other"), None)
+    return pd.DataFrame(
+        {
+            "src": text(0), "sport": number(f.u16(l4)), "dst": text(1), "dport": number(f.u16(l4 + 2)),
+            "proto": name, "flags": number(np.where(tcp, f.u8(l4 + 13), 0)),
+        }
     )
-    return F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-
-
-def _ipv6_text(groups: Column) -> Column:
-    """RFC 5952 text: the first longest run of two or more zero groups is shortened."""
-    out = F.regexp_replace(groups, "^:|:$", "")
-    for run in range(2, 9):
-        zero = ":" + "0:" * run
-        at = F.instr(groups, zero)
-        before = F.regexp_replace(F.substring(groups, F.lit(1), at - 1), "^:", "")
-        after = F.regexp_replace(F.substring(groups, at + len(zero), F.length(groups)), ":$", "")
-        out = F.when(at > 0, F.concat(before, F.lit("::"), after)).otherwise(out)
-    return out
 
 
 def parse(packets: DataFrame, data: str = "data") -> DataFrame:
-    """Add src, sport, dst, dport, proto, is_syn and flags; null when not parsed.
+    """Add src, sport, dst, dport, proto, flags and is_syn; null when not parsed.
 
     One VLAN tag, IPv4 with options, IPv6. TCP needs 14 bytes of its header, UDP four.
+    The headers of a batch are read together; only addresses are turned to text one by one.
     """
-    n, c = F.length(data), F.col
-    df = _stage(packets, _e0=unsigned(data, 12, 2))
-    tagged = c("_e0") == 0x8100
-    df = _stage(
-        df,
-        _type=F.when(tagged, unsigned(data, 16, 2)).otherwise(c("_e0")),
-        _l3=F.when(tagged, 18).otherwise(14),
-    )
-    df = _stage(df, _ihl=F.when(c("_type") == 0x0800, unsigned(data, c("_l3")).bitwiseAND(15) * 4).cast("int"))
-    v4 = (c("_type") == 0x0800) & (n >= c("_l3") + 20) & (c("_ihl") >= 20) & (n >= c("_l3") + c("_ihl"))
-    v6 = (c("_type") == 0x86DD) & (n >= c("_l3") + 40)
-    df = _stage(df, _v=F.when(v4, 4).when(v6, 6))
-    four, six = c("_v") == 4, c("_v") == 6
-    df = _stage(
-        df,
-        _p=F.when(four, unsigned(data, c("_l3") + 9)).when(six, unsigned(data, c("_l3") + 6)),
-        _l4=F.when(four, c("_l3") + c("_ihl")).when(six, c("_l3") + 40),
-    )
-    tcp, udp = c("_p") == 6, c("_p") == 17
-    fits = F.when(tcp, n >= c("_l4") + 14).when(udp, n >= c("_l4") + 4).otherwise(True)
-    df = _stage(
-        df,
-        _ok=c("_v").isNotNull() & fits,
-        _s6=F.when(six, _ipv6_groups(data, c("_l3") + 8)),
-        _d6=F.when(six, _ipv6_groups(data, c("_l3") + 24)),
-    )
-
-    def text(groups: str, at: int) -> Column:
-        return F.when(c("_ok") & four, dotted_quad(data, c("_l3") + at)).when(c("_ok"), _ipv6_text(c(groups)))
-
-    def port(at: int) -> Column:
-        return F.when(c("_ok"), F.when(tcp | udp, unsigned(data, c("_l4") + at, 2)).otherwise(0)).cast("int")
-
-    flags = F.when(c("_ok"), F.when(tcp, unsigned(data, c("_l4") + 13)).otherwise(0)).cast("int")
-    out = _stage(
-        df,
-        src=text("_s6", 12), sport=port(0), dst=text("_d6", 16), dport=port(2),
-        proto=F.when(c("_ok"), F.when(tcp, "TCP").when(udp, "UDP").otherwise("other")),
-        flags=flags,
-    )
-    return out.select(*packets.columns, "src", "sport", "dst", "dport", "proto", "flags").withColumn(
-        "is_syn", any_syn(c("flags"))
-    )
+    read = packets.withColumn("_h", _headers(data))
+    fields = [F.col(f"_h.{f.name}").alias(f.name) for f in HEADER.fields]
+    return read.select(*packets.columns, *fields).withColumn("is_syn", any_syn(F.col("flags")))
 
 
 def flow_key(directed: bool = True) -> Column:
