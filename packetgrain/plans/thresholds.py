@@ -357,5 +357,6 @@ SELECT sensor, bucket, applied, round(t, 6) AS threshold, round(r, 6) AS referen
 WITH {EV},
 t AS (SELECT event_type, quantile_cont(value, 0.98) AS t0, count(*) AS n FROM ev GROUP BY event_type)
 SELECT event_type AS sensor, n, count(*) FILTER (value > t0) AS num_tail_points, round(t0, 6) AS t0
-FROM ev JOIN t USING (event_type) GROUP BY ALL""",
+FROM ev JOIN t USING (event_type) GROUP BY ALL
+HAVING n >= 30 AND count(*) FILTER (value > t0) >= 10""",
 }
