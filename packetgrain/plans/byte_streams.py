@@ -40,7 +40,9 @@ def byte_entropy_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def byte_windows_512(spark: SparkSession, folder: str) -> DataFrame:
-    return _windows(spark, folder).select(*KEYS, "n_valid", F.md5(F.hex("bytes")).alias("digest"))
+    return _windows(spark, folder).select(
+        *KEYS, F.col("n_valid").cast("long").alias("n_valid"), F.md5(F.hex("bytes")).alias("digest")
+    )
 
 
 def strided_windows(spark: SparkSession, folder: str) -> DataFrame:

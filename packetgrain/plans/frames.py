@@ -74,7 +74,7 @@ def frame_parse(spark: SparkSession, folder: str) -> DataFrame:
     parsed = packets.parse(_frames(spark, folder))
     return parsed.select(
         "packet_index", "src", F.col("sport").cast("long").alias("sport"), "dst",
-        F.col("dport").cast("long").alias("dport"), "proto", "is_syn",
+        "dport", "proto", "is_syn",
         packets.bare_syn(F.col("flags")).alias("bare_syn"),
     )
 

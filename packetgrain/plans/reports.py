@@ -121,9 +121,9 @@ def eve_records(spark: SparkSession, folder: str) -> DataFrame:
     r = "record."
     return out.select(
         F.col(r + "timestamp"), F.col(r + "event_type"), F.col(r + "src_ip"), F.col(r + "dest_ip"),
-        F.col(r + "dest_port").cast("long").alias("dest_port"), F.col(r + "proto"),
-        F.col(r + "alert.signature_id").cast("long").alias("signature_id"),
-        F.col(r + "alert.severity").cast("long").alias("severity"), F.col(r + "alert.signature"),
+        F.col(r + "dest_port"), F.col(r + "proto"),
+        F.col(r + "alert.signature_id"),
+        F.col(r + "alert.severity"), F.col(r + "alert.signature"),
         F.col(r + "alert.metadata.score"), F.col(r + "alert.metadata.message"),
     )
 
@@ -226,7 +226,7 @@ def label_report(spark: SparkSession, folder: str) -> DataFrame:
         F.col("quality").alias("label"), (1 - F.col("toxic")).alias("prediction")
     )
     out = classify.report(guess)
-    return out.select("class", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+    return out.select(F.col("class").cast("int").alias("class"), "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
 QUERIES = {

@@ -134,7 +134,7 @@ def evt_threshold(spark: SparkSession, folder: str) -> DataFrame:
 def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
     """One evaluation per port: errors against the rest, calibration and holdout halves."""
     rows = events(spark, folder).select(
-        F.col("k").cast("long").alias("run"), "event_id", "ts_us", F.col("value").alias("score"),
+        F.col("k").alias("run"), "event_id", "ts_us", F.col("value").alias("score"),
         (F.col("event_type") == "error").cast("int").alias("label"),
     )
     parts = windows.half_split(rows, ["run"], [F.col("ts_us"), F.col("event_id")]).withColumnRenamed("part", "role")
