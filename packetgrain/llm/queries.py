@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetgrain.llm import packing, token_store
+from packetgrain.llm import decontaminate, license_scan, packing, token_store
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,5 +25,46 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.sequences(table(spark, folder, "documents"), tokenizer, "word_end", end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.occurrences(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.contaminated(found).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 13) AS n
+      FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+held AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t
+         FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+kinds AS (SELECT DISTINCT n FROM b),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, kinds WHERE len(w) >= n),
+hits AS (SELECT doc_id, item_id, i, n
+         FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM places) JOIN held USING (n, t)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.labels(license_scan.scan(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_orc, op5_best_fit_packing, op6_winnowing, op9_license_scan)}
+ORACLE: dict[str, str] = {"op6_winnowing": OP6_SQL}
