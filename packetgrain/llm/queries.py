@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.llm import decontaminate, license_scan, packing, token_store
+from packetgrain.llm import decontaminate, license_scan, packing, simhash, token_store
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,5 +66,12 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.labels(license_scan.scan(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_best_fit_packing, op6_winnowing, op9_license_scan)}
+def op3_simhash_vp_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"), size=4, radius=4)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_orc, op3_simhash_vp_tree, op5_best_fit_packing, op6_winnowing, op9_license_scan)
+}
 ORACLE: dict[str, str] = {"op6_winnowing": OP6_SQL}
