@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.llm import decontaminate, license_scan, packing, simhash, token_store
+from packetgrain.llm import decontaminate, features, license_scan, packing, quality, simhash, syncmers, token_store
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,8 +70,31 @@ def op3_simhash_vp_tree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), size=4, radius=4)
 
 
+def op7_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edited_pairs(table(spark, folder, "documents"))
+
+
+def op10_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (features.remainder(5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.col("quality_kept").cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_orc, op3_simhash_vp_tree, op5_best_fit_packing, op6_winnowing, op9_license_scan)
+    for f in (
+        op2_token_orc,
+        op3_simhash_vp_tree,
+        op5_best_fit_packing,
+        op6_winnowing,
+        op7_closed_syncmers,
+        op9_license_scan,
+        op10_subword_quality,
+    )
 }
 ORACLE: dict[str, str] = {"op6_winnowing": OP6_SQL}
