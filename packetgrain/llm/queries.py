@@ -6,13 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.llm import decontaminate, features, license_scan, packing, quality, simhash, syncmers, token_store
+from packetgrain.llm import (
+    decontaminate,
+    features,
+    language,
+    license_scan,
+    main_text,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    syncmers,
+    token_store,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, folder, "documents"))
+
+
 def op2_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = token_store.folder(spark)
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,10 +86,27 @@ def op3_simhash_vp_tree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), size=4, radius=4)
 
 
+def op4_page_tree(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, main_text.fit(pages)).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars")
+    )
+
+
 def op7_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.edited_pairs(table(spark, folder, "documents"))
 
 
+def op8_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs.select("doc_id", "text"), language.fit(docs)).select(
+        "doc_id",
+        (features.remainder(3) == 1).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 def op10_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, folder, "labels"))
@@ -88,11 +121,14 @@ def op10_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_token_orc,
         op3_simhash_vp_tree,
+        op4_page_tree,
         op5_best_fit_packing,
         op6_winnowing,
         op7_closed_syncmers,
+        op8_string_kernel,
         op9_license_scan,
         op10_subword_quality,
     )
