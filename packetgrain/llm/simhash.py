@@ -318,7 +318,7 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
                     ["leaf", "pair", "role", "node", "print"],
                 )
 
-    def meet(key, table: pa.Table) -> pa.Table:
+    def meet(key, table):
         node = table["node"].to_numpy()
         raw = b"".join(table["print"].to_pylist())
         prints = np.frombuffer(raw, np.uint64).reshape(-1, lanes)
