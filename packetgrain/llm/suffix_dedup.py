@@ -256,7 +256,8 @@ def _contexts(texts: DataFrame, runs: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """row, start, end of byte runs covered by strings that occur more than once, for ``texts(row, data)``."""
     runs = cut(_anchored(texts))
-    shared = runs.groupBy("key").count().where("count > 1").select("key")
+    # Written first, so that adaptive execution knows its size and can split the join's skewed keys.
+    shared = cut(runs.groupBy("key").count().where("count > 1").select("key"))
     places = cut(_contexts(texts, runs.join(shared, "key", "left_semi")))
     crowded = cut(
         places.select("key", "h1", "h2").distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
@@ -280,7 +281,7 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
             .select("key", "h1", "h2", "copies", "context")
             .mapInArrow(_string_hashes, "key long, h1 long, h2 long, copies long, step int, s1 long, s2 long")
         )
-        names = strings.groupBy("key", "s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
+        names = cut(strings.groupBy("key", "s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
         found = found.unionByName(
             strings.join(names, ["key", "s1", "s2"], "left_semi").select(
                 "key", "h1", "h2", F.col("step").alias("first"), F.col("step").alias("last")
