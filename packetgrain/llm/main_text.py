@@ -61,9 +61,10 @@ GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|te
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 # Prior log-odds: bias, FOR, AGAINST, bad name, good name, prose, heading, neutral, list item, length, links, stop.
-PRIOR = np.array([-1.0, 4.0, -5.0, -6.0, 1.5, 1.2, 0.4, -0.6, -0.4, 0.25, -4.0, 0.8])
+# What an element or a name says outweighs the texts of all blocks below it, however many there are.
+PRIOR = np.array([-0.3, 15.0, -20.0, -20.0, 1.5, 1.2, 0.8, -0.3, -0.3, 0.25, -3.0, 0.8])
 # Pseudo-counts of (parent, child) states below neutral wrappers and below all other blocks.
-PAIRS = np.array([[[6.0, 4.0], [2.0, 8.0]], [[97.0, 3.0], [4.0, 96.0]]])
+PAIRS = np.array([[[6.0, 4.0], [2.0, 8.0]], [[998.0, 2.0], [50.0, 950.0]]])
 
 
 @dataclass
