@@ -6,7 +6,8 @@ strings name the same place, so only suffixes that share such an anchor have to
 1. Equal texts are reduced to one with its number of copies.
 2. Each text is cut in runs of consecutive string starts with one anchor (about one run per 70 bytes). Runs whose
    anchor occurs nowhere else are done: their strings are unique.
-3. The bytes of the other runs (contexts) are grouped where they are equal, with partial aggregation.
+3. The bytes of the other runs (contexts) are joined where they are equal, batch by batch before they are dealt to
+   buckets of anchors and once more in the bucket.
 4. The strings of different contexts of one anchor are sorted bucket by bucket, deep-shallow: multikey quicksort,
    eight bytes at a time, to ``SHALLOW`` words; groups that are still equal then go to a blind trie, which skips to
    the word where the members of a node first differ and branches there. Members of a leaf are equal strings.
@@ -147,9 +148,23 @@ def _windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, step, offsets[:-1][row] + step
 
 
+def _combined(table: pa.Table) -> pa.Table:
+    """Equal contexts as one row with the sum of their copies."""
+    order, new = _ranks(*(table[c].to_numpy() for c in ("key", "h1", "h2")))
+    total = np.add.reduceat(table["copies"].to_numpy()[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+    kept = table.take(pa.array(order[new]))
+    return kept.set_column(kept.schema.get_field_index("copies"), "copies", pa.array(total, pa.int64()))
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal contexts of a batch joined before they are dealt out."""
+    for batch in batches:
+        yield from _combined(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+
 def _cover(key, table: pa.Table) -> pa.Table:
     """Covered string starts of every context of a bucket, as runs."""
-    table = table.combine_chunks()
+    table = _combined(table).combine_chunks()
     data, offsets = arrow.octets(table["context"])
     anchor, lead, copies = (table[c].to_numpy() for c in ("key", "lead", "copies"))
     row, step, start = _windows(offsets)
@@ -262,8 +277,8 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     crowded = cut(
         places.select("key", "h1", "h2").distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
     )
-    contexts = places.groupBy("key", "h1", "h2").agg(
-        F.count("*").alias("copies"), F.first("lead").alias("lead"), F.first("context").alias("context")
+    contexts = places.select("key", "h1", "h2", F.lit(1).cast("long").alias("copies"), "lead", "context").mapInArrow(
+        _combine, "key long, h1 long, h2 long, copies long, lead int, context binary"
     )
     size = places.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
@@ -277,8 +292,9 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     )
     if crowded.limit(1).count():
         strings = cut(
-            contexts.join(crowded, "key", "left_semi")
-            .select("key", "h1", "h2", "copies", "context")
+            places.join(crowded, "key", "left_semi")
+            .groupBy("key", "h1", "h2")
+            .agg(F.count("*").alias("copies"), F.first("context").alias("context"))
             .mapInArrow(_string_hashes, "key long, h1 long, h2 long, copies long, step int, s1 long, s2 long")
         )
         names = cut(strings.groupBy("key", "s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
