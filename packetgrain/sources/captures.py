@@ -130,7 +130,7 @@ def _blocks(r: _Reader, state: dict, stop: int | None, bodies: bool):
         if fixed[:4] == b"\x0a\x0d\x0d\x0a":
             mark = r.take(4)
             state["order"] = "<" if mark == b"\x4d\x3c\x2b\x1a" else ">"
-            state["links"], state["units"] = [], []
+            state["links"], state["units"], state["snaps"] = [], [], []
             size = struct.unpack(state["order"] + "I", fixed[4:])[0]
             r.take(size - 12)
             continue
@@ -139,6 +139,7 @@ def _blocks(r: _Reader, state: dict, stop: int | None, bodies: bool):
             body = r.take(size - 8)
             state["links"].append(struct.unpack(state["order"] + "H", body[:2])[0])
             state["units"].append(_resolution(body[8:-4], state["order"]))
+            state["snaps"].append(struct.unpack(state["order"] + "I", body[4:8])[0])
         elif kind == ENHANCED:
             head = r.take(20)
             face, high, low, kept, _ = struct.unpack(state["order"] + "IIIII", head)
@@ -154,7 +155,9 @@ def _blocks(r: _Reader, state: dict, stop: int | None, bodies: bool):
             yield begin, ticks * 1_000_000 // state["units"][face], state["links"][face], data
         elif kind == SIMPLE:
             body = r.take(size - 8)
-            yield begin, 0, state["links"][0], body[4:-4]
+            # No captured length is stored: the packet is cut at the snap length (0: none), padding follows.
+            sent = struct.unpack(state["order"] + "I", body[:4])[0]
+            yield begin, 0, state["links"][0], body[4:-4][: min(sent, state["snaps"][0] or sent)]
         else:
             r.skip(size - 8)
 
@@ -169,15 +172,16 @@ def _pack(head: bytes, state: dict) -> bytes:
     """What a split must know: the classic header, or byte order and interfaces."""
     if head[:4] in PCAP_MAGIC:
         return head
-    faces = zip(state.get("links", []), state.get("units", []))
-    return head[:4] + state.get("order", "<").encode() + b"".join(struct.pack("<IQ", k, u) for k, u in faces)
+    faces = zip(state.get("links", []), state.get("units", []), state.get("snaps", []))
+    return head[:4] + state.get("order", "<").encode() + b"".join(struct.pack("<IQI", *f) for f in faces)
 
 
 def _unpack(head: bytes) -> dict:
     if head[:4] in PCAP_MAGIC:
         return {}
-    faces = list(struct.iter_unpack("<IQ", head[5:]))
-    return {"order": head[4:5].decode(), "links": [f[0] for f in faces], "units": [f[1] for f in faces]}
+    faces = list(struct.iter_unpack("<IQI", head[5:]))
+    links, units, snaps = ([f[i] for f in faces] for i in range(3))
+    return {"order": head[4:5].decode(), "links": links, "units": units, "snaps": snaps}
 
 
 def _find_splits(split_bytes: int):

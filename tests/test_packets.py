@@ -182,6 +182,24 @@ def test_capture_files_are_read_in_splits(spark, tmp_path):
     assert [r.name for r in captures.attack_files(files, used, 5).collect()] == ["b.pcap", "c.pcapng", "d.pcap.gz"]
 
 
+def test_simple_packet_blocks_lose_their_padding(spark, tmp_path):
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        return struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+
+    packets = [b"abcde", b"x" * 8, b"cut here" + b"y" * 30]
+    for snap in (0, 9):
+        out = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, snap))
+        for p in packets:
+            out += block(3, struct.pack("<I", len(p)) + p[: snap or None])
+        folder = tmp_path / str(snap)
+        folder.mkdir()
+        (folder / "s.pcapng").write_bytes(out)
+        for split in (50, 1 << 20):
+            got = captures.read_captures(spark, str(folder), split).orderBy("packet_index").collect()
+            assert [bytes(r.data) for r in got] == [p[: snap or None] for p in packets]
+
+
 def test_flow_table(spark, tmp_path):
     def row(src="1.1.1.1", sport="0x50", proto="tcp", label="1", cat=" DoS "):
         c = [""] * 49
