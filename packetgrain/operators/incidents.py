@@ -346,33 +346,40 @@ def ban_episodes(requests: DataFrame, ttl_us: int = BAN_TTL_US) -> DataFrame:
     A request during a ban raises its count and replaces the reason; the start stays.
     A ban ends when its time is over, and the next request starts a new one. Requests
     are incident openings, so their number per address is bounded by time; a pause of
-    the ban's length always ends a ban, so each stretch without one is folded by itself.
+    the longest ban's length always ends a ban, so each stretch without one is folded by
+    itself. A ``ttl_us`` column gives requests a length of their own (null: the default);
+    a running ban keeps the longest it was given.
     """
     clean = requests.where(F.col("ip").isNotNull() & ~F.col("ip").isin(NEVER_BANNED) & (F.col("ip") != ""))
+    own, longest = F.lit(ttl_us), ttl_us
+    if "ttl_us" in requests.columns:
+        own = F.coalesce("ttl_us", own)
+        longest = max(ttl_us, clean.agg(F.max("ttl_us")).first()[0] or 0)
+    clean = clean.withColumn("_ttl", own.cast("long"))
     stretches = incidents(
-        clean.withColumn("score", F.lit(0.0)).withColumn("alert_id", F.col("tie")), ["ip"], ttl_us
+        clean.withColumn("score", F.lit(0.0)).withColumn("alert_id", F.col("tie")), ["ip"], longest
     ).select("ip", F.col("incident").alias("stretch"), "first_us", "last_us")
-    cell = F.floor(F.col("ts_us") / ttl_us)
+    cell = F.floor(F.col("ts_us") / longest)
     spread = stretches.withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("first_us") / ttl_us), F.floor(F.col("last_us") / ttl_us)))
+        "_cell", F.explode(F.sequence(F.floor(F.col("first_us") / longest), F.floor(F.col("last_us") / longest)))
     )
     placed = clean.withColumn("_cell", cell).join(spread, ["ip", "_cell"]).where(
         (F.col("ts_us") >= F.col("first_us")) & (F.col("ts_us") <= F.col("last_us"))
     )
     grouped = placed.groupBy("ip", "stretch").agg(
-        F.array_sort(F.collect_list(F.struct("ts_us", "tie", "reason", "type"))).alias("_r")
+        F.array_sort(F.collect_list(F.struct("ts_us", "tie", "reason", "type", "_ttl"))).alias("_r")
     )
 
     def fresh(r):
         return F.struct(
-            r["ts_us"].alias("banned_at"), F.lit(ttl_us).cast("long").alias("ttl"), F.lit(1).cast("long").alias("count"),
+            r["ts_us"].alias("banned_at"), r["_ttl"].alias("ttl"), F.lit(1).cast("long").alias("count"),
             r["ts_us"].alias("last_seen"), r["reason"].alias("reason"), r["type"].alias("incident_type"),
         )
 
     def fold(acc, r):
         last = F.element_at(acc, -1)
         again = F.struct(
-            last["banned_at"].alias("banned_at"), last["ttl"].alias("ttl"), (last["count"] + 1).alias("count"),
+            last["banned_at"].alias("banned_at"), F.greatest(last["ttl"], r["_ttl"]).alias("ttl"), (last["count"] + 1).alias("count"),
             r["ts_us"].alias("last_seen"), r["reason"].alias("reason"), last["incident_type"].alias("incident_type"),
         )
         active = (F.size(acc) > 0) & (r["ts_us"] - last["banned_at"] < last["ttl"])
@@ -387,10 +394,11 @@ def ban_episodes(requests: DataFrame, ttl_us: int = BAN_TTL_US) -> DataFrame:
     return grouped.select("ip", F.explode(episodes).alias("b")).select("ip", "b.*")
 
 
-def active_bans(episodes: DataFrame, now_us: Column) -> DataFrame:
-    """Bans still running at ``now_us``, longest remaining first."""
+def active_bans(requests: DataFrame, now_us: Column, ttl_us: int = BAN_TTL_US) -> DataFrame:
+    """Bans running at ``now_us`` as the requests up to then left them, longest remaining first."""
+    episodes = ban_episodes(requests.where(F.col("ts_us") <= now_us), ttl_us)
     left = (F.col("banned_at") + F.col("ttl") - now_us) / 1e6
-    live = (F.col("banned_at") <= now_us) & (now_us - F.col("banned_at") < F.col("ttl"))
+    live = now_us - F.col("banned_at") < F.col("ttl")
     return episodes.where(live).withColumn("remaining_secs", F.round(left, 1)).orderBy(
         F.desc("remaining_secs"), "ip"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetgrain.operators.ordering import running
@@ -58,14 +58,17 @@ def padded(intervals: DataFrame, margin_us: int) -> DataFrame:
     )
 
 
-def fit_end(intervals: DataFrame, lead_us: int = 5 * MINUTE_US) -> DataFrame:
+LEAD_US = 5 * MINUTE_US
+
+
+def fit_end(intervals: DataFrame, lead_us: int = LEAD_US) -> DataFrame:
     """Benign fitting stops this long before the first padded attack."""
     return intervals.agg((F.min("lo_us") - lead_us).alias("fit_end_us"))
 
 
-def fit_slice(points: DataFrame, intervals: DataFrame, ts: str = "ts_us") -> DataFrame:
+def fit_slice(points: DataFrame, intervals: DataFrame, ts: str = "ts_us", lead_us: int = LEAD_US) -> DataFrame:
     """Rows before the end of the benign lead-in."""
-    end = fit_end(intervals).withColumn("_one", F.lit(1))
+    end = fit_end(intervals, lead_us).withColumn("_one", F.lit(1))
     return points.withColumn("_one", F.lit(1)).join(F.broadcast(end), "_one").where(
         F.col(ts) < F.col("fit_end_us")
     ).drop("_one", "fit_end_us")
@@ -100,10 +103,10 @@ def false_alarms(alarms: DataFrame, intervals: DataFrame, ts: str = "ts_us", aft
     ).drop("_one", "fit_end_us")
 
 
-def benign_hours(intervals: DataFrame, span_end: DataFrame) -> DataFrame:
+def benign_hours(intervals: DataFrame, span_end: DataFrame, lead_us: int = LEAD_US) -> DataFrame:
     """Span after the fit period minus each attack's clipped length; overlaps count twice."""
     one = intervals.withColumn("_one", F.lit(1)).join(span_end.withColumn("_one", F.lit(1)), "_one")
-    all_ = one.withColumn("fit_end_us", F.min("lo_us").over(Window.partitionBy("_one")) - 5 * MINUTE_US)
+    all_ = one.join(fit_end(intervals, lead_us).withColumn("_one", F.lit(1)), "_one")
     clipped = F.greatest(
         F.lit(0), F.least("hi_us", "span_end_us") - F.greatest("lo_us", "fit_end_us")
     )
@@ -184,7 +187,8 @@ def attacker_categories(flows: DataFrame) -> DataFrame:
     return attackers.join(found, "ip", "left").select("ip", F.coalesce("cat", F.lit("unknown")).alias("cat"))
 
 
-LEVELS = 32
+# Blocks of up to 2^61 numbers: whole numbers within 2^61 of zero, so any span in microseconds.
+LEVELS = 62
 
 
 def dyadic_pieces(start: Column, end: Column) -> Column:
@@ -193,15 +197,16 @@ def dyadic_pieces(start: Column, end: Column) -> Column:
     A level gives at most its first block, when that is an odd one, and its last, when
     that is even; any other block inside is half of a larger one that is inside too.
     """
+    start, end = start.cast("long"), end.cast("long")
 
     def at(level: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
-        first = F.floor((start + size - 1) / size)
-        last = F.floor((end + 1) / size) - 1
+        first = F.call_function("shiftright", start + size - 1, level)
+        last = F.call_function("shiftright", end + 1, level) - 1
         inside = first <= last
         return F.array(
-            F.when(inside & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block"))),
-            F.when(inside & (last % 2 == 0), F.struct(level.alias("level"), last.alias("block"))),
+            F.when(inside & (first.bitwiseAND(1) == 1), F.struct(level.alias("level"), first.alias("block"))),
+            F.when(inside & (last.bitwiseAND(1) == 0), F.struct(level.alias("level"), last.alias("block"))),
         )
 
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)))
@@ -234,6 +239,14 @@ def _time_hits(packets: DataFrame, spans: DataFrame, keys: list[str]) -> DataFra
     )
 
 
+def flow_fields(parsed: DataFrame, ts: str = "ts_us") -> DataFrame:
+    """Parsed packets under the names and types of the ground-truth flows, for ``label_packets``."""
+    return parsed.withColumns({
+        "srcip": F.col("src"), "sport": F.col("sport").cast("long"), "dstip": F.col("dst"),
+        "dsport": F.col("dport").cast("long"), "proto": F.col("protocol"), "t": F.floor(F.col(ts) / 1_000_000),
+    }).drop("src", "dst", "dport", "protocol")
+
+
 def label_packets(
     packets: DataFrame, flows: DataFrame, capture: list[str], mode: str = "auto"
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetgrain.operators.scoring import score_with
-from packetgrain.session import MODEL_ROWS, limit
+from packetgrain.session import MODEL_ROWS, cut, limit
 
 ALPHA = 0.1
 MAX_ORDER = 6
@@ -178,6 +178,16 @@ def score_windows(
 SALTS = 16
 
 
+def _by_content(windows: DataFrame, data: str) -> tuple[DataFrame, DataFrame]:
+    """Windows with the 128-bit digest of their bytes, and every distinct content once.
+
+    What a model says of a window depends on its bytes alone. Large models therefore work
+    on the contents, and their answers go back to all windows, equal or not in other columns.
+    """
+    marked = windows.withColumn("_content", F.unhex(F.md5(data)))
+    return marked, marked.select("_content", data).dropDuplicates(["_content"])
+
+
 def position_bits_joined(
     windows: DataFrame, model: DataFrame, keys: list[str], order: int, alpha: float, data: str
 ) -> DataFrame:
@@ -200,7 +210,7 @@ def position_bits_joined(
     positions = windows.select(*keys, data).mapInPandas(explode, schema)
     salted = positions.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
     salted = salted.withColumn("ctx", F.shiftright("code", 8))
-    table = surprise_table(model, alpha)
+    table = cut(surprise_table(model, alpha))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
     seen = table.select("code", "bits", salts)
     contexts = table.select("ctx", "unseen_bits").distinct().select("ctx", "unseen_bits", salts)
@@ -218,10 +228,10 @@ def score_windows_joined(
     alpha: float = ALPHA,
     data: str = "bytes",
 ) -> DataFrame:
-    """The same scores for a model of any size; a group is one window's distinct codes."""
-    keys = [c for c in windows.columns if c != data]
-    bits = position_bits_joined(windows, model, keys, order, alpha, data)
-    grouped = bits.groupBy(*keys).agg(
+    """The same scores for a model of any size; a group is one content's distinct codes."""
+    marked, contents = _by_content(windows, data)
+    bits = position_bits_joined(contents, model, ["_content"], order, alpha, data)
+    grouped = bits.groupBy("_content").agg(
         F.sum("n").alias("_n"),
         F.sum(F.col("bits") * F.col("n")).alias("_sum"),
         F.max("bits").alias("max_bits"),
@@ -237,12 +247,13 @@ def score_windows_joined(
         )
 
     top = F.aggregate("_top", start, take, lambda acc: acc["sum"])
-    return grouped.select(
-        *keys,
+    scores = grouped.select(
+        "_content",
         (F.col("_sum") / F.col("_n")).alias("mean_bits"),
         "max_bits",
         (top / F.least(k, F.col("_n"))).alias("topk_bits"),
     )
+    return marked.drop(data).join(scores, "_content").drop("_content")
 
 
 def context_entropy(model: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -309,16 +320,17 @@ def _spikes_joined(
 ) -> DataFrame:
     """The same marks for a model of any size, by a salted join per position."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
-    positions = _positions(windows, keys, order - 1, data).withColumnRenamed("code", "ctx")
+    marked, contents = _by_content(windows, data)
+    positions = _positions(contents, ["_content"], order - 1, data).withColumnRenamed("code", "ctx")
     joined = positions.join(table.select("ctx", "high", salts), ["ctx", "_salt"], "left")
     flag = F.coalesce("high", F.lit(8.0 > threshold))
-    marked = joined.groupBy(*keys).agg(
+    found = joined.groupBy("_content").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", flag.alias("f")))), lambda x: x["f"]
         ).alias("_m")
     )
     early = F.array_repeat(F.lit(False), F.least(F.length(data), F.lit(order - 1)))
-    return windows.join(marked, keys, "left").select(
+    return marked.join(found, "_content", "left").select(
         *keys, F.concat(early, F.coalesce("_m", F.array().cast("array<boolean>"))).alias("spikes")
     )
 
@@ -366,20 +378,23 @@ def bits_arrays(
             return np.split(shared.value(code), ends[:-1])
 
         return score_with(plain, scorer, data).drop(data)
-    table = surprise_table(model, alpha)
+    table = cut(surprise_table(model, alpha))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
     contexts = table.select("ctx", "unseen_bits").distinct().select("ctx", "unseen_bits", salts)
+    marked, contents = _by_content(plain, data)
     joined = (
-        _positions(plain, keys, order, data)
+        _positions(contents, ["_content"], order, data)
         .withColumn("ctx", F.shiftright("code", 8))
         .join(table.select("code", "bits", salts), ["code", "_salt"], "left")
         .join(contexts, ["ctx", "_salt"], "left")
     )
     bits = F.coalesce("bits", "unseen_bits", F.lit(8.0)).alias("b")
-    # A group is one window, so it holds at most the window's width.
-    return joined.groupBy(*keys).agg(
+    # A group is one window's content, so it holds at most the window's width.
+    found = joined.groupBy("_content").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", bits))), lambda x: x["b"]).alias("bits")
     )
+    none = F.array().cast("array<double>")
+    return marked.join(found, "_content", "left").select(*keys, F.coalesce("bits", none).alias("bits"))
 
 
 def _positions(windows: DataFrame, keys: list[str], order: int, data: str) -> DataFrame:

@@ -36,6 +36,7 @@ HEADER = T.StructType(
         T.StructField("dport", T.IntegerType()),
         T.StructField("proto", T.StringType()),
         T.StructField("flags", T.IntegerType()),
+        T.StructField("protocol", T.IntegerType()),
     ]
 )
 
@@ -58,8 +59,8 @@ def _headers(data: pd.Series) -> pd.DataFrame:
     ok = (v4 | v6) & (n >= l4 + np.select([tcp, udp], [14, 4], 0))
     known = ok & (tcp | udp)
 
-    def number(values: np.ndarray) -> pd.Series:
-        return pd.Series(pd.arrays.IntegerArray(np.where(known, values, 0).astype(np.int32), ~ok))
+    def number(values: np.ndarray, valid: np.ndarray = known) -> pd.Series:
+        return pd.Series(pd.arrays.IntegerArray(np.where(valid, values, 0).astype(np.int32), ~ok))
 
     def text(back: int) -> list[str | None]:
         first = np.where(v4, l3 + 12 + 4 * back, l3 + 8 + 16 * back).tolist()
@@ -73,14 +74,16 @@ def _headers(data: pd.Series) -> pd.DataFrame:
         {
             "src": text(0), "sport": number(f.u16(l4)), "dst": text(1), "dport": number(f.u16(l4 + 2)),
             "proto": name, "flags": number(np.where(tcp, f.u8(l4 + 13), 0)),
+            "protocol": number(proto, ok),
         }
     )
 
 
 def parse(packets: DataFrame, data: str = "data") -> DataFrame:
-    """Add src, sport, dst, dport, proto, flags and is_syn; null when not parsed.
+    """Add src, sport, dst, dport, proto, flags, protocol and is_syn; null when not parsed.
 
-    One VLAN tag, IPv4 with options, IPv6. TCP needs 14 bytes of its header, UDP four.
+    ``proto`` names the protocol as alerts do, ``protocol`` is its number as ground truth
+    has it. One VLAN tag, IPv4 with options, IPv6. TCP needs 14 bytes of its header, UDP four.
     The headers of a batch are read together; only addresses are turned to text one by one.
     """
     read = packets.withColumn("_h", _headers(data))

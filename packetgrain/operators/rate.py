@@ -56,17 +56,21 @@ def rate_threshold(fit: DataFrame, all_buckets: DataFrame, keys: list[str], alar
     """The smallest whole threshold from 1 whose fit exceedances stay within budget.
 
     Exceedances only fall as the threshold rises, so the answer is read off the running
-    counts of the distinct scores.
+    counts of the distinct scores. Below the lowest fit score all fit buckets exceed; a key
+    without fit buckets has no exceedance at all, so its threshold is 1.
     """
-    sizes = fit.groupBy(*keys).agg((F.lit(alarms_per_10k) * F.count(F.lit(1)) / 10000.0).alias("_budget"))
+    sizes = fit.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    share = alarms_per_10k / 10000.0
     counted = fit.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n"))
     above = running(counted, keys, [-F.col("score")], {"_above": ("sum", F.col("_n"))}, inclusive=False)
     # A distinct score v qualifies as threshold when the scores above it fit the budget.
-    ok = above.join(sizes, keys).where(F.coalesce("_above", F.lit(0)) <= F.col("_budget"))
+    ok = above.join(sizes, keys).where(F.coalesce("_above", F.lit(0)) <= share * F.col("_size"))
     lowest = ok.groupBy(*keys).agg(F.greatest(F.lit(1), F.min("score")).alias("threshold"))
     top = all_buckets.groupBy(*keys).agg((F.max("score") + 1).alias("_top"))
-    return top.join(lowest, keys, "left").select(
-        *keys, F.coalesce("threshold", "_top").cast("double").alias("threshold")
+    size = F.coalesce("_size", F.lit(0))
+    found = F.when(size <= share * size, F.lit(1)).otherwise(F.coalesce("threshold", "_top"))
+    return top.join(sizes, keys, "left").join(lowest, keys, "left").select(
+        *keys, found.cast("double").alias("threshold")
     )
 
 

@@ -156,7 +156,8 @@ def ban_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def active_bans(spark: SparkSession, folder: str) -> DataFrame:
     now = F.lit(1_705_700_000_000_000)
-    return incidents.active_bans(ban_list(spark, folder), now).select("ip", "banned_at", "count", "reason", "remaining_secs")
+    found = incidents.active_bans(_ban_requests(spark, folder), now, 5 * DAY_US)
+    return found.select("ip", "banned_at", "count", "reason", "remaining_secs")
 
 
 def capture_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,11 +285,14 @@ ms AS (
          CASE WHEN user_id IS NOT NULL THEN '10.0.0.' || user_id END AS src,
          strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%g') AS iso
   FROM inc)"""
-_BANS = _INC + f""",
+
+
+def _bans(where: str = "true") -> str:
+    return _INC + f""",
 rq AS (
   SELECT '10.0.0.' || user_id AS ip, first_us AS ts_us, alert_id AS tie, type || '#' || alert_id AS reason, type,
          row_number() OVER (PARTITION BY user_id ORDER BY first_us, alert_id, type || '#' || alert_id) AS i
-  FROM inc WHERE user_id IS NOT NULL),
+  FROM inc WHERE user_id IS NOT NULL AND {where}),
 bn AS (
   SELECT ip, i, ts_us AS banned_at, 1::BIGINT AS count, ts_us AS last_seen, reason, type AS incident_type, 1 AS ep
   FROM rq WHERE i = 1
@@ -302,6 +306,7 @@ be AS (
          max(last_seen) AS last_seen, arg_max(reason, i) AS reason, any_value(incident_type) AS incident_type
   FROM bn GROUP BY ip, ep)"""
 
+
 ORACLE = {
     "alert_gates": f"WITH {_GATES} SELECT event_id, type FROM gt",
     "incident_sessions": f"""
@@ -367,12 +372,12 @@ FROM ms""",
     "campaign_targets": f"""
 WITH {_MSG} SELECT regexp_extract(message, 'targeting (\\S+)', 1) AS target, count(*) AS incidents FROM ms GROUP BY 1""",
     "ban_list": f"""
-WITH RECURSIVE {_BANS}
+WITH RECURSIVE {_bans()}
 SELECT ip, banned_at, ttl, count, last_seen, reason, incident_type FROM be""",
     "active_bans": f"""
-WITH RECURSIVE {_BANS}
+WITH RECURSIVE {_bans("first_us <= 1705700000000000")}
 SELECT ip, banned_at, count, reason, round((banned_at + ttl - 1705700000000000) / 1e6, 1) AS remaining_secs
-FROM be WHERE banned_at <= 1705700000000000 AND 1705700000000000 - banned_at < ttl""",
+FROM be WHERE 1705700000000000 - banned_at < ttl""",
     "capture_gaps": f"""
 WITH {EV},
 g AS (SELECT user_id, ts_us, lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us) AS p FROM ev)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import struct
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ PCAP_MAGIC = {
 }
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 CAPTURE_NAMES = r"(?i)\.(pcap|pcapng|cap)(\.gz)?$"
+# Words of file names of captures split by class.
 CLASS_WORDS = "attack|normal|benign|exploit|fuzz|dos|recon|shellcode|worm|backdoor|generic"
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with size and time; contents are not read."""
+    """Files below a folder with size and time; contents are not read. Spark lists no empty files."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select("path", "length", "modificationTime")
@@ -257,11 +259,23 @@ def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """K2: SHA-256 of every capture file; for files up to 2 GB, the limit of one binary row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("source_filename"),
-        F.sha2("content", 256).alias("file_hash"), F.col("modificationTime").alias("file_mtime"),
+    """K2: SHA-256 of every capture file, read as a stream, so a file may have any length."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for one in pdf["path"]:
+                state = hashlib.sha256()
+                with _open(one) as raw:
+                    while block := raw.read(1 << 20):
+                        state.update(block)
+                found.append(state.hexdigest())
+            yield pdf[["name", "modificationTime"]].assign(file_hash=found)
+
+    files = listing(spark, path).select("path", "name", "modificationTime")
+    spread = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInPandas(digest, "name string, modificationTime timestamp, file_hash string").select(
+        F.col("name").alias("source_filename"), "file_hash", F.col("modificationTime").alias("file_mtime")
     )
 
 

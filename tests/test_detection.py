@@ -113,8 +113,39 @@ def test_bans(spark):
     df = spark.createDataFrame([(ip, t, i, f"r{i}", "BYTE") for i, (ip, t) in enumerate(rows)], "ip string, ts_us long, tie long, reason string, type string")
     got = incidents.ban_episodes(df).orderBy("banned_at").collect()
     assert [(r.ip, r.banned_at, r["count"], r.reason) for r in got] == [("1.1.1.1", 0, 2, "r1"), ("1.1.1.1", 900 * s, 1, "r2")]
-    live = incidents.active_bans(incidents.ban_episodes(df), F.lit(1000 * s)).collect()
+    live = incidents.active_bans(df, F.lit(1000 * s)).collect()
     assert [(r.banned_at, r.remaining_secs) for r in live] == [(900 * s, 800.0)]
+    early = incidents.active_bans(df, F.lit(100 * s)).collect()
+    assert [(r.banned_at, r["count"], r.reason, r.last_seen) for r in early] == [(0, 1, "r0", 0)]
+
+
+def test_bans_with_lengths_of_their_own(spark):
+    s = 1_000_000
+    rows = [("1.1.1.1", 0, 0, "a", "BYTE", 10 * s), ("1.1.1.1", 5 * s, 1, "b", "RATE", 2000 * s),
+            ("1.1.1.1", 1900 * s, 2, "c", "BYTE", None), ("1.1.1.1", 2000 * s, 3, "d", "BYTE", 10 * s),
+            ("1.1.1.1", 2010 * s, 4, "e", "BYTE", 10 * s)]
+    df = spark.createDataFrame(rows, "ip string, ts_us long, tie long, reason string, type string, ttl_us long")
+    got = incidents.ban_episodes(df).orderBy("banned_at").collect()
+    assert [(r.banned_at // s, r.ttl // s, r["count"], r.reason) for r in got] == [
+        (0, 2000, 3, "c"), (2000, 10, 1, "d"), (2010, 10, 1, "e")
+    ]
+
+
+@pytest.mark.parametrize(("fit", "budget", "want"), [
+    ([], 5.0, 1.0), ([7, 7, 9], 5.0, 9.0), ([7, 7, 9], 3400.0, 7.0), ([7, 7, 9], 10_000.0, 1.0), ([1, 1], 0.0, 1.0)])
+def test_rate_threshold_is_the_smallest_within_budget(spark, fit, budget, want):
+    every = spark.createDataFrame([("x", v) for v in [*fit, 60]], "capture string, score long")
+    some = spark.createDataFrame([("x", v) for v in fit], "capture string, score long")
+    got = rate.rate_threshold(some, every, ["capture"], budget).collect()
+    assert [(r.capture, r.threshold) for r in got] == [("x", want)]
+
+
+def test_benign_hours_follow_the_lead(spark):
+    hour = 3_600_000_000
+    spans = spark.createDataFrame([(10 * hour, 11 * hour)], "lo_us long, hi_us long")
+    end = spark.createDataFrame([(20 * hour,)], "span_end_us long")
+    for lead in (0, 1, 2):
+        assert match.benign_hours(spans, end, lead * hour).first().benign_hours == pytest.approx(9 + lead)
 
 
 def test_eve_record_vector(spark):
@@ -217,10 +248,12 @@ def test_excerpts(spark):
 def test_dyadic_pieces_cover_exactly(spark):
     rnd = random.Random(5)
     spans = [(a, a + rnd.randrange(300)) for a in (rnd.randrange(1000) for _ in range(60))] + [(7, 7), (0, 255)]
-    df = spark.createDataFrame(spans, "a long, b long")
+    long = [(1 << 32, (1 << 33) - 1), (0, 1 << 35), (-5, 9), (1_705_700_000_000_001, 1_805_700_000_000_002), (3, (1 << 60) + 1)]
+    df = spark.createDataFrame(spans + long, "a long, b long")
     for r in df.select("a", "b", match.dyadic_pieces(F.col("a"), F.col("b")).alias("p")).collect():
-        covered = [x for p in r.p for x in range(p.block << p.level, (p.block + 1) << p.level)]
-        assert sorted(covered) == list(range(r.a, r.b + 1))
+        edges = sorted((p.block << p.level, (p.block + 1) << p.level) for p in r.p)
+        assert edges[0][0] == r.a and edges[-1][1] == r.b + 1
+        assert all(one[1] == two[0] for one, two in zip(edges, edges[1:]))
 
 
 def test_ranges_keep_streams_together(spark):

@@ -1,5 +1,6 @@
 """Listings, manifests, sinks and the state of streaming detectors."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -140,3 +141,26 @@ def test_link_types(spark):
     df = spark.createDataFrame([(i, link, data) for i, (link, data) in enumerate(rows)], "i int, linktype int, data binary")
     got = [r.data for r in packets.to_ethernet(df).orderBy("i").collect()]
     assert bytes(got[0]) == frame() and all(bytes(g) == bytes(12) + b"\x08\x00" + ip for g in got[1:4]) and got[4] is None
+
+
+def test_file_hashes_and_unchanged_files(spark, tmp_path):
+    contents = {"a.pcap": b"x" * 3_000_000, "b.pcap": b"b", "c.pcap": b"\x00\x01"}
+    for name, body in contents.items():
+        (tmp_path / name).write_bytes(body)
+    hashed = captures.file_hashes(spark, str(tmp_path))
+    assert {r.source_filename: r.file_hash for r in hashed.collect()} == {n: hashlib.sha256(b).hexdigest() for n, b in contents.items()}
+    same = captures.unchanged(captures.listing(spark, str(tmp_path)), hashed.where("source_filename <> 'b.pcap'"))
+    assert {r.name for r in same.collect()} == {"a.pcap", "c.pcap"}
+
+
+def test_digests_are_written_as_text(spark, tmp_path):
+    rows = [(0, 3_600_000_000, 2, {"BYTE": 1, "RATE": 1}, ["a -> b"], [80, 443], None, False, "quiet"),
+            (3_600_000_000, 7_200_000_000, 0, {}, [], [], 0.25, True, "DRIFT")]
+    schema = ("window_start_us long, window_end_us long, incidents long, by_type map<string,int>, top_talkers array<string>, "
+              "top_ports array<int>, drift_psi double, drift_flag boolean, verdict string")
+    writers.write_csv(writers.digest_rows(spark.createDataFrame(rows, schema)), str(tmp_path / "d"))
+    got = spark.read.csv(str(tmp_path / "d"), header=True).orderBy("window_start").collect()
+    assert [tuple(r) for r in got] == [
+        ("1970-01-01T00:00:00", "1970-01-01T01:00:00", "2", "{'BYTE':1,'RATE':1}", "['a -> b']", "[80,443]", "None", "False", "quiet"),
+        ("1970-01-01T01:00:00", "1970-01-01T02:00:00", "0", "{}", "[]", "[]", "0.25", "True", "DRIFT"),
+    ]

@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from packetgrain.operators import masking, ngram, packets, tls, windows
+from packetgrain.operators import masking, match, ngram, packets, tls, windows
 from packetgrain.operators.tls import walk
 from packetgrain.sources import captures, documents
 
@@ -227,6 +227,40 @@ def test_entropy_and_pads(spark):
     assert one == [0, 255, -1, -1]
 
 
+def test_frames_are_labelled_from_the_flow_table(spark, tmp_path):
+    def row(src, sport, proto, cat):
+        c = [""] * 49
+        c[0], c[1], c[2], c[3], c[4], c[28], c[29], c[47], c[48] = src, sport, "10.0.0.1", "80", proto, "0", "9", cat, "1"
+        return ",".join(c)
+
+    (tmp_path / "f.csv").write_text("\n".join([row("192.168.1.100", "12345", "tcp", "dos"), row("9.9.9.9", "1", "udp", "fuzz")]))
+    flows = documents.attack_flows(spark, str(tmp_path))
+    frames = [frame(n, 80, src="192.168.1.100", dst="10.0.0.1") for n in (12345, 5)]
+    rows = match.flow_fields(packets.parse(table(spark, frames)).withColumn("ts_us", F.lit(3_000_000)))
+    got = match.label_packets(rows.withColumn("capture", F.lit("c")), flows, ["capture"], "relaxed").orderBy("packet_index")
+    assert [(r.proto, r.tier, r.cat) for r in got.collect()] == [(6, "5tuple", "dos"), (6, "pair", "dos")]
+
+
+def test_large_model_keeps_windows_of_equal_keys_apart(spark, limits):
+    texts = [("k", b"abcabcabd" * 5), ("k", b"abcabcabd" * 5), ("k", b"zyxwvabca" * 4), (None, b"abcd" * 9), ("short", b"ab")]
+    df = spark.createDataFrame(texts, "win string, bytes binary")
+    model = ngram.train(df, 2)
+
+    def scores():
+        return sorted((str(r.win), round(r.mean_bits, 9), round(r.max_bits, 9), round(r.topk_bits, 9)) for r in ngram.score_windows(df, model, 2).collect())
+
+    def arrays():
+        return sorted((str(r.win), [round(b, 9) for b in r.bits]) for r in ngram.bits_arrays(df, model, ["win"], 2).collect())
+
+    def marks():
+        return sorted((str(r.win), r.spikes) for r in ngram.spikes(df, model, ["win"], 2.0, 2).collect())
+
+    near = scores(), arrays(), marks()
+    limits(modelRows=1)
+    assert (scores(), arrays(), marks()) == near
+    assert [len(x) for x in near] == [4, 5, 5]
+
+
 def test_large_model_paths_agree(spark, limits):
     texts = [(i, bytes((j * j + i) % 23 + 97 for j in range(60 + i))) for i in range(40)]
     df = spark.createDataFrame(texts, "win long, bytes binary")
