@@ -54,7 +54,8 @@ def incident_rows(found: DataFrame) -> DataFrame:
 def digest_rows(digests: DataFrame) -> DataFrame:
     """K4: log lines of hourly digests; counts by type and lists are written as text."""
     listed = [F.regexp_replace(F.to_json(c), '"', "'").alias(c) for c in ("by_type", "top_talkers", "top_ports")]
-    return digests.select(
+    by_name = F.map_from_entries(F.array_sort(F.map_entries("by_type")))
+    return digests.withColumn("by_type", by_name).select(
         local_time("window_start_us").alias("window_start"), local_time("window_end_us").alias("window_end"),
         "incidents", *listed, F.coalesce(F.col("drift_psi").cast("string"), F.lit("None")).alias("drift_psi"),
         F.initcap(F.col("drift_flag").cast("string")).alias("drift_flag"), "verdict",
