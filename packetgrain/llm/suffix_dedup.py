@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetgrain.llm import arrow, hashing, words
@@ -340,7 +340,7 @@ def _kept(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 removed = len(text) - len(kept)
                 row = (len(text), removed, len(start), hashlib.sha256(kept).hexdigest())
                 # Characters of which bytes were removed go as a whole.
-                out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
+                out.append((*row, kept.decode("utf-8", "ignore") if removed else None) if with_text else row)
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -357,14 +357,33 @@ def _kept(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and its ``kept`` text where asked for."""
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    digest = F.unhex(F.substring(F.sha2(data, 256), 1, 32))
-    rows = docs.select("doc_id", data.alias("data"), digest.alias("digest"))
+def _bytes(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
+def digest(text: str = "text") -> Column:
+    """The 128 bits by which whole texts are taken as equal; a null text is an empty one."""
+    return F.unhex(F.substring(F.sha2(_bytes(text), 256), 1, 32))
+
+
+def distinct_texts(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """digest, n_bytes, n_removed, n_spans, kept_sha256 of every distinct text.
+
+    What is removed depends on the text alone, so documents join this by ``digest``. Where
+    asked for, ``kept`` is the remaining text; it is null where nothing was removed.
+    """
+    rows = docs.select(_bytes("text").alias("data"), digest().alias("digest"))
     distinct = rows.groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     # The row number is stored with the text, so it is the same in every later read.
     texts = cut(distinct.withColumn("row", F.monotonically_increasing_id()))
     done = cut(_kept(texts, repeats(texts.select("row", "data"), hot), with_text))
-    named = texts.select("row", "digest").join(done, "row").drop("row")
-    return rows.select("doc_id", "digest").join(named, "digest").drop("digest")
+    return texts.select("row", "digest").join(done, "row").drop("row")
+
+
+def deduplicate(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and its ``kept`` text where asked for."""
+    texts = distinct_texts(docs, with_text, hot)
+    if not with_text:
+        return docs.select("doc_id", digest().alias("digest")).join(texts, "digest").drop("digest")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), digest().alias("digest")).join(texts, "digest")
+    return named.withColumn("kept", F.coalesce("kept", "_text")).drop("digest", "_text")

@@ -347,6 +347,19 @@ def test_language_of_odd_rows(spark):
     assert all(0 <= r.lang_score <= 1 for r in got.values())
 
 
+def test_suffix_stage_cuts_repeats_and_leaves_other_rows(spark):
+    passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
+    rows = [(1, "A" + passage, 301, "x"), (2, passage + "\u00e9", 301, None), (3, None, None, "x"), (None, "short", 5, "x"),
+            (4, "short", 5, "x"), (4, "", 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, digest string")
+    got = corpus_pipeline.suffix_array_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, "A", 1, "x"), (2, "\u00e9", 1, None), *rows[2:]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    texts = suffix_dedup.deduplicate(docs, with_text=True).collect()
+    assert sorted((str(r.doc_id), r.kept) for r in texts) == sorted((str(w[0]), w[1] or "") for w in want)
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
