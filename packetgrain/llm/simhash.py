@@ -269,10 +269,9 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
     home_blocks, guest_blocks = np.ones(bands * leaves, np.int64), np.ones(bands * leaves, np.int64)
     for r in sizes.collect():
         home_blocks[r["leaf"]] = max(1, -(-r["h"] // BLOCK))
-        guest_blocks[r["leaf"]] = max(1, -(-r["g"] // BLOCK))
-    # Home members of a leaf in several blocks are guests of its other blocks too.
-    many = home_blocks > 1
-    guest_blocks[many] = np.maximum(guest_blocks[many], home_blocks[many])
+        # Home members of a leaf in several block pairs are guests of all its home blocks too.
+        if max(r["h"], r["g"]) > BLOCK:
+            guest_blocks[r["leaf"]] = -(-(r["h"] + r["g"]) // BLOCK)
     single = (home_blocks == 1) & (guest_blocks == 1)
 
     def spread(row, leaf, nodes_, own, other, role):
@@ -300,9 +299,8 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
                     spread(split, leaf[~alone], node, home_blocks, guest_blocks, 0),
                     spread(guest_row, guest_leaf, node, guest_blocks, home_blocks, 1),
                 ]
-                inner = many[leaf]
-                if inner.any():
-                    r, l, p, _ = spread(row[inner], leaf[inner], node, guest_blocks, home_blocks, 1)
+                if len(split):
+                    r, l, p, _ = spread(split, leaf[~alone], node, guest_blocks, home_blocks, 1)
                     parts.append((r, l, p, np.full(len(r), 3, np.int8)))
                 r, l, p, role = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(

@@ -187,6 +187,20 @@ def test_simhash(docs):
     ]
 
 
+def test_links_in_leaves_of_few_homes_and_many_guests(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    monkeypatch.setattr(simhash, "LEAST_DEPTH", 8)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 1 + i % 4, replace=False)) for i in range(300)], np.uint64)
+    prints = np.unique(np.concatenate([base, base ^ flips])).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(p, [p]) for p in prints], "node long, print array<long>")
+    found = {frozenset((r["u"], r["v"])) for r in simhash.links(nodes, 4).collect()}
+    mask = (1 << 64) - 1
+    near = {frozenset((a, b)) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & mask).bit_count() <= 4}
+    assert len(near) >= 300 and found == near
+
+
 def test_near_duplicates(spark):
     rnd = random.Random(9)
     base = [[f"w{rnd.randint(0, 400)}" for _ in range(300)] for _ in range(12)]
