@@ -215,6 +215,32 @@ def test_near_duplicates(spark):
     assert [got[i].component_id for i in range(len(rows))] == linked(len(rows), near)
 
 
+def five_words(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_wanted(rows):
+    sets = [five_words(t) for t in rows]
+    return linked(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+@pytest.mark.parametrize("texts_", [1024, 7])
+def test_near_duplicates_among_variants_of_a_template(spark, monkeypatch, texts_):
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", texts_, raising=False)
+    rnd = random.Random(4)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        w = list(base)
+        for at in rnd.sample(range(300), 4 + i % 5):
+            w[at] = f"v{rnd.randint(0, 999_999)}"
+        rows.append(" ".join(w))
+    got = by_id(simhash.near_duplicates(table(spark, rows)))
+    want = near_wanted(rows)
+    assert 1 < len(set(want)) < 60
+    assert [got[i].component_id for i in range(len(rows))] == want
+
+
 def test_decontamination(spark, docs):
     items = [("b", SHARED[:200]), ("a", "mit license"), ("c", ""), ("d", None), ("e", SHARED[:200])]
     got = by_id(
