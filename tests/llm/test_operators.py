@@ -241,6 +241,17 @@ def test_near_duplicates_among_variants_of_a_template(spark, monkeypatch, texts_
     assert [got[i].component_id for i in range(len(rows))] == want
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(40):
+        w = [f"w{rnd.randint(0, 9999)}" for _ in range(200)]
+        rows.append(" ".join(w))
+        rows.append(" ".join(w + w[:10] * (1 + 5 * i)))
+    got = by_id(simhash.near_duplicates(table(spark, rows)))
+    assert [got[i].component_id for i in range(len(rows))] == near_wanted(rows) == [i // 2 * 2 for i in range(80)]
+
+
 def test_decontamination(spark, docs):
     items = [("b", SHARED[:200]), ("a", "mit license"), ("c", ""), ("d", None), ("e", SHARED[:200])]
     got = by_id(
