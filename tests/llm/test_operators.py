@@ -252,6 +252,12 @@ def test_near_duplicates_with_repeated_lines(spark):
     assert [got[i].component_id for i in range(len(rows))] == near_wanted(rows) == [i // 2 * 2 for i in range(80)]
 
 
+def test_texts_dominated_by_one_shingle_differ(spark):
+    rows = [f"{'= ' * 200}" + " ".join(f"{k}of{i}" for k in range(60)) for i in range(8)]
+    got = by_id(simhash.near_duplicates(table(spark, rows)))
+    assert [got[i].component_id for i in range(len(rows))] == near_wanted(rows) == list(range(8))
+
+
 def test_decontamination(spark, docs):
     items = [("b", SHARED[:200]), ("a", "mit license"), ("c", ""), ("d", None), ("e", SHARED[:200])]
     got = by_id(
