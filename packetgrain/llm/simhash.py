@@ -527,3 +527,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
     member = found.select("digest", "root").join(least, "root").select("digest", "component_id")
     return named.select("doc_id", "digest").join(member, "digest").select("doc_id", "component_id")
+
+
+def first_of_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of every class of ``near_duplicates``: that of the smallest id, a null id last, then of the smallest digest.
+
+    Each row is judged by its text, also where ids are null or repeated; of rows of one text and id any one is kept.
+    """
+    named = docs.withColumn("_digest", suffix_dedup.digest())
+    found = cut(text_classes(named.select("doc_id", F.col("_digest").alias("digest"), "text"), size, similarity))
+    order = F.struct(F.col("least").isNull(), F.col("least"), F.col("digest"))
+    chosen = cut(found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.digest").alias("_chosen"), F.col("first.least").alias("_least")))
+    same = (F.col("_digest") == F.col("_chosen")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    kept = named.join(chosen, same, "left_semi")
+    if kept.groupBy("_digest").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_digest"])
+    return kept.select(*docs.columns)

@@ -258,6 +258,25 @@ def test_texts_dominated_by_one_shingle_differ(spark):
     assert [got[i].component_id for i in range(len(rows))] == near_wanted(rows) == list(range(8))
 
 
+def test_stages_judge_rows_of_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(8)
+    some = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(100)) for _ in range(6)]
+    near = some[0] + " more"
+    rows = [(None, some[0]), (None, near), (None, some[1]), (None, some[1]), (7, some[2]), (7, some[3]), (7, some[3]),
+            (8, some[4]), (None, some[4]), (9, some[5] + " end"), (3, some[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    assert Counter(r for r in got if r[1] not in (some[0], near)) == Counter(
+        [(None, some[1]), (7, some[2]), (7, some[3]), (8, some[4]), (3, some[5])]
+    )
+    assert len(got) == 6
+    spark.createDataFrame([("b", some[1]), ("c", some[2])], "item_id string, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    got = [tuple(r) for r in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(r for r in rows if r[1] not in (some[1], some[2]))
+
+
 def test_decontamination(spark, docs):
     items = [("b", SHARED[:200]), ("a", "mit license"), ("c", ""), ("d", None), ("e", SHARED[:200])]
     got = by_id(
