@@ -34,6 +34,14 @@ FIT_PAGES = 2_000
 
 # Element groups.
 HIDDEN = frozenset("script style noscript template svg math head title iframe object select textarea button canvas".split())
+# Elements that '/>' closes, and the start tags that end an open one of them.
+FOREIGN = frozenset("svg math".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split()
+)
+# What may stand in a head; any other element, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AGAINST = frozenset("nav footer aside form menu dialog fieldset header".split())
 FOR = frozenset("article main".split())
@@ -121,11 +129,19 @@ class _Builder(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if self.skipped and tag == "body":
+            self.skipped.clear()
+            return
+        if self.skipped and self.skipped[-1] == "head" and tag not in IN_HEAD:
+            self.skipped.clear()
+        if tag in ("button", "select") and tag in self.skipped:
+            self._unskip(tag)  # neither nests
+        while self.skipped and self.skipped[-1] in FOREIGN and tag in BREAKOUT:
+            self.skipped.pop()
         if self.skipped:
-            if tag in HIDDEN:
+            # Blocks are noted too, so that an end tag can be told to belong to one outside.
+            if tag in HIDDEN or tag in BLOCKS or tag in ("foreignobject", "desc"):
                 self.skipped.append(tag)
-            elif tag == "body":
-                self.skipped.clear()
             return
         if tag in HIDDEN:
             self.skipped.append(tag)
@@ -144,15 +160,25 @@ class _Builder(HTMLParser):
             self._pop_to({"p"}, BLOCKS - PROSE - HEADINGS)
 
     def handle_startendtag(self, tag, attrs):
-        # Only void elements close themselves; others with a slash are ordinary opening tags.
-        self.handle_starttag(tag, attrs)
+        # Void elements and foreign ones close themselves; others with a slash are ordinary opening tags.
+        if tag not in FOREIGN and not (self.skipped and self.skipped[-1] in FOREIGN and tag not in BREAKOUT):
+            self.handle_starttag(tag, attrs)
+        elif self.skipped and self.skipped[-1] == "head":
+            self.skipped.clear()
+
+    def _unskip(self, tag: str) -> None:
+        while self.skipped.pop() != tag:
+            pass
 
     def handle_endtag(self, tag):
-        if self.skipped:
-            if tag in self.skipped:
-                while self.skipped.pop() != tag:
-                    pass
+        if tag in self.skipped:
+            self._unskip(tag)
             return
+        if self.skipped:
+            # The end of a block around hidden elements ends them too.
+            if tag not in BLOCKS or tag not in (self.page.tag[i] for i in self.stack[1:]):
+                return
+            self.skipped.clear()
         if tag == "a":
             self.links = 0
         elif tag in BLOCKS and tag not in ("html", "body"):
@@ -162,6 +188,8 @@ class _Builder(HTMLParser):
             self._pop_to(HEADINGS if tag in HEADINGS else {tag}, set() if tag in bounds | FOR | AGAINST else bounds)
 
     def handle_data(self, data):
+        if self.skipped == ["head"] and data.strip():
+            self.skipped.clear()
         if not self.skipped:
             self.run.append(data)
             if self.links:

@@ -362,6 +362,27 @@ def test_main_text(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<p>one.</p><svg width=1/><p>two.</p>",
+        "<p>one.</p><math/><svg><path/><title/><circle/></svg><p>two.</p>",
+        "<p>one.</p><svg><path d='x'><p>two.</p>",
+        "<svg><foreignObject><p>no</p></foreignObject><desc/></svg><p>one.</p><p>two.</p>",
+        "<html><head><title>no</title><meta charset=x><script>no</script><p>one.</p><p>two.</p>",
+        "<head><title>no</title><style>no</style><svg/><p>one.</p><p>two.</p>",
+        "<head><title>no</title></head><body><p>one.</p><p>two.</p>",
+        "<div><p>one.</p><div><button><div>no</div>no</div><p>two.</p></div>",
+        "<div><p>one.</p><div><object>no<p>no</div><p>two.</p></div>",
+        "<p>one.</p><div><select><option>no</div><p>two.</p>",
+        "<p>one.</p><button>no<button>no</button><p>two.</p>",
+        "<p>one.</p><div><button><div>no</button></div><p>two.</p>",
+    ],
+)
+def test_text_after_hidden_elements_stays(html):
+    assert [text for _, text in main_text.parse(html).pieces] == ["one.", "two."]
+
+
 def test_messages_give_exact_marginals():
     page = main_text.parse("<div><p>one two.</p><ul><li><a>x</a></li><li>y</li></ul></div><p>z.</p>")
     model = main_text.estimate(np.zeros((0, len(main_text.PRIOR))), np.zeros(0), np.zeros(0), np.zeros((2, 2, 2)))
