@@ -37,3 +37,22 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def attach(rows: DataFrame, facts: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` that have one row per ``on``, balanced when one key holds most rows.
+
+    Keys with more than a quarter of a partition's fair share of rows meet their facts by broadcast: there are at most
+    four such keys a partition, whatever the number of rows. All others are shuffled. ``rows`` is read twice.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n")))
+    share = (counts.agg(F.sum("n")).first()[0] or 0) / (4 * width)
+    # Below this many rows a key is no burden for a task.
+    hot = cut(counts.where(F.col("n") > max(share, 32)).select(on))
+    if hot.isEmpty():
+        return rows.join(facts, on, how)
+    crowded = rows.join(F.broadcast(hot), on, "left_semi")
+    others = rows.join(F.broadcast(hot), on, "left_anti")
+    known = cut(facts.join(F.broadcast(hot), on, "left_semi"))
+    return crowded.join(F.broadcast(known), on, how).unionByName(others.join(facts, on, how))

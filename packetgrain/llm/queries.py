@@ -12,12 +12,17 @@ from packetgrain.llm import (
     language,
     license_scan,
     main_text,
+    merkle,
+    merkle_sql,
     packing,
+    periodic_runs,
     quality,
     simhash,
     suffix_dedup,
     syncmers,
     token_store,
+    url_filter,
+    url_sql,
 )
 
 
@@ -118,6 +123,65 @@ def op10_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_veb(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_of(*fields, F.col("text"))
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Tampered with: the texts of a third of the ids.
+    claim = F.when(features.remainder(3) == 0, merkle.leaf_of(*fields, low)).otherwise(leaf)
+    rows = docs.select(F.col("lang").alias("key"), "doc_id", leaf.alias("leaf"), claim.alias("claim"))
+    return merkle.audit(merkle.manifest(rows), "claim")
+
+
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op12_redirect_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words of a tenth of the ids repeat with one period from some word to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    some = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, found).alias("w")).withColumn("n", F.size("w"))
+    g = F.floor(F.col("h") / 10)
+    some = some.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    other = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1),
+        lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")),
+    )
+    return some.select("doc_id", F.when(F.col("n") > 0, F.array_join(other, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_lcp_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.scan(planted_runs(table(spark, folder, "documents")))
+    # The greatest exact length / period; the least start and period among equals.
+    best = F.reduce(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -131,6 +195,13 @@ QUERIES = {
         op8_string_kernel,
         op9_license_scan,
         op10_subword_quality,
+        op11_merkle_veb,
+        op12_redirect_classes,
+        op13_lcp_runs,
     )
 }
-ORACLE: dict[str, str] = {"op6_winnowing": OP6_SQL}
+ORACLE: dict[str, str] = {
+    "op6_winnowing": OP6_SQL,
+    "op11_merkle_veb": merkle_sql.sql(),
+    "op12_redirect_classes": url_sql.sql(URL_RULES),
+}
