@@ -239,9 +239,9 @@ def _above(made: Manifest) -> DataFrame:
     start = start.select(F.col("block").alias("tree"), F.lit(0).cast("long").alias("block"), "sides")
     for blocks in made.tiers[:0:-1]:
         start = _down(blocks, start, made.levels)
-    root = _root(made.top[-1]).select(F.col("leaf").alias("root"))
+    root = _root(made.top[-1]).first()
     subroots = _root(made.tiers[-1], tree="tree").withColumnRenamed("leaf", "subroot")
-    return cut(start.join(subroots, "tree").join(F.broadcast(root)))
+    return cut(start.join(subroots, "tree").withColumn("root", F.lit(root and bytes(root["leaf"])).cast("binary")))
 
 
 def _walk(made: Manifest, columns: list[str], add, schema: str) -> DataFrame:
