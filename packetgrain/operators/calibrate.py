@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetgrain.operators.ordering import fits, order_statistics, quantiles, running
+from packetgrain.operators import trailing
+from packetgrain.operators.ordering import fits, order_statistics, quantiles, row_index, running
+from packetgrain.session import cut
 
 DEFAULT_THRESHOLD = 12.0
 GOLD_MARGIN = 3.0
@@ -193,12 +200,6 @@ def resolve_threshold(explicit: Column, saved: Column) -> Column:
     return F.coalesce(explicit, saved, F.lit(DEFAULT_THRESHOLD))
 
 
-def bounded(candidate: Column, current: Column, anchor: Column, step: float = 1.0, cap: float = 3.0) -> Column:
-    """At most one step from the current value, at most the cap from the anchor."""
-    near = F.least(current + step, F.greatest(current - step, candidate))
-    return F.least(anchor + cap, F.greatest(anchor - cap, near))
-
-
 def psi(
     live: DataFrame, calibration: DataFrame, keys: list[str], score: str = "score", minimum: int = 100
 ) -> DataFrame:
@@ -208,11 +209,9 @@ def psi(
     are ten conditional sums, so a sensor of any size is combined map-side and an empty
     bin still counts with the floor.
     """
-    edges = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.get("score_quantiles", i * 10))
-    joined = live.join(calibration.select(*sensor_keys(keys, calibration), edges.alias("_edges")), sensor_keys(keys, calibration))
-    at = F.size(F.filter("_edges", lambda e: e <= F.col(score))) - 1
-    bin_no = F.least(F.lit(9), F.greatest(F.lit(0), at))
-    counts = joined.withColumn("_bin", bin_no).groupBy(*keys).agg(
+    by = sensor_keys(keys, calibration)
+    joined = live.join(calibration.select(*by, "score_quantiles"), by)
+    counts = joined.withColumn("_bin", _bins(score)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum((F.col("_bin") == b).cast("long")).alias(f"_b{b}") for b in range(10)],
     )
@@ -228,66 +227,133 @@ def sensor_keys(keys: list[str], calibration: DataFrame) -> list[str]:
     return [k for k in keys if k in calibration.columns]
 
 
+def _bins(score: str) -> Column:
+    """Decile of a score, from the calibration's ``score_quantiles`` beside it."""
+    edges = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.get("score_quantiles", i * 10))
+    at = F.size(F.filter(edges, lambda e: e <= F.col(score))) - 1
+    return F.least(F.lit(9), F.greatest(F.lit(0), at))
+
+
+def psi_of(counts: list[int], minimum: int = 100) -> float | None:
+    """T22 of ten bin counts; None for too few scores."""
+    n = sum(counts)
+    if n < minimum:
+        return None
+    shares = [max(c / n, 1e-4) for c in counts]
+    return sum((o - 0.1) * math.log(o / 0.1) for o in shares)
+
+
+@dataclass(frozen=True)
+class Recalibration:
+    """What the recalibrator is set to."""
+
+    ref_pct: float = 99.0
+    interval_us: int = 900_000_000
+    min_samples: int = 5000
+    trailing: int = 200_000
+    digest_us: int = 3_600_000_000
+    recent: int = 50_000
+    max_psi: float = PSI_FREEZE
+    step: float = 1.0
+    cap: float = 3.0
+
+    def __post_init__(self):
+        if self.digest_us % self.interval_us:
+            raise ValueError("digest_us must be a multiple of interval_us")
+
+    def ranks(self, n: int, budget_quantile: float) -> tuple[int, int]:
+        """Places of the threshold and of the reference among ``n`` ordered scores."""
+        return tuple(min(n - 1, max(0, round(q * (n - 1)))) for q in (budget_quantile, self.ref_pct / 100.0))
+
+    def measures(self, bucket: int) -> bool:
+        """At a digest's end its scores have just been cleared, so drift is not known there."""
+        return (bucket + 1) * self.interval_us % self.digest_us != 0
+
+    def moved(self, candidate: float, current: float, anchor: float) -> float:
+        near = min(current + self.step, max(current - self.step, candidate))
+        return min(anchor + self.cap, max(anchor - self.cap, near))
+
+    def applies(self, n: int, drift: float | None) -> bool:
+        return n >= self.min_samples and (drift is None or drift <= self.max_psi)
+
+
 def adaptive_thresholds(
     scores: DataFrame,
     calibration: DataFrame,
     keys: list[str],
-    ref_pct: float = 99.0,
-    interval_us: int = 900_000_000,
-    min_samples: int = 5000,
+    order: list[str],
+    how: Recalibration,
     score: str = "score",
-    ts: str = "ts_us",
     flagged: str = "flagged",
 ) -> DataFrame:
-    """Replay of the adaptive recalibration over fixed intervals of event time.
+    """Replay of the adaptive recalibration at the end of every interval of event time that has scores.
 
-    Flagged windows do not vote. An interval with too few samples, or with a PSI above
-    the freeze limit, leaves the thresholds as they are. ``calibration`` holds
-    ``byte_threshold``, ``budget_quantile`` and ``score_quantiles`` per sensor.
+    The sample is the last ``trailing`` scores without a flag, over as many intervals as they lie in. Fewer than
+    ``min_samples``, or a PSI above the limit over the last ``recent`` scores of the running digest, leave the thresholds
+    as they are. ``order[0]`` is the time in microseconds. ``calibration`` holds ``byte_threshold``,
+    ``budget_quantile`` and ``score_quantiles`` per sensor. Rows: bucket, n, psi, applied, threshold, reference.
     """
-    by = [*keys, "bucket"]
-    live = scores.withColumn("bucket", F.floor(F.col(ts) / interval_us))
-    clean = live.where(~F.col(flagged))
-    sizes = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(
-        calibration.select(*keys, "budget_quantile"), keys
+    bucket = F.floor(F.col(order[0]) / how.interval_us)
+    live = scores.where(F.col(score).isNotNull()).select(
+        *keys, *order, F.col(score).alias("_x"), F.coalesce(F.col(flagged), F.lit(False)).alias("_flag"), bucket.alias("bucket"),
+        F.floor(F.col(order[0]) / how.digest_us).alias("digest"),
+    ).join(calibration.select(*keys, "score_quantiles"), keys).withColumn("_bin", _bins("_x")).drop("score_quantiles")
+    places = [F.col(c) for c in order]
+    clean = row_index(live.where(~F.col("_flag")), keys, places).select(*keys, "idx", "_x")
+    binned = row_index(live, [*keys, "digest"], places).select(*keys, "digest", "idx", "_bin")
+
+    # One row per sensor and interval: a year of quarter hours is 35,000 rows a sensor.
+    counts = live.groupBy(*keys, "digest", "bucket").agg(
+        F.sum((~F.col("_flag")).cast("long")).alias("_clean"), F.count(F.lit(1)).alias("_all")
     )
-    wanted = sizes.select(
-        *by,
-        F.bround(F.col("budget_quantile") * (F.col("n") - 1), 0).cast("long").alias("_t"),
-        F.bround(F.lit(ref_pct / 100.0) * (F.col("n") - 1), 0).cast("long").alias("_r"),
-    )
-    ranks = wanted.select(*by, F.explode(F.array_distinct(F.array("_t", "_r"))).alias("rank"))
-    found = order_statistics(clean, by, score, ranks).join(wanted, by)
-    picked = found.groupBy(*by).agg(
-        F.max(F.when(F.col("rank") == F.col("_t"), F.col(score))).alias("cand_t"),
-        F.max(F.when(F.col("rank") == F.col("_r"), F.col(score))).alias("cand_r"),
-    )
-    drift = psi(live, calibration, by, score).select(*by, "psi")
-    # One row per sensor and interval: a year of 15-minute intervals is 35,000 rows a sensor.
-    steps = picked.join(sizes.drop("budget_quantile"), by).join(drift, by).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "n", "psi", "cand_t", "cand_r"))).alias("_steps")
+    so_far = Window.partitionBy(*keys).orderBy("bucket")
+    in_digest = Window.partitionBy(*keys, "digest").orderBy("bucket")
+    checks = cut(counts.select(
+        *keys, "digest", "bucket", F.sum("_clean").over(so_far).alias("upto"), F.sum("_all").over(in_digest).alias("_seen")
+    ))
+
+    def candidates(rows, lo, hi, wanted):
+        quantile = wanted["budget_quantile"].to_pylist()
+        ranks = np.array([how.ranks(max(1, n), q) for n, q in zip((hi - lo).tolist(), quantile)]).reshape(-1, 2)
+        found = trailing.order_values(rows["_x"].to_numpy().astype(float), lo, hi, ranks)
+        return [pa.array(hi - lo), *(pa.array(found[:, i], from_pandas=True) for i in (0, 1))]
+
+    def shares(rows, lo, hi, wanted):
+        return [pa.array(trailing.bin_counts(rows["_bin"].to_numpy(), lo, hi, 10).tolist(), pa.list_(pa.int64()))]
+
+    budget = calibration.select(*keys, "budget_quantile")
+    picked = trailing.over_last(
+        clean, checks.join(budget, keys).select(*keys, "bucket", "upto", "budget_quantile"), keys, how.trailing, candidates,
+        "n bigint, cand_t double, cand_r double",
     )
+    binned_at = checks.select(*keys, "digest", "bucket", F.col("_seen").alias("upto"))
+    drift = trailing.over_last(binned, binned_at, [*keys, "digest"], how.recent, shares, "bins array<bigint>")
     anchors = calibration.select(
-        *keys,
-        F.col("byte_threshold").alias("_at"),
-        F.get("score_quantiles", F.lit(int(ref_pct))).alias("_ar"),
-    )
-    entry = "struct<bucket:bigint,applied:boolean,threshold:double,reference:double>"
-
-    def fold(acc, s):
-        use = (s["n"] >= min_samples) & F.coalesce(s["psi"] <= PSI_FREEZE, F.lit(True))
-        t = F.when(use, bounded(s["cand_t"], acc["t"], F.col("_at"))).otherwise(acc["t"])
-        r = F.when(use, bounded(s["cand_r"], acc["r"], F.col("_ar"))).otherwise(acc["r"])
-        row = F.struct(s["bucket"].alias("bucket"), use.alias("applied"), t.alias("threshold"), r.alias("reference"))
-        return F.struct(t.alias("t"), r.alias("r"), F.concat(acc["log"], F.array(row)).alias("log"))
-
-    start = F.struct(
-        F.col("_at").alias("t"), F.col("_ar").alias("r"), F.array().cast(f"array<{entry}>").alias("log")
+        *keys, F.col("byte_threshold").alias("_at"), F.get("score_quantiles", F.lit(int(how.ref_pct))).alias("_ar")
     )
-    folded = steps.join(anchors, keys).select(
-        *keys, F.explode(F.aggregate("_steps", start, fold, lambda a: a["log"])).alias("s")
+    steps = picked.select(*keys, "bucket", "n", "cand_t", "cand_r").join(
+        drift.select(*keys, "bucket", "bins"), [*keys, "bucket"]
+    ).join(anchors, keys)
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        out, rows = [], table.to_pylist()
+        t, r = rows[0]["_at"], rows[0]["_ar"]
+        for row in rows:
+            psi = psi_of(row["bins"]) if how.measures(row["bucket"]) else None
+            use = how.applies(row["n"], psi)
+            if use:
+                t, r = how.moved(row["cand_t"], t, row["_at"]), how.moved(row["cand_r"], r, row["_ar"])
+            out.append((psi, use, t, r))
+        table = table.select([*keys, "bucket", "n"])
+        for i, (name, kind) in enumerate((("psi", pa.float64()), ("applied", pa.bool_()), ("threshold", pa.float64()), ("reference", pa.float64()))):
+            table = table.append_column(name, pa.array([row[i] for row in out], kind))
+        return table
+
+    kinds = ", ".join(f"`{k}` {calibration.schema[k].dataType.simpleString()}" for k in keys)
+    return steps.groupBy(*keys).applyInArrow(
+        fold, f"{kinds}, bucket bigint, n bigint, psi double, applied boolean, threshold double, reference double"
     )
-    return folded.select(*keys, "s.*")
 
 
 def caveats(counts: DataFrame) -> DataFrame:
@@ -318,8 +384,6 @@ def evt_thresholds(
     shape(theta) = mean(ln(1 + theta x)). Each pass evaluates a grid of theta per series
     as one map-side combined aggregation of the tail and narrows around the best.
     """
-    from packetgrain.session import cut
-
     t0 = quantiles(benign, keys, score, [tail_quantile], "_q").select(
         *keys, F.element_at("_q", 1).alias("t0")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -334,64 +337,64 @@ def context_line(packets: Column, size: Column, talker: Column, ports: Column, s
     )
 
 
-EPISODES = (
-    "array<struct<banned_at:bigint,ttl:bigint,count:bigint,last_seen:bigint,"
-    "reason:string,incident_type:string>>"
-)
+def ban_requests(requests: DataFrame, ttl_us: int) -> DataFrame:
+    """Requests that ban an address, each with its length ``_ttl``."""
+    clean = requests.where(F.col("ip").isNotNull() & ~F.col("ip").isin(NEVER_BANNED) & (F.col("ip") != ""))
+    own = F.coalesce("ttl_us", F.lit(ttl_us)) if "ttl_us" in requests.columns else F.lit(ttl_us)
+    return clean.withColumn("ban_ttl", own.cast("long"))
+
+
+def banned(ban: tuple | None, ts: int, ttl: int, kind: str) -> tuple:
+    """banned_at, ttl, count, type after a request. A running ban keeps its start and the longest ttl it was given."""
+    if ban is None or ts - ban[0] >= ban[1]:
+        return (ts, ttl, 1, kind)
+    return (ban[0], max(ban[1], ttl), ban[2] + 1, ban[3])
 
 
 def ban_episodes(requests: DataFrame, ttl_us: int = BAN_TTL_US) -> DataFrame:
     """Bans per address from requests ``(ip, ts_us, tie, reason, type)``.
 
     A request during a ban raises its count and replaces the reason; the start stays.
-    A ban ends when its time is over, and the next request starts a new one. Requests
-    are incident openings, so their number per address is bounded by time; a pause of
-    the longest ban's length always ends a ban, so each stretch without one is folded by
-    itself. A ``ttl_us`` column gives requests a length of their own (null: the default);
-    a running ban keeps the longest it was given.
-    """
-    clean = requests.where(F.col("ip").isNotNull() & ~F.col("ip").isin(NEVER_BANNED) & (F.col("ip") != ""))
-    own, longest = F.lit(ttl_us), ttl_us
-    if "ttl_us" in requests.columns:
-        own = F.coalesce("ttl_us", own)
-        longest = max(ttl_us, clean.agg(F.max("ttl_us")).first()[0] or 0)
-    clean = clean.withColumn("_ttl", own.cast("long"))
-    stretches = incidents(
-        clean.withColumn("score", F.lit(0.0)).withColumn("alert_id", F.col("tie")), ["ip"], longest
-    ).select("ip", F.col("incident").alias("stretch"), "first_us", "last_us")
-    cell = F.floor(F.col("ts_us") / longest)
-    spread = stretches.withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("first_us") / longest), F.floor(F.col("last_us") / longest)))
-    )
-    placed = clean.withColumn("_cell", cell).join(spread, ["ip", "_cell"]).where(
-        (F.col("ts_us") >= F.col("first_us")) & (F.col("ts_us") <= F.col("last_us"))
-    )
-    grouped = placed.groupBy("ip", "stretch").agg(
-        F.array_sort(F.collect_list(F.struct("ts_us", "tie", "reason", "type", "_ttl"))).alias("_r")
-    )
-
-    def fresh(r):
-        return F.struct(
-            r["ts_us"].alias("banned_at"), r["_ttl"].alias("ttl"), F.lit(1).cast("long").alias("count"),
-            r["ts_us"].alias("last_seen"), r["reason"].alias("reason"), r["type"].alias("incident_type"),
-        )
+    A ban ends when its time is over, and the next request starts a new one. A ``ttl_us``
+    column gives requests a length of their own (null: the default).
 
-    def fold(acc, r):
-        last = F.element_at(acc, -1)
-        again = F.struct(
-            last["banned_at"].alias("banned_at"), F.greatest(last["ttl"], r["_ttl"]).alias("ttl"), (last["count"] + 1).alias("count"),
-            r["ts_us"].alias("last_seen"), r["reason"].alias("reason"), last["incident_type"].alias("incident_type"),
-        )
-        active = (F.size(acc) > 0) & (r["ts_us"] - last["banned_at"] < last["ttl"])
-        return F.when(
-            active, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(again))
-        ).otherwise(F.concat(acc, F.array(fresh(r))))
+    Requests are dealt by address and sorted inside their partition, which may spill; a
+    pass over the partition keeps the running ban alone, so no address is held as a list.
+    """
+    names = ["ip", "ts_us", "tie", "reason", "type", "ban_ttl"]
+    ordered = ban_requests(requests, ttl_us).select(*names).repartition("ip").sortWithinPartitions("ip", "ts_us", "tie", "reason")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ip = ban = last = None
+        for batch in batches:
+            out = []
+            for address, ts, _, reason, kind, ttl in zip(*(c.to_pylist() for c in batch.columns)):
+                if address != ip:
+                    if ban:
+                        out.append((ip, *ban[:3], *last, ban[3]))
+                    ip, ban = address, None
+                after = banned(ban, ts, ttl, kind)
+                if ban and after[2] == 1:
+                    out.append((ip, *ban[:3], *last, ban[3]))
+                ban, last = after, (ts, reason)
+            yield _episodes(out)
+        if ban:
+            yield _episodes([(ip, *ban[:3], *last, ban[3])])
+
+    return ordered.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind, _ in EPISODE))
+
+
+EPISODE = (
+    ("ip", "string", pa.string()), ("banned_at", "long", pa.int64()), ("ttl", "long", pa.int64()), ("count", "long", pa.int64()),
+    ("last_seen", "long", pa.int64()), ("reason", "string", pa.string()), ("incident_type", "string", pa.string()),
+)
 
-    def guarded(acc, r):
-        return F.when(F.size(acc) == 0, F.array(fresh(r)).cast(EPISODES)).otherwise(fold(acc, r).cast(EPISODES))
 
-    episodes = F.aggregate("_r", F.array().cast(EPISODES), guarded)
-    return grouped.select("ip", F.explode(episodes).alias("b")).select("ip", "b.*")
+def _episodes(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(EPISODE)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kind) for c, (_, _, kind) in zip(columns, EPISODE)], [name for name, _, _ in EPISODE]
+    )
 
 
 def active_bans(requests: DataFrame, now_us: Column, ttl_us: int = BAN_TTL_US) -> DataFrame:

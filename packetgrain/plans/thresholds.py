@@ -110,14 +110,22 @@ def holdout_rates(spark: SparkSession, folder: str) -> DataFrame:
     return over.select("sensor", F.round("rate", 9).alias("rate"))
 
 
-def adaptive_thresholds(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily instead of quarter-hourly refits, so the small tables have enough samples."""
+# Daily instead of quarter-hourly, as the small tables have few scores: a day alone is below min_samples.
+RECALIBRATION = calibrate.Recalibration(
+    ref_pct=95.0, interval_us=DAY_US, min_samples=150, trailing=300, digest_us=4 * DAY_US, recent=120, max_psi=0.10
+)
+
+
+def _recalibrated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores with the flags of a live run, and the calibration with its alert budget."""
     rows = _scores(spark, folder).withColumn("flagged", F.col("score") > 250)
-    fitted = _calibration(spark, folder).withColumn("budget_quantile", F.lit(0.98))
-    out = calibrate.adaptive_thresholds(rows, fitted, SENSOR, 95.0, 2 * DAY_US, 100)
-    return out.select(
-        "sensor", "bucket", "applied", F.round("threshold", 6).alias("threshold"), F.round("reference", 6).alias("reference")
-    )
+    return rows, _calibration(spark, folder).withColumn("budget_quantile", F.lit(0.98))
+
+
+def adaptive_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    rows, fitted = _recalibrated(spark, folder)
+    out = calibrate.adaptive_thresholds(rows, fitted, SENSOR, ["ts_us", "event_id"], RECALIBRATION)
+    return out.select(*_rounded(out, ["psi", "threshold", "reference"]))
 
 
 def evt_tail(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,6 +197,45 @@ cal AS (
          (max(ts_us) - min(ts_us)) / 1e6 AS secs
   FROM half WHERE part = 'calibration' GROUP BY event_type),
 calt AS (SELECT *, greatest(q999, mean + 3 * std) AS thr FROM cal)"""
+_ADAPT = _CAL + f""",
+live AS (
+  SELECT event_type AS sensor, value, ts_us // {DAY_US} AS bucket, ts_us // {4 * DAY_US} AS digest, ts_us, event_id,
+         least(9, greatest(0, len(list_filter([q[1],q[11],q[21],q[31],q[41],q[51],q[61],q[71],q[81],q[91],q[101]],
+               lambda x: x <= value)) - 1)) AS bin,
+         row_number() OVER (PARTITION BY event_type, ts_us // {4 * DAY_US} ORDER BY ts_us, event_id) - 1 AS li
+  FROM ev JOIN cal ON sensor = event_type),
+clean AS (
+  SELECT sensor, value, row_number() OVER (PARTITION BY sensor ORDER BY ts_us, event_id) - 1 AS ci
+  FROM live WHERE NOT value > 250),
+per AS (SELECT sensor, digest, bucket, count(*) FILTER (NOT value > 250) AS c, count(*) AS a FROM live GROUP BY ALL),
+ck AS (
+  SELECT sensor, digest, bucket, sum(c) OVER (PARTITION BY sensor ORDER BY bucket)::BIGINT AS upto,
+         sum(a) OVER (PARTITION BY sensor, digest ORDER BY bucket)::BIGINT AS seen,
+         row_number() OVER (PARTITION BY sensor ORDER BY bucket) AS i
+  FROM per),
+smp AS (
+  SELECT ck.sensor, ck.i, list(value ORDER BY value) AS v, count(value) AS n
+  FROM ck LEFT JOIN clean ON clean.sensor = ck.sensor AND ci >= upto - 300 AND ci < upto GROUP BY ALL),
+bc AS (
+  SELECT ck.sensor, ck.i, b, count(*) FILTER (bin = b) AS c, count(*) AS n
+  FROM ck JOIN live ON live.sensor = ck.sensor AND live.digest = ck.digest AND li >= seen - 120 AND li < seen,
+       (SELECT unnest(range(0, 10)) AS b)
+  WHERE (ck.bucket + 1) % 4 <> 0 GROUP BY ALL),
+ps AS (
+  SELECT sensor, i, CASE WHEN any_value(n) >= 100 THEN sum((greatest(c / n, 1e-4) - 0.1) * ln(greatest(c / n, 1e-4) / 0.1)) END AS psi
+  FROM bc GROUP BY sensor, i),
+st AS (
+  SELECT ck.sensor, ck.bucket, ck.i, smp.n, psi, v[round_even(0.98::DOUBLE * (smp.n - 1), 0)::INT + 1] AS ct,
+         v[round_even(0.95::DOUBLE * (smp.n - 1), 0)::INT + 1] AS cr, smp.n >= 150 AND coalesce(psi <= 0.10, true) AS use
+  FROM ck JOIN smp ON smp.sensor = ck.sensor AND smp.i = ck.i LEFT JOIN ps ON ps.sensor = ck.sensor AND ps.i = ck.i),
+f AS (
+  SELECT sensor, 0::BIGINT AS i, NULL::BIGINT AS bucket, 0::BIGINT AS n, NULL::DOUBLE AS psi, false AS applied,
+         thr AS t, q[96] AS r, thr AS at_, q[96] AS ar FROM calt
+  UNION ALL
+  SELECT f.sensor, st.i, st.bucket, st.n, st.psi, st.use,
+         CASE WHEN use THEN least(at_ + 3, greatest(at_ - 3, least(t + 1, greatest(t - 1, ct)))) ELSE t END,
+         CASE WHEN use THEN least(ar + 3, greatest(ar - 3, least(r + 1, greatest(r - 1, cr)))) ELSE r END, at_, ar
+  FROM f JOIN st ON st.sensor = f.sensor AND st.i = f.i + 1)"""
 _ROC = EV + """,
 roc AS (
   SELECT user_id, value, sum(sum((event_type = 'error')::INT)) OVER w AS tp,
@@ -320,39 +367,8 @@ WITH {_CAL}
 SELECT sensor, round(avg((value > thr)::INT), 9) AS rate
 FROM half JOIN calt ON sensor = event_type WHERE part = 'holdout' GROUP BY sensor""",
     "adaptive_thresholds": f"""
-WITH RECURSIVE {_CAL},
-live AS (SELECT *, ts_us // {2 * DAY_US} AS bucket FROM ev),
-pb AS (
-  SELECT sensor, bucket,
-         least(9, greatest(0, len(list_filter([q[1],q[11],q[21],q[31],q[41],q[51],q[61],q[71],q[81],q[91],q[101]],
-               lambda x: x <= value)) - 1)) AS bin
-  FROM live JOIN cal ON sensor = event_type),
-g AS (SELECT sensor, bucket, count(*) AS n FROM pb GROUP BY ALL),
-c AS (
-  SELECT g.sensor, g.bucket, g.n, i, count(pb.bin) AS c
-  FROM (SELECT *, unnest(range(0, 10)) AS i FROM g) g
-  LEFT JOIN pb ON pb.sensor = g.sensor AND pb.bucket = g.bucket AND pb.bin = i GROUP BY ALL),
-p AS (
-  SELECT sensor, bucket,
-         CASE WHEN n >= 100 THEN sum((greatest(c / n, 1e-4) - 0.1) * ln(greatest(c / n, 1e-4) / 0.1)) END AS psi
-  FROM c GROUP BY sensor, bucket, n),
-clean AS (
-  SELECT event_type AS sensor, bucket, count(*) AS n, list(value ORDER BY value) AS v
-  FROM live WHERE NOT value > 250 GROUP BY ALL),
-st AS (
-  SELECT sensor, bucket, n, psi, v[round_even(0.98::DOUBLE * (n - 1), 0)::INT + 1] AS ct,
-         v[round_even(0.95::DOUBLE * (n - 1), 0)::INT + 1] AS cr,
-         row_number() OVER (PARTITION BY sensor ORDER BY bucket) AS i,
-         n >= 100 AND coalesce(psi <= 0.40, true) AS use
-  FROM clean JOIN p USING (sensor, bucket)),
-f AS (
-  SELECT sensor, 0::BIGINT AS i, NULL::BIGINT AS bucket, false AS applied, thr AS t, q[96] AS r, thr AS at_, q[96] AS ar FROM calt
-  UNION ALL
-  SELECT f.sensor, st.i, st.bucket, st.use,
-         CASE WHEN use THEN least(at_ + 3, greatest(at_ - 3, least(t + 1, greatest(t - 1, ct)))) ELSE t END,
-         CASE WHEN use THEN least(ar + 3, greatest(ar - 3, least(r + 1, greatest(r - 1, cr)))) ELSE r END, at_, ar
-  FROM f JOIN st ON st.sensor = f.sensor AND st.i = f.i + 1)
-SELECT sensor, bucket, applied, round(t, 6) AS threshold, round(r, 6) AS reference FROM f WHERE i > 0""",
+WITH RECURSIVE {_ADAPT}
+SELECT sensor, bucket, n, round(psi, 6) AS psi, applied, round(t, 6) AS threshold, round(r, 6) AS reference FROM f WHERE i > 0""",
     "evt_tail": f"""
 WITH {EV},
 t AS (SELECT event_type, quantile_cont(value, 0.98) AS t0, count(*) AS n FROM ev GROUP BY event_type)

@@ -7,8 +7,9 @@ rows are dropped by the watermark; sinks are checkpointed files.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from packetgrain.operators import calibrate, incidents
 from packetgrain.operators.cusum import fold_levels
+from packetgrain.operators.rate import FLOOD_SPAN_US, FLOOD_SYNS
 from packetgrain.operators.tls import walk
 from packetgrain.session import shared_folder
 
@@ -25,15 +27,20 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 # State layouts; a worker has no session that could parse them from text.
-LEVEL_STATE = _struct(("s", T.DoubleType()))
+LEVEL_STATE = _struct(("s", T.DoubleType()), ("last", T.LongType()), ("timer", T.LongType()))
 MARK = _struct(("off", T.LongType()), ("ts", T.LongType()))
 BUFFER_STATE = _struct(
     ("rest", T.BinaryType()), ("marks", T.ArrayType(MARK)), ("next", T.LongType()),
     ("last", T.LongType()), ("life", T.LongType()),
 )
 TLS_STATE = _struct(("owed", T.LongType()), ("hide", T.BooleanType()), ("known", T.BooleanType()))
-BAN_STATE = _struct(("banned_at", T.LongType()), ("count", T.LongType()), ("type", T.StringType()))
+BAN_STATE = _struct(
+    ("banned_at", T.LongType()), ("ttl", T.LongType()), ("count", T.LongType()), ("type", T.StringType()), ("timer", T.LongType())
+)
+SPAN_STATE = _struct(("times", T.BinaryType()), ("timer", T.LongType()))
 LAST_STATE = _struct(("last", T.LongType()))
+# A key without rows for so long is forgotten.
+LEVEL_TTL_US = 172_800_000_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,14 +64,35 @@ def run_available(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_parts(rows: DataFrame, part: Column, parts: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Deliver ``rows`` in ``parts`` turns and run the stream ``build`` makes after each, from its checkpoint.
+
+    Every turn starts the query anew, so state, watermark and sink pass from turn to turn through the shared folder only.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for turn in range(parts):
+        rows.where(part == turn).write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def once(packets: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """Drop packets delivered twice within the watermark."""
     return packets.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_alerts(packets: DataFrame, syn: Column, bucket: str, limit: int, ts: str, delay: str) -> DataFrame:
-    """SYNs per tumbling bucket; partial counts are combined before the shuffle."""
-    counted = packets.where(syn).withWatermark(ts, delay).groupBy(F.window(ts, bucket)).agg(
+def rate_alerts(packets: DataFrame, syn: Column, bucket: str, limit: int, ts: str, delay: str | None) -> DataFrame:
+    """SYNs per tumbling bucket; partial counts are combined before the shuffle. Without ``delay`` the packets'
+    own watermark holds."""
+    marked = packets.where(syn) if delay is None else packets.where(syn).withWatermark(ts, delay)
+    counted = marked.groupBy(F.window(ts, bucket)).agg(
         F.count(F.lit(1)).alias("syns")
     )
     return counted.where(F.col("syns") > limit).select(
@@ -97,47 +125,115 @@ def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
-class _Levels(StatefulProcessor):
-    """The leaky sum of a key between micro-batches."""
+class _Expiring(StatefulProcessor):
+    """A state of one value per key that event time removes: a timer is set anew with every update."""
 
-    def __init__(self, key: str, leak: float, h: float, ttl_ms: int | None):
-        self.key, self.leak, self.h, self.ttl_ms = key, leak, h, ttl_ms
+    name: str
+    layout: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("level", LEVEL_STATE, self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState(self.name, self.layout)
+
+    def keep(self, *values, until_us: int) -> None:
+        """``values`` until the watermark has passed ``until_us``; the last field is the timer."""
+        if self.state.exists():
+            self.handle.deleteTimer(self.state.get()[-1])
+        timer = until_us // 1000 + 1
+        self.handle.registerTimer(timer)
+        self.state.update((*values, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _Levels(_Expiring):
+    """The leaky sum of a key between micro-batches; it starts from zero after a pause longer than ``ttl_us``."""
+
+    name, layout = "level", LEVEL_STATE
+
+    def __init__(self, key: str, leak: float, h: float, ttl_us: int):
+        self.key, self.leak, self.h, self.ttl_us = key, leak, h, ttl_us
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["ts_us", "event_id"])
-        start = self.state.get()[0] if self.state.exists() else 0.0
-        out = fold_levels(pdf["step"].tolist(), self.leak, self.h, start)
-        self.state.update((0.0 if out[-1] > self.h else out[-1],))
+        level, last = self.state.get()[:2] if self.state.exists() else (0.0, None)
+        times, steps = pdf["ts_us"].to_numpy(), pdf["step"].tolist()
+        fresh = np.flatnonzero(np.diff(times, prepend=times[0] if last is None else last) > self.ttl_us)
+        out: list[float] = []
+        for lo, hi in zip([0, *fresh], [*fresh, len(steps)]):
+            if lo in fresh:
+                level = 0.0
+            if hi > lo:
+                out += fold_levels(steps[lo:hi], self.leak, self.h, level)
+                level = 0.0 if out[-1] > self.h else out[-1]
+        last = int(max(times[-1], times[-1] if last is None else last))
+        self.keep(level, last, until_us=last + self.ttl_us)
         yield pd.DataFrame(
             {self.key: key[0], "event_id": pdf["event_id"].to_numpy(), "level": out, "alarm": [v > self.h for v in out]}
         )
 
-    def close(self) -> None:
-        pass
-
 
 def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    """State expiry runs on the wall clock and keeps a query alive, so a replay of what is
-    there has none; a continuous query sets ``ttl_ms``."""
-    expires = getattr(processor, "ttl_ms", None) is not None
+    """Event time removes the state of an ``_Expiring`` processor. The others take ``ttl_ms`` of the wall clock, which
+    keeps a query alive, so a replay of what is there has none."""
+    if isinstance(processor, _Expiring):
+        mode = "EventTime"
+    else:
+        mode = "ProcessingTime" if getattr(processor, "ttl_ms", None) is not None else "None"
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema),
-        outputMode="Append", timeMode="ProcessingTime" if expires else "None",
+        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Append", timeMode=mode
     )
 
 
-def cusum_levels(steps: DataFrame, key: str, h: float, leak: float = 0.98, ttl_ms: int | None = None) -> DataFrame:
-    """Levels per flow or target; ``steps`` has event_id, ts_us and step.
+def cusum_levels(
+    steps: DataFrame, key: str, h: float, leak: float = 0.98, ttl_us: int = LEVEL_TTL_US, delay: str = "0 seconds"
+) -> DataFrame:
+    """Levels per flow or target; ``steps`` has event_id, ts (a timestamp), ts_us and step.
 
-    The live detector forgets a key after 48 hours: ``ttl_ms=172_800_000``.
+    A key is forgotten ``ttl_us`` after its last row, so the state holds the keys of that time only. The batch form is
+    ``cusum.levels`` over the lives of ``windows.idle_split``.
     """
     kind = steps.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, event_id bigint, level double, alarm boolean"
-    return _stateful(steps, [key], _Levels(key, leak, h, ttl_ms), schema)
+    return _stateful(steps.withWatermark("ts", delay), [key], _Levels(key, leak, h, ttl_us), schema)
+
+
+class _Spans(_Expiring):
+    """The times of a source's SYNs within the trailing span."""
+
+    name, layout = "span", SPAN_STATE
+
+    def __init__(self, key: str, tie: str, limit: int, span_us: int):
+        self.key, self.tie, self.limit, self.span_us = key, tie, limit, span_us
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _ordered(rows, ["ts_us", self.tie])
+        held = np.frombuffer(self.state.get()[0], np.int64) if self.state.exists() else np.zeros(0, np.int64)
+        times = pdf["ts_us"].to_numpy(np.int64)
+        # A row counts what is held up to its own time, itself and the rows before it.
+        first = times - self.span_us
+        before = np.searchsorted(held, times, side="right") - np.searchsorted(held, first, side="left")
+        syns = np.maximum(before, 0) + np.arange(1, len(times) + 1) - np.searchsorted(times, first, side="left")
+        every = np.sort(np.concatenate([held, times]))
+        last = int(every[-1])
+        self.keep(every[every >= last - self.span_us].tobytes(), until_us=last + self.span_us)
+        yield pd.DataFrame({self.key: key[0], self.tie: pdf[self.tie].to_numpy(), "syns": syns, "flood": syns > self.limit})
+
+
+def syn_floods(
+    syns: DataFrame, key: str, limit: int = FLOOD_SYNS, span_us: int = FLOOD_SPAN_US, tie: str = "packet_index", delay: str = "0 seconds"
+) -> DataFrame:
+    """SYNs of the source in the trailing span at every SYN, across micro-batches; ``syns`` has ts, ts_us and the tie."""
+    kinds = [f"{c} {syns.schema[c].dataType.simpleString()}" for c in (key, tie)]
+    return _stateful(
+        syns.withWatermark("ts", delay), [key], _Spans(key, tie, limit, span_us), ", ".join([*kinds, "syns bigint, flood boolean"])
+    )
 
 
 class _FlowBuffer(StatefulProcessor):
@@ -211,37 +307,28 @@ def tls_records(packets: DataFrame) -> DataFrame:
     return _stateful(packets, ["stream"], _Tls(), "stream string, packet_index bigint, data binary")
 
 
-class _Bans(StatefulProcessor):
+class _Bans(_Expiring):
     """The running ban of an address; every request emits the ban as it then stands."""
 
-    def __init__(self, ttl_us: int, ttl_ms: int | None):
-        self.ttl_us, self.ttl_ms = ttl_us, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ban", BAN_STATE, self.ttl_ms)
+    name, layout = "ban", BAN_STATE
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["ts_us", "tie"])
-        ban = tuple(self.state.get()) if self.state.exists() else None
+        ban = tuple(self.state.get()[:4]) if self.state.exists() else None
         out = []
-        for ts, reason, kind in pdf[["ts_us", "reason", "type"]].itertuples(index=False):
-            if ban is None or ts - ban[0] >= self.ttl_us:
-                ban = (int(ts), 1, kind)
-            else:
-                ban = (ban[0], ban[1] + 1, ban[2])
-            out.append((key[0], ban[0], self.ttl_us, ban[1], int(ts), reason, ban[2]))
-        self.state.update(ban)
+        for ts, ttl, reason, kind in pdf[["ts_us", "ban_ttl", "reason", "type"]].itertuples(index=False):
+            ban = incidents.banned(ban, int(ts), int(ttl), kind)
+            out.append((key[0], *ban[:3], int(ts), reason, ban[3]))
+        # A ban that is over is as good as none.
+        self.keep(*ban, until_us=ban[0] + ban[1])
         yield pd.DataFrame(out, columns=["ip", "banned_at", "ttl", "count", "last_seen", "reason", "incident_type"])
 
-    def close(self) -> None:
-        pass
-
 
-def bans(requests: DataFrame, ttl_us: int = incidents.BAN_TTL_US, ttl_ms: int | None = None) -> DataFrame:
-    """Ban updates; the highest count of a start is the ban's final row."""
-    clean = requests.where(~F.col("ip").isin(incidents.NEVER_BANNED) & (F.col("ip") != ""))
+def bans(requests: DataFrame, ttl_us: int = incidents.BAN_TTL_US, delay: str = "0 seconds") -> DataFrame:
+    """Ban updates; the highest count of a start is the ban's final row. ``requests`` has ts, ts_us, tie, reason and
+    type; a ``ttl_us`` column gives requests a length of their own."""
     schema = "ip string, banned_at bigint, ttl bigint, count bigint, last_seen bigint, reason string, incident_type string"
-    return _stateful(clean, ["ip"], _Bans(ttl_us, ttl_ms), schema)
+    return _stateful(incidents.ban_requests(requests, ttl_us).withWatermark("ts", delay), ["ip"], _Bans(), schema)
 
 
 class _Gaps(StatefulProcessor):

@@ -1,11 +1,13 @@
 """CUSUM, rate, incidents and bans against plain loops and known vectors."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetgrain.operators import calibrate, cusum, incidents, leaderboard, match, rate, scoring, windows
+from packetgrain.operators import calibrate, cusum, incidents, leaderboard, match, rate, scoring, trailing, windows
 
 
 def series(seed, n=900):
@@ -192,15 +194,91 @@ def test_psi_counts_empty_bins_and_needs_samples(spark):
     assert calibrate.psi(live.limit(99), fitted, ["sensor"]).first().psi is None
 
 
+QUARTER = 900_000_000
+FITTED = "sensor string, byte_threshold double, budget_quantile double, score_quantiles array<double>"
+LIVE = "sensor string, ts_us long, event_id long, score double, flagged boolean"
+
+
+def replay(rows, threshold, quantile, quantiles, how):
+    """The recalibrator over one sensor's rows in order, with plain lists."""
+    t, at, r, ar = threshold, threshold, quantiles[int(how.ref_pct)], quantiles[int(how.ref_pct)]
+    out, sample, recent = [], [], []
+    buckets = sorted({x[0] // how.interval_us for x in rows})
+    for b in buckets:
+        for ts, score, flagged in rows:
+            if ts // how.interval_us == b:
+                recent.append((ts, score))
+                if not flagged:
+                    sample.append(score)
+        end = (b + 1) * how.interval_us
+        start = end // how.digest_us * how.digest_us
+        seen = [x for ts, x in recent if start <= ts][-how.recent :]
+        psi = None
+        if len(seen) >= 100 and end != start:
+            bins = [0] * 10
+            for x in seen:
+                bins[min(9, max(0, sum(e <= x for e in quantiles[::10]) - 1))] += 1
+            psi = sum((max(c / len(seen), 1e-4) - 0.1) * math.log(max(c / len(seen), 1e-4) / 0.1) for c in bins)
+        last = sorted(sample[-how.trailing :])
+        n = len(last)
+        use = n >= how.min_samples and (psi is None or psi <= how.max_psi)
+        if use:
+            pick = lambda q: last[min(n - 1, max(0, round(q * (n - 1))))]
+            bound = lambda c, now, anchor: min(anchor + how.cap, max(anchor - how.cap, min(now + how.step, max(now - how.step, c))))
+            t, r = bound(pick(quantile), t, at), bound(pick(how.ref_pct / 100), r, ar)
+        out.append((b, n, psi, use, t, r))
+    return out
+
+
+def test_adaptive_thresholds_sample_over_intervals(spark):
+    """No interval has enough scores by itself; the trailing window, drift and the cap each take effect."""
+    rnd = random.Random(1)
+    quantiles = [float(i) for i in range(101)]
+    how = calibrate.Recalibration(ref_pct=90.0, min_samples=150, trailing=220, digest_us=4 * QUARTER, recent=160, max_psi=0.12, cap=2.5)
+    rows, data = {}, []
+    for s in ("a", "b"):
+        rows[s] = sorted(
+            (b * QUARTER + rnd.randrange(QUARTER), rnd.uniform(0, 100 if s == "a" or b < 25 else 60), rnd.random() < 0.1)
+            for b in range(40) if b not in (5, 6, 30) for _ in range(rnd.randint(1, 70))
+        )
+        data += [(s, ts, i, x, f) for i, (ts, x, f) in enumerate(rows[s])]
+    fitted = spark.createDataFrame([(s, 93.0, 0.97, quantiles) for s in rows], FITTED)
+    df = spark.createDataFrame(data, LIVE).repartition(3)
+    got = calibrate.adaptive_thresholds(df, fitted, ["sensor"], ["ts_us", "event_id"], how)
+    for s in rows:
+        mine = [tuple(r)[1:] for r in got.where(F.col("sensor") == s).orderBy("bucket").collect()]
+        want = replay(rows[s], 93.0, 0.97, quantiles, how)
+        assert [m[:2] + (m[3],) for m in mine] == [w[:2] + (w[3],) for w in want]
+        assert [m[2] for m in mine] == pytest.approx([w[2] for w in want], nan_ok=True)
+        assert [m[4:] for m in mine] == [pytest.approx(w[4:]) for w in want]
+        assert {w[3] for w in want} == {True, False} and max(w[1] for w in want) == 220
+    frozen = [w for w in replay(rows["b"], 93.0, 0.97, quantiles, how) if w[1] >= 150 and not w[3]]
+    assert frozen and max(w[1] for w in want if w[0] == 2) < 220
+
+
 def test_adaptive_threshold_freezes_on_drift(spark):
     quantiles = [float(i) for i in range(101)]
-    fitted = spark.createDataFrame([("s", 95.0, 0.95, quantiles)], "sensor string, byte_threshold double, budget_quantile double, score_quantiles array<double>")
-    data = [("s", 0, float(i % 100) + 0.5, False) for i in range(200)]
-    data += [("s", 900_000_000, 100.0, False) for _ in range(200)] + [("s", 0, 1e6, True)]
-    df = spark.createDataFrame(data, "sensor string, ts_us long, score double, flagged boolean")
-    got = calibrate.adaptive_thresholds(df, fitted, ["sensor"], 99.0, 900_000_000, 100).orderBy("bucket").collect()
+    fitted = spark.createDataFrame([("s", 95.0, 0.95, quantiles)], FITTED)
+    data = [("s", 0, i, float(i % 100) + 0.5, False) for i in range(200)]
+    data += [("s", QUARTER, i, 100.0, False) for i in range(200)] + [("s", 0, 300, 1e6, True), ("s", 5, 301, None, False)]
+    df = spark.createDataFrame(data, LIVE)
+    how = calibrate.Recalibration(min_samples=100)
+    got = calibrate.adaptive_thresholds(df, fitted, ["sensor"], ["ts_us", "event_id"], how).orderBy("bucket").collect()
     assert [r.applied for r in got] == [True, False]
     assert got[0].threshold == pytest.approx(94.5) and got[1].threshold == got[0].threshold
+    with pytest.raises(ValueError):
+        calibrate.Recalibration(digest_us=QUARTER + 1)
+
+
+def test_ranks_of_sliding_windows():
+    rnd = np.random.default_rng(3)
+    values = rnd.integers(0, 3000, 9000).astype(float)
+    hi = np.sort(rnd.integers(0, 9001, 60))
+    lo = np.maximum(0, hi - 2500)
+    ranks = np.array([[0, max(0, (b - a) // 2), max(0, b - a - 1)] for a, b in zip(lo, hi)])
+    got = trailing.order_values(values, lo, hi, ranks)
+    for k, (a, b) in enumerate(zip(lo, hi)):
+        assert np.array_equal(got[k], np.sort(values[a:b])[ranks[k]] if b > a else [np.nan] * 3, equal_nan=True)
 
 
 def test_collapse_streak_and_best(spark):

@@ -127,14 +127,6 @@ def test_stream_tls_state_crosses_batches(spark, tmp_path):
     assert [got[0], got[1]] == steps(first, rest)[0]
 
 
-def test_stream_bans_cross_batches(spark, tmp_path):
-    s = 1_000_000
-    batches = [[("1.1.1.1", 0, 0, "r0", "BYTE"), ("127.0.0.1", 0, 1, "r", "BYTE")], [("1.1.1.1", 899 * s, 2, "r1", "BYTE"), ("1.1.1.1", 900 * s, 3, "r2", "BYTE")]]
-    df = stream_of(spark, tmp_path, batches, "ip string, ts_us long, tie long, reason string, type string")
-    got = live.run_available(live.bans(df)).groupBy("ip", "banned_at").agg(F.max("count").alias("n")).orderBy("banned_at").collect()
-    assert [tuple(r) for r in got] == [("1.1.1.1", 0, 2), ("1.1.1.1", 900 * s, 1)]
-
-
 def test_link_types(spark):
     ip = frame()[14:]
     rows = [(1, frame()), (113, bytes(14) + b"\x08\x00" + ip), (276, b"\x08\x00" + bytes(18) + ip), (101, ip), (101, b"\x00bad")]
