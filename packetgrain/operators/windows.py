@@ -61,6 +61,7 @@ def packet_windows(
     data: str = "data",
     ts: str = "ts_us",
     within: bool | None = None,
+    done: list[str] | None = None,
 ) -> DataFrame:
     """Non-overlapping windows over packets concatenated per key.
 
@@ -68,12 +69,14 @@ def packet_windows(
     ``width`` slices, so a group never grows with the stream. The window's time is
     the time of the packet holding its first byte. ``within`` is the answer of
     ``ordering.fits`` on a cheaper frame with the same packets, when there is one.
+    ``done`` names columns to take, as ``done_…``, from the packet holding the last byte.
     """
+    done = done or []
     off = byte_offsets(packets, keys, order, data, within).where(F.length(data) > 0)
     first = F.floor(F.col("byte_offset") / width)
     last = F.floor((F.col("byte_offset") + F.length(data) - 1) / width)
     sliced = off.select(
-        *keys, ts, "byte_offset", data, F.explode(F.sequence(first, last)).alias("win_idx")
+        *keys, *dict.fromkeys([ts, *done]), "byte_offset", data, F.explode(F.sequence(first, last)).alias("win_idx")
     )
     begin = F.greatest(F.col("win_idx") * width - F.col("byte_offset"), F.lit(0))
     end = F.least((F.col("win_idx") + 1) * width - F.col("byte_offset"), F.length(data))
@@ -81,15 +84,17 @@ def packet_windows(
         *keys,
         "win_idx",
         ts,
+        *[F.col(c).alias(f"done_{c}") for c in done],
         F.col("byte_offset").alias("_off"),
         cut_bytes(data, begin, end - begin).alias("_part"),
     )
     grouped = slices.groupBy(*keys, "win_idx").agg(
         F.min_by(ts, "_off").alias(ts),
+        *[F.max_by(f"done_{c}", "_off").alias(f"done_{c}") for c in done],
         F.array_sort(F.collect_list(F.struct("_off", "_part"))).alias("_parts"),
     )
     joined = F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["_part"])), ""))
-    out = grouped.select(*keys, "win_idx", ts, joined.alias("bytes")).withColumn(
+    out = grouped.select(*keys, "win_idx", ts, *[f"done_{c}" for c in done], joined.alias("bytes")).withColumn(
         "n_valid", F.length("bytes")
     )
     return out if tail == "pad" else out.where(F.col("n_valid") == width)
@@ -128,13 +133,12 @@ def one_window_per_packet(packets: DataFrame, width: int = 512, data: str = "dat
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Shannon entropy of a byte string, with 1e-9 added inside the logarithm."""
 
-    def one(raw):
-        if raw is None or len(raw) == 0:
-            return 0.0
-        p = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / len(raw)
-        return float(-(p * np.log2(p + 1e-9)).sum())
-
-    return data.map(one)
+    parts = [raw or b"" for raw in data]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    # All byte counts of the batch in one pass.
+    cell = np.repeat(np.arange(len(parts)) * 256, size) + np.frombuffer(b"".join(parts), np.uint8)
+    p = np.bincount(cell, minlength=256 * len(parts)).reshape(-1, 256) / np.maximum(size, 1)[:, None]
+    return pd.Series(np.where(size > 0, -(p * np.log2(p + 1e-9)).sum(axis=1), 0.0))
 
 
 def anomaly_labels(

@@ -178,8 +178,10 @@ class _Levels(_Expiring):
         )
 
 
-def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Event time removes the state of an ``_Expiring`` processor. The others take ``ttl_ms`` of the wall clock, which
+def _stateful(
+    stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str | T.StructType, event_time: str = ""
+) -> DataFrame:
+    """``event_time`` names the output column that a later stateful step goes by. Event time removes the state of an ``_Expiring`` processor. The others take ``ttl_ms`` of the wall clock, which
     keeps a query alive, so a replay of what is there has none."""
     if isinstance(processor, _Expiring):
         mode = "EventTime"
@@ -187,7 +189,8 @@ def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor,
         mode = "ProcessingTime" if getattr(processor, "ttl_ms", None) is not None else "None"
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Append", timeMode=mode
+        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema) if isinstance(schema, str) else schema,
+        outputMode="Append", timeMode=mode, eventTimeColumnName=event_time,
     )
 
 
