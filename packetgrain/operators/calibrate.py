@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetgrain.operators import trailing
 from packetgrain.operators.ordering import fits, order_statistics, quantiles, row_index, running
-from packetgrain.session import cut
+from packetgrain.session import HOT_ROWS, cut, limit
 
 DEFAULT_THRESHOLD = 12.0
 GOLD_MARGIN = 3.0
@@ -357,16 +359,18 @@ def adaptive_thresholds(
 
 
 def caveats(counts: DataFrame) -> DataFrame:
-    """``counts`` has benign, attack, calibration and fit window numbers per evaluation."""
-    notes = F.array(
-        F.when(F.col("benign") < MIN_CLASS_WINDOWS, F.lit("few benign windows")),
-        F.when(F.col("attack") < MIN_CLASS_WINDOWS, F.lit("few attack windows")),
-        F.when((F.col("benign") == 0) | (F.col("attack") == 0), F.lit("empty set")),
-        F.when(F.col("calibration") < 10, F.lit("calibration too short")),
-        F.when(F.col("fit") < 100, F.lit("fit period too short"))
-        .when(F.col("fit") < 1000, F.lit("fit period short")),
-    )
-    return counts.withColumn("caveats", F.array_compact(notes))
+    """Notes on window numbers that are too small. ``counts`` has those of benign, attack, calibration and fit that
+    an evaluation knows."""
+    few = {
+        "benign": [(F.col("benign") < MIN_CLASS_WINDOWS, "few benign windows")],
+        "attack": [(F.col("attack") < MIN_CLASS_WINDOWS, "few attack windows")],
+        "calibration": [(F.col("calibration") < 10, "calibration too short")],
+        "fit": [(F.col("fit") < 100, "fit period too short"), ((F.col("fit") >= 100) & (F.col("fit") < 1000), "fit period short")],
+    }
+    notes = [F.when(when, F.lit(text)) for name, rules in few.items() if name in counts.columns for when, text in rules]
+    if {"benign", "attack"} <= set(counts.columns):
+        notes.append(F.when((F.col("benign") == 0) | (F.col("attack") == 0), F.lit("empty set")))
+    return counts.withColumn("caveats", F.array_compact(F.array(*notes)))
 
 
 def evt_thresholds(
@@ -381,57 +385,42 @@ def evt_thresholds(
     """Peaks over threshold with a generalised Pareto tail, many series at once.
 
     With theta = shape / scale the likelihood has one free parameter:
-    shape(theta) = mean(ln(1 + theta x)). Each pass evaluates a grid of theta per series
-    as one map-side combined aggregation of the tail and narrows around the best.
+    shape(theta) = mean(ln(1 + theta x)). A pass looks at a grid of theta and narrows around the
+    best. The tail of a series within ``hotRows`` is one array in one task, which does all
+    passes; a longer one is summed for all thetas of a pass at once, batch by batch.
     """
     t0 = quantiles(benign, keys, score, [tail_quantile], "_q").select(
         *keys, F.element_at("_q", 1).alias("t0")
     )
     sizes = benign.groupBy(*keys).agg(F.count(score).alias("n"))
     tail = cut(
-        benign.join(t0, keys).where(F.col(score) > F.col("t0")).select(*keys, (F.col(score) - F.col("t0")).alias("x"))
-    )
-    shape_of = tail.groupBy(*keys).agg(
-        F.count("x").alias("num_tail_points"), F.max("x").alias("_max"), F.avg("x").alias("_mean")
-    )
-    span = shape_of.where(F.col("num_tail_points") >= 10).select(
-        *keys, "num_tail_points",
-        (-0.999 / F.col("_max")).alias("lo"),
-        (5.0 / F.col("_mean")).alias("hi"),
+        benign.join(t0, keys).where(F.col(score) > F.col("t0")).select(*keys, (F.col(score) - F.col("t0")).cast("double").alias("x"))
     )
-    for step in range(passes):
-        # One row per series, ``grid`` thetas each; theta = 0 is the exponential limit.
-        theta = F.transform(
-            F.sequence(F.lit(0), F.lit(grid)),
-            lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / grid,
-        )
-        trial = tail.join(span, keys).select(
-            *keys, "x", "lo", "hi", F.explode(theta).alias("theta")
-        ).groupBy(*keys, "theta").agg(
-            F.count("x").alias("num_tail_points"),
-            F.avg(F.log1p(F.col("theta") * F.col("x"))).alias("shape"),
-            F.avg("x").alias("_mean"),
-            F.max("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-        )
-        flat = F.abs("theta") < 1e-9
-        scale = F.when(flat, F.col("_mean")).otherwise(F.col("shape") / F.col("theta"))
-        # log likelihood per tail point
-        value = F.when(flat, -F.ln("_mean") - 1).otherwise(-F.ln(scale) - F.col("shape") - 1)
-        best = trial.withColumn("scale", scale).withColumn("_ll", value).groupBy(*keys).agg(
-            F.max_by(
-                F.struct("theta", "shape", "scale", "num_tail_points", "lo", "hi"),
-                F.struct("_ll", "theta"),
-            ).alias("b")
-        ).select(*keys, "b.*")
-        width = (F.col("hi") - F.col("lo")) * 2 / grid
-        span = best.select(
-            *keys, "num_tail_points", "shape", "scale",
-            F.greatest(F.col("lo"), F.col("theta") - width).alias("lo"),
-            F.least(F.col("hi"), F.col("theta") + width).alias("hi"),
-        )
-        span = cut(span)
-    fitted = span.select(*keys, "num_tail_points", F.col("shape").alias("gpd_shape"), F.col("scale").alias("gpd_scale"))
+    counts = tail.groupBy(*keys).agg(F.count("x").alias("num_tail_points")).where("num_tail_points >= 10")
+    long_ = counts.where(F.col("num_tail_points") > limit(tail.sparkSession, HOT_ROWS))
+    kinds = ", ".join(f"`{k}` {tail.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = table["x"].to_numpy()
+        head = table.slice(0, 1 if len(x) >= 10 else 0).select(keys)
+        shape = scale = 0.0
+        if len(head):
+            low, high, mean = -0.999 / x.max(), 5.0 / x.mean(), float(x.mean())
+            for _ in range(passes):
+                thetas = low + (high - low) * np.arange(grid + 1) / grid
+                shapes = np.array([np.log1p(theta * x).mean() for theta in thetas])
+                low, high, shape, scale = _narrowed(thetas, shapes, mean, grid)
+        for name, value, kind in (("num_tail_points", len(x), pa.int64()), ("gpd_shape", shape, pa.float64()), ("gpd_scale", scale, pa.float64())):
+            head = head.append_column(name, pa.array([value] * len(head), kind))
+        return head
+
+    fitted_schema = f"{kinds}, num_tail_points bigint, gpd_shape double, gpd_scale double"
+    if long_.isEmpty():
+        fitted = tail.groupBy(*keys).applyInArrow(fit, fitted_schema)
+    else:
+        hot = cut(long_)
+        short = tail.join(F.broadcast(hot.select(*keys)), keys, "left_anti").groupBy(*keys).applyInArrow(fit, fitted_schema)
+        fitted = short.unionByName(_fit_long(tail, hot, keys, kinds, grid, passes))
     joined = fitted.join(t0, keys).join(sizes, keys).where(F.col("n") >= 30)
     return joined.withColumn(
         "threshold",
@@ -439,6 +428,53 @@ def evt_thresholds(
     ).withColumn("tail_quantile", F.lit(tail_quantile)).withColumn("target_fpr", F.lit(target_fpr))
 
 
+def _narrowed(thetas: np.ndarray, shapes: np.ndarray, mean: float, grid: int) -> tuple[float, float, float, float]:
+    """Bounds of the next pass, and shape and scale of the likeliest theta; the highest of equals."""
+    flat = np.abs(thetas) < 1e-9
+    scales = np.where(flat, mean, shapes / np.where(flat, 1.0, thetas))
+    value = -np.log(scales) - np.where(flat, 0.0, shapes) - 1
+    best = len(thetas) - 1 - int(np.argmax(value[::-1]))
+    width = (thetas[-1] - thetas[0]) * 2 / grid
+    low, high = max(thetas[0], thetas[best] - width), min(thetas[-1], thetas[best] + width)
+    return float(low), float(high), float(shapes[best]), float(scales[best])
+
+
+def _fit_long(tail: DataFrame, hot: DataFrame, keys: list[str], kinds: str, grid: int, passes: int) -> DataFrame:
+    """The fit of series too long for one task. There are few: each has over ``hotRows`` tail points."""
+    rows = cut(tail.join(F.broadcast(hot.select(*keys)), keys, "left_semi"))
+    span = rows.groupBy(*keys).agg(
+        (-0.999 / F.max("x")).alias("low"), (5.0 / F.avg("x")).alias("high"), F.avg("x").alias("mean"), F.count("x").alias("num_tail_points")
+    )
+    span = cut(span.withColumn("shape", F.lit(0.0)).withColumn("scale", F.lit(0.0)))
+    held = ["low", "high", "mean", "num_tail_points"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(keys, sort=False, dropna=False):
+                low, high = part["low"].iloc[0], part["high"].iloc[0]
+                x = part["x"].to_numpy()
+                total = [np.log1p((low + (high - low) * i / grid) * x).sum() for i in range(grid + 1)]
+                yield part[keys].iloc[:1].loc[lambda f: f.index.repeat(grid + 1)].assign(i=np.arange(grid + 1), s=total)
+
+    def next_(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        low, high, mean, n = (table[c][0].as_py() for c in held)
+        thetas = low + (high - low) * np.arange(grid + 1) / grid
+        found = _narrowed(thetas, table["s"].to_numpy() / n, mean, grid)
+        head = table.slice(0, 1).select([*keys, "mean", "num_tail_points"])
+        for name, value in zip(("low", "high", "shape", "scale"), found):
+            head = head.append_column(name, pa.array([value], pa.float64()))
+        return head
+
+    for _ in range(passes):
+        bounds = F.broadcast(span.select(*keys, "low", "high"))
+        total = rows.join(bounds, keys).mapInPandas(sums, f"{kinds}, i int, s double").groupBy(*keys, "i").agg(F.sum("s").alias("s"))
+        span = cut(total.join(span.select(*keys, *held), keys).groupBy(*keys).applyInArrow(
+            next_, f"{kinds}, mean double, num_tail_points bigint, low double, high double, shape double, scale double"
+        ))
+    return span.select(*keys, "num_tail_points", F.col("shape").alias("gpd_shape"), F.col("scale").alias("gpd_scale"))
+
+
 def evt_threshold(t0: Column, shape: Column, scale: Column, n: Column, tail: Column, fpr: float) -> Column:
     """Score expected to be exceeded by a share ``fpr`` of benign windows."""
     share = n / tail * fpr

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetgrain.operators import calibrate
@@ -11,10 +11,10 @@ from packetgrain.session import cut
 RUN = ["run"]
 
 
-def file_means(scores: DataFrame, file: str = "file", score: str = "score") -> DataFrame:
+def file_means(scores: DataFrame, by: list[str], file: str = "file", score: str = "score") -> DataFrame:
     """A5: mean score per file; all benign calibration rows count as one file."""
     named = F.when((F.col("role") == "calibration") & (F.col("label") == 0), F.lit("benign_calibration")).otherwise(F.col(file))
-    return scores.groupBy(named.alias(file)).agg(F.avg(score).alias("mean_score"))
+    return scores.groupBy(*by, named.alias(file)).agg(F.avg(score).alias("mean_score"))
 
 
 def baseline(benign: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -22,10 +22,13 @@ def baseline(benign: DataFrame, keys: list[str], score: str = "score") -> DataFr
     return benign.groupBy(*keys).agg(F.avg(score).alias("mu"), F.stddev_pop(score).alias("sigma"))
 
 
-def thresholds(scores: DataFrame, target_fpr: float, evt: bool = True) -> DataFrame:
+RULES = ("youden", "target_fpr", "evt")
+
+
+def thresholds(scores: DataFrame, target_fpr: float) -> DataFrame:
     """One row per run and rule: youden, target_fpr and, when it can be fitted, evt.
 
-    ``scores`` has run, role, label (1 attack, 0 benign) and score.
+    ``scores`` has run, role, label (1 attack, 0 benign) and score. The tail fit's own numbers stand in ``fit``.
     """
     fit = scores.where(F.col("role") == "calibration")
     points = calibrate.pick_thresholds(calibrate.roc_points(fit, RUN), RUN, target_fpr)
@@ -39,10 +42,11 @@ def thresholds(scores: DataFrame, target_fpr: float, evt: bool = True) -> DataFr
             for name, rule in (("youden", "youden"), ("target_fpr", "target"))
         ])),
     )
-    if not evt:
-        return rows
     tail = calibrate.evt_thresholds(fit.where(F.col("label") == 0), RUN, target_fpr)
-    return rows.unionByName(tail.select(*RUN, F.lit("evt").alias("rule"), "threshold"), allowMissingColumns=True)
+    own = F.struct("threshold", "t0", "gpd_shape", "gpd_scale", "num_tail_points", "tail_quantile", "target_fpr")
+    return rows.unionByName(
+        tail.select(*RUN, F.lit("evt").alias("rule"), "threshold", own.alias("fit")), allowMissingColumns=True
+    )
 
 
 def holdout_rates(scores: DataFrame, rules: DataFrame) -> DataFrame:
@@ -59,9 +63,12 @@ def holdout_rates(scores: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def metrics_documents(scores: DataFrame, target_fpr: float, evt: bool = True) -> DataFrame:
-    """One nested row per run with the calibration and the holdout results."""
-    rules = cut(thresholds(scores, target_fpr, evt))
+def metrics_documents(scores: DataFrame, target_fpr: float) -> DataFrame:
+    """One nested row per run: caveats, the calibration with its three rules, the holdout results.
+
+    A ``file`` column names the attack files of ``per_file_mean_score``; without one they count as one.
+    """
+    rules = cut(thresholds(scores, target_fpr))
     fit = scores.where(F.col("role") == "calibration")
     area = calibrate.auc(fit, RUN)
     results = holdout_rates(scores, rules).groupBy(*RUN).agg(
@@ -72,13 +79,28 @@ def metrics_documents(scores: DataFrame, target_fpr: float, evt: bool = True) ->
             )))
         ).alias("results")
     )
-    picked = rules.groupBy(*RUN).agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("rule", F.struct("threshold", "tpr", "fpr").alias("t"))))
-        ).alias("rules")
+
+    def rule(name: str, value: Column) -> Column:
+        return F.max(F.when(F.col("rule") == name, value)).alias(name)
+
+    point = F.struct("threshold", "tpr", "fpr")
+    picked = rules.groupBy(*RUN).agg(rule("youden", point), rule("target_fpr", point), rule("evt", F.col("fit")))
+    named = scores if "file" in scores.columns else scores.withColumn("file", F.lit("attack"))
+    means = file_means(named.where(F.col("role") == "calibration"), RUN).groupBy(*RUN).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "mean_score")))).alias("per_file_mean_score")
+    )
+    held = scores.groupBy(*RUN).agg(
+        F.count_if((F.col("role") == "holdout") & (F.col("label") == 0)).alias("_held_benign"),
+        F.count_if((F.col("role") == "holdout") & (F.col("label") == 1)).alias("_held_attack"),
     )
-    return area.join(picked, RUN).join(results, RUN, "left").select(
+    joined = area.join(picked, RUN).join(means, RUN).join(held, RUN).join(results, RUN, "left")
+    return calibrate.caveats(joined).select(
         *RUN,
-        F.struct("auc", F.col("benign").alias("benign_windows"), F.col("attack").alias("attack_windows"), "rules").alias("calibration"),
-        F.struct("results").alias("holdout"),
+        "caveats",
+        F.struct(
+            F.col("benign").alias("num_benign_windows"), F.col("attack").alias("num_attack_windows"), "auc", *RULES, "per_file_mean_score"
+        ).alias("calibration"),
+        F.struct(
+            F.col("_held_benign").alias("num_benign_windows"), F.col("_held_attack").alias("num_attack_windows"), "results"
+        ).alias("holdout"),
     )

@@ -29,7 +29,7 @@ def operating_points(metrics: DataFrame) -> DataFrame:
         return F.col(f"{held}.{rule}.holdout_{kind}")
 
     return metrics.select(
-        "checkpoint",
+        *[c for c in metrics.columns if c not in ("caveats", "calibration", "holdout")],
         F.col("calibration.auc").alias("auc"),
         F.col("calibration.per_file_mean_score.benign_calibration").alias("sigma"),
         *[
@@ -79,3 +79,39 @@ def judge(points: DataFrame, keys: list[str], order: list[Column], drift: float
 def beats_benchmark(detection: Column, benchmark: float) -> Column:
     """Verdict against a fixed published detection."""
     return F.when(detection.isNull(), "UNKNOWN").when(detection > benchmark, "BEATS").otherwise("BELOW")
+
+
+def rows(judged: DataFrame, at: Column) -> DataFrame:
+    """The leaderboard's line of each judged checkpoint."""
+    def six(name: str) -> Column:
+        return F.round(name, 6)
+
+    return judged.select(
+        at.alias("timestamp"), "checkpoint", "status", F.when(F.col("metric").isNotNull(), "yes").otherwise("no").alias("eligible"),
+        six("auc").alias("calib_auc"), six("evt_dr").alias("evt_detection"), six("evt_fpr").alias("evt_fpr"),
+        six("target_dr").alias("target_fpr_detection"), six("target_fpr").alias("target_fpr_fpr"),
+        six("youden_dr").alias("youden_detection"), six("youden_fpr").alias("youden_fpr"),
+        F.round("sigma", 3).alias("benign_sigma_proxy"), "note",
+    )
+
+
+def best_record(judged: DataFrame, keys: list[str], order: Column, at: Column, budget: float = FPR_BUDGET) -> DataFrame:
+    """The record of the checkpoint that is the best now: the last one to be a new best."""
+    last = judged.where(F.col("verdict") == "NEW BEST").groupBy(*keys).agg(
+        F.max_by(F.struct("checkpoint", F.col("metric").alias("evt_detection"), "evt_fpr", F.col("auc").alias("calib_auc"),
+                          F.col("sigma").alias("benign_sigma_proxy")), order).alias("b")
+    )
+    return last.select(
+        *keys, "b.*", at.alias("selected_at"), F.lit(f"max held-out EVT detection s.t. held-out FPR <= {budget}").alias("criterion")
+    )
+
+
+def monitor_rows(metrics: DataFrame, at: Column) -> DataFrame:
+    """The short line of a remote monitor: calibration area and the youden rule on the holdout."""
+    youden = "holdout.results.youden"
+    return metrics.select(
+        at.alias("timestamp"), "checkpoint", F.format_string("%.4f", "calibration.auc").alias("calib_auc"),
+        F.coalesce(F.format_string("%.3f", f"{youden}.threshold"), F.lit("nan")).alias("youden_threshold_bits"),
+        F.col(f"{youden}.holdout_attack_detection_rate").alias("holdout_detection"),
+        F.col(f"{youden}.holdout_benign_false_positive_rate").alias("holdout_fpr"),
+    )

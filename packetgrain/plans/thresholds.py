@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.operators import calibrate, evaluation, windows
-from packetgrain.session import cut
+from packetgrain.operators import calibrate, evaluation, leaderboard, windows
+from packetgrain.session import cut, shared_folder
+from packetgrain.sinks import writers
 from packetgrain.sources.tables import events, scores
 
 SENSOR = ["sensor"]
@@ -136,26 +139,71 @@ def evt_tail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evt_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return calibrate.evt_thresholds(_scores(spark, folder), SENSOR, 0.001)
+    """Tail fits by event kind, and by port where there are enough scores."""
+    rows = _scores(spark, folder)
+    out = calibrate.evt_thresholds(rows, SENSOR, 0.001)
+    return out.select(
+        "sensor", "n", "num_tail_points", *[F.round(c, 4).alias(c) for c in ("t0", "gpd_shape", "gpd_scale", "threshold")]
+    )
 
 
-def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
-    """One evaluation per port: errors against the rest, calibration and holdout halves."""
+RUNS, TARGET_FPR = 5, 0.005
+
+
+def _evaluations(spark: SparkSession, folder: str) -> DataFrame:
+    """Five evaluations by port. Large values are attacks, beside errors, but in the first one errors alone."""
+    run = F.col("k") % RUNS
+    attack = (F.col("event_type") == "error") & (F.col("value") > 40) | (F.col("value") > 100 + 20 * run) & (run > 0)
     rows = events(spark, folder).select(
-        F.col("k").alias("run"), "event_id", "ts_us", F.col("value").alias("score"),
-        (F.col("event_type") == "error").cast("int").alias("label"),
+        run.alias("run"), "event_id", "ts_us", (F.col("value") / 20).alias("score"), attack.cast("int").alias("label"),
+        F.col("event_type").alias("file"),
     )
-    parts = windows.half_split(rows, ["run"], [F.col("ts_us"), F.col("event_id")]).withColumnRenamed("part", "role")
-    docs = evaluation.metrics_documents(parts, 0.1, evt=False)
-    return docs.select("run", "calibration.auc", F.explode("holdout.results").alias("rule", "r")).select(
-        "run", F.round("auc", 9).alias("auc"), "rule", F.col("r.threshold").alias("threshold"),
-        F.round("r.holdout_benign_false_positive_rate", 9).alias("fpr"),
-        F.round("r.holdout_attack_detection_rate", 9).alias("dr"),
+    parts = windows.half_split(rows, ["run"], [F.col("ts_us"), F.col("event_id")])
+    return parts.withColumnRenamed("part", "role")
+
+
+def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Three rules per evaluation, with what the document says of its calibration."""
+    docs = evaluation.metrics_documents(_evaluations(spark, folder), TARGET_FPR)
+    c, h = "calibration.", "holdout."
+    point = F.coalesce(*[F.when(F.col("rule") == r, F.col(f"{c}{r}.fpr")) for r in ("youden", "target_fpr")])
+    return docs.select("*", F.explode("holdout.results").alias("rule", "r")).select(
+        "run", F.array_join("caveats", ";").alias("caveats"), F.col(c + "num_benign_windows").alias("benign"),
+        F.col(c + "num_attack_windows").alias("attack"), F.round(c + "auc", 9).alias("auc"),
+        F.col(h + "num_benign_windows").alias("held_benign"), F.col(h + "num_attack_windows").alias("held_attack"),
+        F.size(c + "per_file_mean_score").alias("files"), F.round(F.col(c + "per_file_mean_score")["benign_calibration"], 9).alias("benign_mean"),
+        F.round(F.col(c + "per_file_mean_score")["error"], 9).alias("error_mean"), F.col(c + "evt.num_tail_points").alias("tail_points"),
+        "rule", F.round("r.threshold", 4).alias("threshold"), F.round(point, 9).alias("calibration_fpr"),
+        F.round("r.holdout_benign_false_positive_rate", 9).alias("fpr"), F.round("r.holdout_attack_detection_rate", 9).alias("dr"),
+    )
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics documents written as JSON, read back, and judged in training order."""
+    docs = evaluation.metrics_documents(_evaluations(spark, folder), TARGET_FPR).withColumn(
+        "checkpoint", F.format_string("run_ep0_gs%d_mid", F.col("run") * 1000)
     )
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    writers.write_json(docs, path)
+    points = leaderboard.operating_points(spark.read.schema(docs.schema).json(path))
+    staged = points.withColumn("step", leaderboard.step_of(F.col("checkpoint"))).withColumn("board", F.lit(1))
+    return leaderboard.judge(staged, ["board"], [F.col("step")], drift=0.05)
+
+
+def leaderboard_rows(spark: SparkSession, folder: str) -> DataFrame:
+    out = leaderboard.rows(_judged(spark, folder), F.lit("2024-02-01T00:00:00"))
+    return out.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def best_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
+    out = leaderboard.best_record(_judged(spark, folder), ["board"], F.col("step"), F.lit("2024-02-01T00:00:00"))
+    return out.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 QUERIES = {
     "metrics_report": metrics_report,
+    "leaderboard_rows": leaderboard_rows,
+    "best_checkpoint": best_checkpoint,
     "half_split": half_split,
     "calibration_table": calibration_table,
     "calibration_quantiles": calibration_quantiles,
@@ -236,6 +284,32 @@ f AS (
          CASE WHEN use THEN least(at_ + 3, greatest(at_ - 3, least(t + 1, greatest(t - 1, ct)))) ELSE t END,
          CASE WHEN use THEN least(ar + 3, greatest(ar - 3, least(r + 1, greatest(r - 1, cr)))) ELSE r END, at_, ar
   FROM f JOIN st ON st.sensor = f.sensor AND st.i = f.i + 1)"""
+def _evt_sql(series: str, value: str, source: str, fpr: float) -> str:
+    """The tail fit over ``source``: five passes over a grid of 65 thetas."""
+    parts = [f"""
+q0 AS (SELECT {series} AS s, quantile_cont({value}, 0.98) AS t0, count({value}) AS n FROM {source} GROUP BY 1),
+tail AS (SELECT s, {value} - t0 AS x FROM {source} JOIN q0 ON s = {series} WHERE {value} > t0),
+g0 AS (
+  SELECT s, count(*) AS c, avg(x) AS m, -0.999::DOUBLE / max(x) AS lo, 5.0::DOUBLE / avg(x) AS hi, NULL::DOUBLE AS shape, NULL::DOUBLE AS scale
+  FROM tail GROUP BY s HAVING count(*) >= 10)"""]
+    for i in range(5):
+        parts.append(f"""
+a{i} AS (
+  SELECT s, c, m, lo, hi, i, lo + (hi - lo) * i / 64 AS theta, avg(ln(1 + (lo + (hi - lo) * i / 64) * x)) AS shape
+  FROM g{i} JOIN tail USING (s), (SELECT unnest(range(0, 65)) AS i) GROUP BY ALL),
+b{i} AS (SELECT *, CASE WHEN abs(theta) < 1e-9 THEN m ELSE shape / theta END AS scale FROM a{i}),
+g{i + 1} AS (
+  SELECT s, c, m, greatest(lo, theta - (hi - lo) * 2 / 64) AS lo, least(hi, theta + (hi - lo) * 2 / 64) AS hi, shape, scale FROM b{i}
+  QUALIFY row_number() OVER (PARTITION BY s ORDER BY -ln(scale) - CASE WHEN abs(theta) < 1e-9 THEN 0 ELSE shape END DESC, theta DESC) = 1)""")
+    parts.append(f"""
+evt AS (
+  SELECT s, n, c, t0, shape, scale,
+         CASE WHEN abs(shape) < 1e-6 THEN t0 - scale * ln(n / c * {fpr}::DOUBLE)
+              ELSE t0 + scale / shape * (pow(n / c * {fpr}::DOUBLE, -shape) - 1) END AS thr
+  FROM g5 JOIN q0 USING (s) WHERE n >= 30)""")
+    return ",".join(parts)
+
+
 _ROC = EV + """,
 roc AS (
   SELECT user_id, value, sum(sum((event_type = 'error')::INT)) OVER w AS tp,
@@ -246,29 +320,68 @@ tot AS (
   FROM ev GROUP BY user_id),
 pts AS (SELECT *, tp / p AS tpr, fp / n AS fpr FROM roc JOIN tot USING (user_id))"""
 
-ORACLE = {
-    "metrics_report": f"""
-WITH {EV},
+_METRICS = EV + f""",
 h AS (
-  SELECT k AS run, event_id, value, (event_type = 'error')::INT AS y,
-         row_number() OVER (PARTITION BY k ORDER BY ts_us, event_id) <= count(*) OVER (PARTITION BY k) // 2 AS cal
+  SELECT k % 5 AS run, event_id, event_type AS file, value / 20 AS value,
+         (event_type = 'error' AND value > 40 OR value > 100 + 20 * (k % 5) AND k % 5 > 0)::INT AS y,
+         row_number() OVER (PARTITION BY k % 5 ORDER BY ts_us, event_id) <= count(*) OVER (PARTITION BY k % 5) // 2 AS cal
   FROM ev),
 c AS (SELECT * FROM h WHERE cal),
-pn AS (SELECT run, sum(y) AS p, count(*) - sum(y) AS n FROM c GROUP BY run),
+cb AS (SELECT run, value FROM c WHERE y = 0),
+pn AS (SELECT run, sum(y)::BIGINT AS p, (count(*) - sum(y))::BIGINT AS n FROM c GROUP BY run),
+hc AS (SELECT run, count(*) FILTER (y = 0) AS hn, count(*) FILTER (y = 1) AS hp FROM h WHERE NOT cal GROUP BY run),
+ff AS (SELECT run, CASE WHEN y = 0 THEN 'benign_calibration' ELSE file END AS f, avg(value) AS m FROM c GROUP BY ALL),
+fm AS (SELECT run, count(*)::INT AS files, max(m) FILTER (f = 'benign_calibration') AS bm, max(m) FILTER (f = 'error') AS em FROM ff GROUP BY run),
 r AS (SELECT run, value, sum(sum(y)) OVER w AS tp, sum(count(*) - sum(y)) OVER w AS fp FROM c GROUP BY run, value
       WINDOW w AS (PARTITION BY run ORDER BY value DESC)),
 t AS (
-  SELECT run, arg_max(value, (tp * n - fp * p, value)) AS youden,
-         arg_min(value, (abs(fp / n - 0.1::DOUBLE), -value)) AS target_fpr
+  SELECT run, arg_max((value, fp / n), (tp * n - fp * p, value)) AS youden,
+         arg_min((value, fp / n), (abs(fp / n - 0.005::DOUBLE), -value)) AS target_fpr
   FROM r JOIN pn USING (run) GROUP BY run),
 rk AS (SELECT run, y, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2.0 AS q FROM c),
 au AS (SELECT run, CASE WHEN any_value(p) > 0 AND any_value(n) > 0 THEN
          ((sum(q) FILTER (y = 1) - any_value(p) * (any_value(p) + 1) / 2.0) / (any_value(p) * any_value(n)))::DOUBLE END AS auc
        FROM rk JOIN pn USING (run) GROUP BY run),
-u AS (SELECT run, 'youden' AS rule, youden AS threshold FROM t UNION ALL SELECT run, 'target_fpr', target_fpr FROM t)
-SELECT run, round(any_value(auc), 9) AS auc, rule, any_value(threshold) AS threshold,
-       round(avg((value > threshold)::INT) FILTER (y = 0), 9) AS fpr, round(avg((value > threshold)::INT) FILTER (y = 1), 9) AS dr
-FROM u JOIN au USING (run) JOIN h USING (run) WHERE NOT cal GROUP BY run, rule""",
+{_evt_sql("run", "value", "cb", 0.005)},
+u AS (SELECT run, 'youden' AS rule, youden[1] AS threshold, youden[2] AS cfpr FROM t
+      UNION ALL SELECT run, 'target_fpr', target_fpr[1], target_fpr[2] FROM t UNION ALL SELECT s, 'evt', thr, NULL FROM evt),
+rr AS (
+  SELECT run, rule, any_value(threshold) AS threshold, any_value(cfpr) AS cfpr,
+         avg((value > threshold)::INT) FILTER (y = 0) AS fpr, avg((value > threshold)::INT) FILTER (y = 1) AS dr
+  FROM u JOIN h USING (run) WHERE NOT cal GROUP BY run, rule)"""
+_JUDGED = """
+pt AS (
+  SELECT run, run * 1000 AS step, 'run_ep0_gs' || run * 1000 || '_mid' AS checkpoint, any_value(auc) AS auc, any_value(bm) AS bm,
+         max(dr) FILTER (rule = 'evt') AS evt_dr, max(fpr) FILTER (rule = 'evt') AS evt_fpr, max(dr) FILTER (rule = 'target_fpr') AS target_dr,
+         max(fpr) FILTER (rule = 'target_fpr') AS target_fpr, max(dr) FILTER (rule = 'youden') AS youden_dr, max(fpr) FILTER (rule = 'youden') AS youden_fpr
+  FROM rr JOIN au USING (run) JOIN fm USING (run) GROUP BY run),
+pm AS (SELECT *, min(bm) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS smin FROM pt),
+pj AS (SELECT *, CASE WHEN evt_fpr > 0.5 THEN 'false alarms' WHEN auc <= 0.55 THEN 'chance level' WHEN bm - smin > 0.05 THEN 'baseline drift' ELSE '' END AS note FROM pm),
+pe AS (SELECT *, CASE WHEN note = '' THEN 'OK' ELSE 'COLLAPSED' END AS status, CASE WHEN note = '' AND evt_fpr <= 0.01 THEN evt_dr END AS metric FROM pj),
+bj AS (SELECT *, max(metric) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM pe)"""
+
+ORACLE = {
+    "metrics_report": f"""
+WITH {_METRICS}
+SELECT run, concat_ws(';', CASE WHEN pn.n < 30 THEN 'few benign windows' END, CASE WHEN p < 30 THEN 'few attack windows' END,
+         CASE WHEN pn.n = 0 OR p = 0 THEN 'empty set' END) AS caveats,
+       pn.n AS benign, p AS attack, round(auc, 9) AS auc, hn AS held_benign, hp AS held_attack, files, round(bm, 9) AS benign_mean,
+       round(em, 9) AS error_mean, c AS tail_points, rule, round(threshold, 4) AS threshold, round(cfpr, 9) AS calibration_fpr,
+       round(fpr, 9) AS fpr, round(dr, 9) AS dr
+FROM rr JOIN pn USING (run) JOIN au USING (run) JOIN hc USING (run) JOIN fm USING (run) LEFT JOIN evt ON s = run""",
+    "leaderboard_rows": f"""
+WITH {_METRICS}, {_JUDGED}
+SELECT '2024-02-01T00:00:00' AS timestamp, checkpoint, status, CASE WHEN metric IS NULL THEN 'no' ELSE 'yes' END AS eligible,
+       round(round(auc, 6), 5) AS calib_auc, round(round(evt_dr, 6), 5) AS evt_detection, round(round(evt_fpr, 6), 5) AS evt_fpr,
+       round(round(target_dr, 6), 5) AS target_fpr_detection, round(round(target_fpr, 6), 5) AS target_fpr_fpr,
+       round(round(youden_dr, 6), 5) AS youden_detection, round(round(youden_fpr, 6), 5) AS youden_fpr,
+       round(round(bm, 3), 5) AS benign_sigma_proxy, note FROM bj""",
+    "best_checkpoint": f"""
+WITH {_METRICS}, {_JUDGED}
+SELECT 1 AS board, checkpoint, round(metric, 5) AS evt_detection, round(evt_fpr, 5) AS evt_fpr, round(auc, 5) AS calib_auc,
+       round(bm, 5) AS benign_sigma_proxy, '2024-02-01T00:00:00' AS selected_at,
+       'max held-out EVT detection s.t. held-out FPR <= 0.01' AS criterion
+FROM bj WHERE metric IS NOT NULL AND (best IS NULL OR metric > best) ORDER BY step DESC LIMIT 1""",
     "half_split": f"""
 WITH {EV}
 SELECT user_id AS series, event_id,
@@ -375,4 +488,8 @@ t AS (SELECT event_type, quantile_cont(value, 0.98) AS t0, count(*) AS n FROM ev
 SELECT event_type AS sensor, n, count(*) FILTER (value > t0) AS num_tail_points, round(t0, 6) AS t0
 FROM ev JOIN t USING (event_type) GROUP BY ALL
 HAVING n >= 30 AND count(*) FILTER (value > t0) >= 10""",
+    "evt_threshold": f"""
+WITH {EV}, {_evt_sql("event_type", "value", "ev", 0.001)}
+SELECT s AS sensor, n, c AS num_tail_points, round(t0, 4) AS t0, round(shape, 4) AS gpd_shape, round(scale, 4) AS gpd_scale, round(thr, 4) AS threshold
+FROM evt""",
 }
