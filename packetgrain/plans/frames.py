@@ -6,11 +6,17 @@ placeholder: filled in it gives the frames, with zeros it gives the expected res
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetgrain.operators import ordering, packets, tls, windows
+from packetgrain.session import shared_folder
+from packetgrain.sinks import writers
+from packetgrain.sources import captures
 from packetgrain.sources.tables import events, spread, table
+from packetgrain.streaming import live
 
 # Field texts: (as sent, as left by masking).
 _FIELDS = {
@@ -154,10 +160,40 @@ def tls_mask_walk(spark: SparkSession, folder: str) -> DataFrame:
     return masked.select("conv_id", "packet_index", F.md5(F.hex(payload)).alias("digest"))
 
 
+SPLIT_BYTES = 20_000
+
+
+def _captures(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """One capture file per event kind, and the place of their split index."""
+    base = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    uri = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    writers.write_captures(_frames(spark, folder).withColumn("capture", F.col("event_type")), f"{uri}/files").count()
+    return f"{uri}/files", f"{uri}/index"
+
+
+def _digests(packets_: DataFrame) -> DataFrame:
+    return packets_.select("capture", "packet_index", "ts_us", "linktype", F.md5(F.hex("data")).alias("digest"))
+
+
+def capture_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Capture files cut at their record headers, read a second time from the stored splits alone."""
+    files, index = _captures(spark, folder)
+    captures.read_captures(spark, files, SPLIT_BYTES, index)
+    return _digests(captures.read_captures(spark, files, SPLIT_BYTES, index))
+
+
+def stream_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """The same packets as a stream over the split index."""
+    files, index = _captures(spark, folder)
+    captures.update_index(spark, files, index, SPLIT_BYTES)
+    return live.run_available(_digests(captures.stream_captures(spark, index)))
+
+
 QUERIES = {
     name: globals()[name]
     for name in (
         "frame_parse", "frame_mask", "unparsed_frames", "frame_flow_windows", "flow_lives", "link_normalise", "tls_mask_walk",
+        "capture_read", "stream_captures",
     )
 }
 
@@ -170,7 +206,14 @@ _SRC = """CASE WHEN event_type = 'purchase' THEN NULL
 _DST = """CASE WHEN event_type = 'purchase' THEN NULL
      WHEN event_type = 'signup' THEN 'fd00:1:2:3:4:5:6:' || lower(hex(k)) ELSE '192.168.0.' || k END"""
 
+_CAPTURED = f"""
+WITH {_EV}
+SELECT event_type || '.pcap' AS capture, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS packet_index,
+       ts_us, 1 AS linktype, md5({_frame(False)}) AS digest FROM ev"""
+
 ORACLE = {
+    "capture_read": _CAPTURED,
+    "stream_captures": _CAPTURED,
     "frame_parse": f"""
 WITH {_EV}
 SELECT event_id AS packet_index, {_SRC} AS src, {_DST} AS dst,

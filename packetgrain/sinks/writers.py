@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetgrain.operators.ordering import running
 from packetgrain.operators.windows import cap_rows
+from packetgrain.session import cut
 
 
 def local_time(ts_us: str):
@@ -123,6 +126,42 @@ def excerpts(opened: DataFrame, packets: DataFrame, keys: list[str], last: int =
 FILE_HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
 
 
+def write_captures(packets: DataFrame, folder: str, linktype: int = 1) -> DataFrame:
+    """One classic capture file per ``capture`` in the order of packet_index; path and number of packets of each.
+
+    Packets are dealt by capture and sorted, which may spill, and written as they pass. A file is written under another
+    name and moved when it is whole, so a task that runs again leaves the same files.
+    """
+    sorted_ = packets.select("capture", "packet_index", "ts_us", "data").repartition("capture").sortWithinPartitions("capture", "packet_index")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        name = out = None
+        made, held = [], ""
+
+        def close() -> None:
+            out.close()
+            fs.move(held, f"{base}/{name}.pcap")
+
+        for pdf in batches:
+            for capture, _, ts, data in pdf.itertuples(index=False):
+                if capture != name:
+                    if out:
+                        close()
+                    name, held = capture, f"{base}/_{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(held)
+                    out.write(FILE_HEADER[:-4] + struct.pack("<I", linktype))
+                    made.append([f"{folder}/{name}.pcap", 0])
+                out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(data), len(data)) + data)
+                made[-1][1] += 1
+        if out:
+            close()
+        yield pd.DataFrame(made, columns=["path", "packets"])
+
+    return cut(sorted_.mapInPandas(write, "path string, packets long"))
+
+
 def pcap_files(excerpt: DataFrame) -> DataFrame:
     """K9: one capture file per incident as ``(incident_id, content)``; an excerpt is short."""
 

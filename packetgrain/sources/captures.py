@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKETS = "capture string, packet_index long, ts_us long, linktype int, data binary"
 SPLITS = "path string, begin long, stop long, first_index long, head binary"
+INDEX = f"{SPLITS}, modified timestamp"
 SPLIT_BYTES = 64 * 1024 * 1024
 
 # Fixed values of the two file formats.
@@ -194,9 +196,9 @@ def _find_splits(split_bytes: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path in pdf["path"]:
+            for path, modified in pdf[["path", "modificationTime"]].itertuples(index=False):
                 if path.endswith(".gz"):
-                    yield pd.DataFrame([(path, 0, -1, 0, b"")], columns=SPLIT_COLUMNS)
+                    yield pd.DataFrame([(path, 0, -1, 0, b"")], columns=SPLIT_COLUMNS).assign(modified=modified)
                     continue
                 with _open(path) as raw:
                     head = raw.read(24)
@@ -213,7 +215,7 @@ def _find_splits(split_bytes: int):
                             first, first_index, packed = at, index, _pack(head, state)
                         index += 1
                     out.append((path, first, -1, first_index, packed))
-                yield pd.DataFrame(out, columns=SPLIT_COLUMNS)
+                yield pd.DataFrame(out, columns=SPLIT_COLUMNS).assign(modified=modified)
 
     return run
 
@@ -246,16 +248,63 @@ def _read_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame(rows, columns=["capture", "packet_index", "ts_us", "linktype", "data"])
 
 
-def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def _cut(files: DataFrame, split_bytes: int) -> DataFrame:
+    """The splits of files, found by hopping over their record headers."""
+    named = files.where(F.col("name").rlike(CAPTURE_NAMES)).select("path", "modificationTime")
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return named.repartition(cores, "path").mapInPandas(_find_splits(split_bytes), INDEX)
+
+
+def _read(splits: DataFrame) -> DataFrame:
+    cores = splits.sparkSession.sparkContext.defaultParallelism
+    return splits.select(*SPLIT_COLUMNS).repartition(4 * cores, "path", "begin").mapInPandas(_read_splits, PACKETS)
+
+
+def _indexed(spark: SparkSession, index: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(INDEX).parquet(index)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def update_index(spark: SparkSession, path: str, index: str, split_bytes: int = SPLIT_BYTES) -> None:
+    """Add the splits of files below ``path`` that the index table does not have as they are now."""
+    files = listing(spark, path)
+    known = _indexed(spark, index)
+    if known is not None:
+        seen = known.select("path", F.col("modified").alias("modificationTime")).distinct()
+        files = files.join(seen, ["path", "modificationTime"], "left_anti")
+    _cut(files, split_bytes).write.mode("append").parquet(index)
+
+
+def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, index: str | None = None) -> DataFrame:
     """Packets of all capture files below a folder.
 
     A first pass hops over record headers and cuts every file into splits; the splits
     are spread over the cluster and read in parallel, so a large file is not one task.
+    With an ``index`` table that pass is made once per file: its splits are stored there, and
+    later reads, batch or stream, start from them. Of a file that has changed the newest splits count.
+    """
+    if index is None:
+        return _read(_cut(listing(spark, path), split_bytes))
+    update_index(spark, path, index, split_bytes)
+    splits = _indexed(spark, index)
+    newest = splits.groupBy("path").agg(F.max("modified").alias("modified"))
+    return _read(splits.join(newest, ["path", "modified"]))
+
+
+def stream_captures(spark: SparkSession, index: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Packets of captures as their splits come into the index; ``update_index`` brings new files.
+
+    The index table is the stream's source, so its checkpoint knows which splits have been read. A file that is
+    written again comes again.
     """
-    names = listing(spark, path).where(F.col("name").rlike(CAPTURE_NAMES)).select("path")
-    cores = spark.sparkContext.defaultParallelism
-    splits = names.repartition(cores, "path").mapInPandas(_find_splits(split_bytes), SPLITS)
-    return splits.repartition(4 * cores, "path", "begin").mapInPandas(_read_splits, PACKETS)
+    reader = spark.readStream.schema(INDEX)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return _read(reader.parquet(index))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
