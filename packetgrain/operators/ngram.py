@@ -6,7 +6,7 @@ Contexts never cross a window edge. A (context, byte) pair of order K is one lon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,96 +131,80 @@ def _top_mean(bits: np.ndarray, rows: np.ndarray, pos: np.ndarray, n: int, frac:
     return out
 
 
-def score_windows(
-    windows: DataFrame,
-    model: DataFrame,
-    order: int = 3,
-    topk_frac: float = 0.1,
-    alpha: float = ALPHA,
-    data: str = "bytes",
-) -> DataFrame:
-    """M2/M3: add mean, max and top-k surprise per window; too short windows are dropped.
+# Windows of one block: what they ask a large model for is asked once.
+BLOCK_BITS = 12
 
-    A model within the bound is broadcast and the scoring is map-only. A larger model
-    is joined: see ``score_windows_joined``.
-    """
-    found = lookup(model, alpha)
-    if found is None:
-        return score_windows_joined(windows, model, order, topk_frac, alpha, data)
-    spark = windows.sparkSession
-    shared = spark.sparkContext.broadcast((found.code, found.bits, found.ctx, found.unseen))
-    schema = T.StructType(
-        [f for f in windows.schema.fields if f.name != data]
-        + [T.StructField(n, T.DoubleType()) for n in ("mean_bits", "max_bits", "topk_bits")]
+
+def context_rows(model: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The model by context: ctx, unseen_bits, and the bytes it showed with their bits; at most 256 each."""
+    table = surprise_table(model, alpha)
+    shown = F.array_sort(F.collect_list(F.struct(F.col("code").bitwiseAND(255).cast("int").alias("byte"), "bits"))).alias("s")
+    return table.groupBy("ctx").agg(F.max("unseen_bits").alias("unseen_bits"), shown).select(
+        "ctx", "unseen_bits", F.col("s.byte").alias("bytes"), F.col("s.bits").alias("bits")
     )
-    names = [f.name for f in windows.schema.fields if f.name != data]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits_of = Lookup(*shared.value)
-        for pdf in batches:
-            buffers = list(pdf[data])
-            code, rows, pos = _codes(buffers, order)
-            bits = bits_of(code)
-            n = len(buffers)
-            counts = np.bincount(rows, minlength=n)
-            out = pdf[names].copy()
-            sums = np.bincount(rows, weights=bits, minlength=n)
-            out["mean_bits"] = sums / np.maximum(counts, 1)
-            peak = np.full(n, -np.inf)
-            np.maximum.at(peak, rows, bits)
-            out["max_bits"] = peak
-            out["topk_bits"] = _top_mean(bits, rows, pos - order, n, topk_frac)
-            yield out[counts > 0]
 
-    return windows.mapInPandas(score, schema)
+def _bits_by_context(wanted: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The bits of codes that blocks ask for, by one join on the context."""
+    place = F.array_position("bytes", F.col("code").bitwiseAND(255).cast("int"))
+    shown = F.when(place > 0, F.get("bits", (place - 1).cast("int")))
+    asked = wanted.withColumn("ctx", F.shiftright("code", 8))
+    return asked.join(contexts, "ctx", "left").select(
+        "_block", "code", F.coalesce(shown, "unseen_bits", F.lit(8.0)).alias("value")
+    )
 
 
-SALTS = 16
+Answer = Callable[[np.ndarray], np.ndarray]
 
 
-def _by_content(windows: DataFrame, data: str) -> tuple[DataFrame, DataFrame]:
-    """Windows with the 128-bit digest of their bytes, and every distinct content once.
+def _by_blocks(
+    windows: DataFrame,
+    order: int,
+    data: str,
+    answer: Callable[[DataFrame], DataFrame],
+    work: Callable[[pd.DataFrame, Answer], pd.DataFrame],
+    schema: T.StructType,
+) -> DataFrame:
+    """``work`` on every window with the values of its codes, for tables of any size.
 
-    What a model says of a window depends on its bytes alone. Large models therefore work
-    on the contents, and their answers go back to all windows, equal or not in other columns.
+    Windows are numbered in blocks as they are stored. A block's distinct codes are what is shuffled;
+    ``answer`` gives them values, and each block meets its own dictionary once. The values and the work on
+    them are those of a broadcast table.
     """
-    marked = windows.withColumn("_content", F.unhex(F.md5(data)))
-    return marked, marked.select("_content", data).dropDuplicates(["_content"])
+    stored = cut(windows.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, part in pdf.groupby("_block", sort=False):
+                code, _, _ = _codes([b or b"" for b in part[data]], order)
+                yield pd.DataFrame({"_block": block, "code": np.unique(code)})
 
-def position_bits_joined(
-    windows: DataFrame, model: DataFrame, keys: list[str], order: int, alpha: float, data: str
-) -> DataFrame:
-    """Bits per (window, distinct code) by shuffle joins.
+    wanted = stored.select("_block", data).mapInPandas(ask, "_block long, code long").distinct()
 
-    A window's equal codes are counted first. The code is salted by its window and the
-    model side repeated per salt, so a code that most windows share is cut in parts.
-    """
-    kept = [f for f in windows.schema.fields if f.name in keys]
-    schema = T.StructType(kept + [T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    def join(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        place = np.argsort(found["code"].to_numpy())
+        codes, values = found["code"].to_numpy()[place], found["value"].to_numpy()[place]
+        return work(rows.drop(columns="_block"), lambda code: values[np.searchsorted(codes, code)])
+
+    return stored.groupBy("_block").cogroup(answer(wanted).groupBy("_block")).applyInPandas(join, schema)
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            code, rows, _ = _codes(list(pdf[data]), order)
-            counted = pd.DataFrame({"_r": rows, "code": code}).groupby(["_r", "code"]).size()
-            flat = counted.rename("n").reset_index()
-            head = pdf[keys].iloc[flat["_r"].to_numpy()].reset_index(drop=True)
-            yield pd.concat([head, flat[["code", "n"]]], axis=1)
-
-    positions = windows.select(*keys, data).mapInPandas(explode, schema)
-    salted = positions.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-    salted = salted.withColumn("ctx", F.shiftright("code", 8))
-    table = cut(surprise_table(model, alpha))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
-    seen = table.select("code", "bits", salts)
-    contexts = table.select("ctx", "unseen_bits").distinct().select("ctx", "unseen_bits", salts)
-    joined = salted.join(seen, ["code", "_salt"], "left").join(contexts, ["ctx", "_salt"], "left")
-    return joined.select(
-        *keys, "code", "n", F.coalesce("bits", "unseen_bits", F.lit(8.0)).alias("bits")
-    )
 
+def _scores(pdf: pd.DataFrame, bits_of: Answer, order: int, topk_frac: float, data: str) -> pd.DataFrame:
+    buffers = [b or b"" for b in pdf[data]]
+    code, rows, pos = _codes(buffers, order)
+    bits = bits_of(code)
+    n = len(buffers)
+    counts = np.bincount(rows, minlength=n)
+    out = pdf.drop(columns=data)
+    out["mean_bits"] = np.bincount(rows, weights=bits, minlength=n) / np.maximum(counts, 1)
+    peak = np.full(n, -np.inf)
+    np.maximum.at(peak, rows, bits)
+    out["max_bits"] = peak
+    out["topk_bits"] = _top_mean(bits, rows, pos - order, n, topk_frac)
+    return out[counts > 0]
 
-def score_windows_joined(
+
+def score_windows(
     windows: DataFrame,
     model: DataFrame,
     order: int = 3,
@@ -228,32 +212,29 @@ def score_windows_joined(
     alpha: float = ALPHA,
     data: str = "bytes",
 ) -> DataFrame:
-    """The same scores for a model of any size; a group is one content's distinct codes."""
-    marked, contents = _by_content(windows, data)
-    bits = position_bits_joined(contents, model, ["_content"], order, alpha, data)
-    grouped = bits.groupBy("_content").agg(
-        F.sum("n").alias("_n"),
-        F.sum(F.col("bits") * F.col("n")).alias("_sum"),
-        F.max("bits").alias("max_bits"),
-        F.reverse(F.array_sort(F.collect_list(F.struct("bits", "n")))).alias("_top"),
-    )
-    k = F.greatest(F.lit(1), F.bround(F.lit(topk_frac) * F.col("_n"), 0).cast("long"))
-    start = F.struct(k.alias("left"), F.lit(0.0).alias("sum"))
+    """M2/M3: add mean, max and top-k surprise per window; too short windows are dropped.
 
-    def take(acc, item):
-        used = F.least(acc["left"], item["n"])
-        return F.struct(
-            (acc["left"] - used).alias("left"), (acc["sum"] + used * item["bits"]).alias("sum")
+    A model within the bound is broadcast and the scoring is map-only. For a larger one see ``_by_blocks``.
+    """
+    schema = T.StructType(
+        [f for f in windows.schema.fields if f.name != data]
+        + [T.StructField(n, T.DoubleType()) for n in ("mean_bits", "max_bits", "topk_bits")]
+    )
+    found = lookup(model, alpha)
+    if found is None:
+        contexts = context_rows(model, alpha)
+        return _by_blocks(
+            windows, order, data, lambda wanted: _bits_by_context(wanted, contexts),
+            lambda pdf, bits_of: _scores(pdf, bits_of, order, topk_frac, data), schema,
         )
+    shared = windows.sparkSession.sparkContext.broadcast((found.code, found.bits, found.ctx, found.unseen))
 
-    top = F.aggregate("_top", start, take, lambda acc: acc["sum"])
-    scores = grouped.select(
-        "_content",
-        (F.col("_sum") / F.col("_n")).alias("mean_bits"),
-        "max_bits",
-        (top / F.least(k, F.col("_n"))).alias("topk_bits"),
-    )
-    return marked.drop(data).join(scores, "_content").drop("_content")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits_of = Lookup(*shared.value)
+        for pdf in batches:
+            yield _scores(pdf, bits_of, order, topk_frac, data)
+
+    return windows.mapInPandas(score, schema)
 
 
 def context_entropy(model: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -287,52 +268,43 @@ def spikes(
     """
     table = context_entropy(model, alpha).select("ctx", (F.col("entropy") > threshold).alias("high"))
     bound = limit(windows.sparkSession, MODEL_ROWS)
+    schema = T.StructType(
+        [windows.schema[k] for k in keys] + [T.StructField("spikes", T.ArrayType(T.BooleanType()))]
+    )
+
+    def marks(pdf: pd.DataFrame, high_of: Answer) -> pd.DataFrame:
+        buffers = [b or b"" for b in pdf[data]]
+        ctx, rows, pos = _codes(buffers, order - 1)
+        lengths = [len(b) for b in buffers]
+        grid = np.zeros((len(buffers), max(lengths, default=1)), bool)
+        grid[rows, pos] = high_of(ctx)
+        return pdf[keys].assign(spikes=[grid[i, :n] for i, n in enumerate(lengths)])
+
     got = table.limit(bound + 1).toPandas()
     if len(got) > bound:
-        return _spikes_joined(windows, table, keys, threshold, order, data)
+        def answer(wanted: DataFrame) -> DataFrame:
+            joined = wanted.join(table.withColumnRenamed("ctx", "code"), "code", "left")
+            return joined.select("_block", "code", F.coalesce("high", F.lit(8.0 > threshold)).alias("value"))
+
+        return _by_blocks(windows.select(*keys, data), order - 1, data, answer, marks, schema)
     got = got.sort_values("ctx")
     shared = windows.sparkSession.sparkContext.broadcast(
         (got["ctx"].to_numpy(np.int64), got["high"].to_numpy(bool))
     )
-    schema = T.StructType(
-        [windows.schema[k] for k in keys] + [T.StructField("spikes", T.ArrayType(T.BooleanType()))]
-    )
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, high = shared.value
+
+        def high_of(ctx: np.ndarray) -> np.ndarray:
+            if not len(known):
+                return np.full(len(ctx), 8.0 > threshold)
+            at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
+            return np.where(known[at] == ctx, high[at], 8.0 > threshold)
+
         for pdf in batches:
-            buffers = list(pdf[data])
-            ctx, rows, pos = _codes(buffers, order - 1)
-            flag = np.full(len(ctx), 8.0 > threshold)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
-                flag = np.where(known[at] == ctx, high[at], flag)
-            lengths = [len(b) for b in buffers]
-            grid = np.zeros((len(buffers), max(lengths, default=1)), bool)
-            grid[rows, pos] = flag
-            yield pdf[keys].assign(spikes=[grid[i, :n] for i, n in enumerate(lengths)])
-
-    return windows.mapInPandas(mark, schema)
-
-
-def _spikes_joined(
-    windows: DataFrame, table: DataFrame, keys: list[str], threshold: float, order: int, data: str
-) -> DataFrame:
-    """The same marks for a model of any size, by a salted join per position."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
-    marked, contents = _by_content(windows, data)
-    positions = _positions(contents, ["_content"], order - 1, data).withColumnRenamed("code", "ctx")
-    joined = positions.join(table.select("ctx", "high", salts), ["ctx", "_salt"], "left")
-    flag = F.coalesce("high", F.lit(8.0 > threshold))
-    found = joined.groupBy("_content").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", flag.alias("f")))), lambda x: x["f"]
-        ).alias("_m")
-    )
-    early = F.array_repeat(F.lit(False), F.least(F.length(data), F.lit(order - 1)))
-    return marked.join(found, "_content", "left").select(
-        *keys, F.concat(early, F.coalesce("_m", F.array().cast("array<boolean>"))).alias("spikes")
-    )
+            yield marks(pdf, high_of)
+
+    return windows.select(*keys, data).mapInPandas(mark, schema)
 
 
 def position_bits(
@@ -353,14 +325,10 @@ def position_bits(
 
     counted = windows.select(*keys, data).mapInPandas(count, schema)
     counted = counted.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
-    table = surprise_table(model, alpha)
-    contexts = table.select("ctx", "unseen_bits").distinct()
-    joined = (
-        counted.withColumn("ctx", F.shiftright("code", 8))
-        .join(table.select("code", "bits"), "code", "left")
-        .join(contexts, "ctx", "left")
-    )
-    return joined.select(*keys, "code", "n", F.coalesce("bits", "unseen_bits", F.lit(8.0)).alias("bits"))
+    # A key is a data set here, so it stands for the block that asks.
+    marked = counted.withColumn("_block", F.struct(*keys))
+    answered = _bits_by_context(marked.select("_block", "code"), context_rows(model, alpha))
+    return marked.join(answered, ["_block", "code"]).select(*keys, "code", "n", F.col("value").alias("bits"))
 
 
 def bits_arrays(
@@ -369,47 +337,18 @@ def bits_arrays(
     """Bits of every predicted byte of a window as an array, in byte order."""
     found = lookup(model, alpha)
     plain = windows.select(*keys, data)
-    if found is not None:
-        shared = windows.sparkSession.sparkContext.broadcast(found)
-
-        def scorer(buffers: list[bytes]) -> list[np.ndarray]:
-            code, rows, _ = _codes(buffers, order)
-            ends = np.bincount(rows, minlength=len(buffers)).cumsum()
-            return np.split(shared.value(code), ends[:-1])
-
-        return score_with(plain, scorer, data).drop(data)
-    table = cut(surprise_table(model, alpha))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt")
-    contexts = table.select("ctx", "unseen_bits").distinct().select("ctx", "unseen_bits", salts)
-    marked, contents = _by_content(plain, data)
-    joined = (
-        _positions(contents, ["_content"], order, data)
-        .withColumn("ctx", F.shiftright("code", 8))
-        .join(table.select("code", "bits", salts), ["code", "_salt"], "left")
-        .join(contexts, ["ctx", "_salt"], "left")
-    )
-    bits = F.coalesce("bits", "unseen_bits", F.lit(8.0)).alias("b")
-    # A group is one window's content, so it holds at most the window's width.
-    found = joined.groupBy("_content").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", bits))), lambda x: x["b"]).alias("bits")
-    )
-    none = F.array().cast("array<double>")
-    return marked.join(found, "_content", "left").select(*keys, F.coalesce("bits", none).alias("bits"))
-
-
-def _positions(windows: DataFrame, keys: list[str], order: int, data: str) -> DataFrame:
-    """One row per position with a full context: keys, pos, code and a salt by window."""
-    schema = T.StructType(
-        [windows.schema[k] for k in keys]
-        + [T.StructField("pos", T.IntegerType()), T.StructField("code", T.LongType())]
-    )
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            code, rows, pos = _codes(list(pdf[data]), order)
-            head = pdf[keys].iloc[rows].reset_index(drop=True)
-            yield head.assign(pos=pos.astype(np.int32), code=code)
+    def arrays(buffers: list[bytes], bits_of: Answer) -> list[np.ndarray]:
+        code, rows, _ = _codes(buffers, order)
+        ends = np.bincount(rows, minlength=len(buffers)).cumsum()
+        return np.split(bits_of(code), ends[:-1])
 
-    return windows.select(*keys, data).mapInPandas(explode, schema).withColumn(
-        "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))
+    if found is not None:
+        shared = windows.sparkSession.sparkContext.broadcast(found)
+        return score_with(plain, lambda buffers: arrays(buffers, shared.value), data).drop(data)
+    contexts = context_rows(model, alpha)
+    schema = T.StructType([plain.schema[k] for k in keys] + [T.StructField("bits", T.ArrayType(T.DoubleType()))])
+    return _by_blocks(
+        plain, order, data, lambda wanted: _bits_by_context(wanted, contexts),
+        lambda pdf, bits_of: pdf[keys].assign(bits=arrays([b or b"" for b in pdf[data]], bits_of)), schema,
     )

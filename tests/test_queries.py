@@ -55,3 +55,13 @@ def test_query_with_every_key_too_large(spark, duck, limits, name):
     """The same answers when even small groups are cut in parts."""
     limits(hotRows=4, foldRows=3, tlsChunk=2, broadcastRows=1)
     test_query(spark, duck, name)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ngram_window_scores", "window_aggregates", "complexity_scores", "patch_segments", "heatmap_cells", "model_loss",
+     "page_scores", "flagged_windows"],
+)
+def test_query_with_a_model_too_large_to_broadcast(spark, duck, limits, name):
+    limits(modelRows=1)
+    test_query(spark, duck, name)
