@@ -136,8 +136,10 @@ def calibration_records(
     per_hour: float = 0.0,
     score: str = "score",
     ts: str = "ts_us",
+    calibrated_at: Column | None = None,
 ) -> DataFrame:
     """One calibration row per sensor."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     fractions = [i / 100 for i in range(101)] + [0.999]
     facts = [
         F.avg(score).alias("mean"),
@@ -180,6 +182,7 @@ def calibration_records(
         .withColumn("anchor_threshold", F.col("byte_threshold"))
         .withColumn("gold_threshold", F.round(F.col("byte_threshold") + GOLD_MARGIN, 4))
         .withColumn("threshold_method", method)
+        .withColumn("calibrated_at", now if calibrated_at is None else calibrated_at)
         .withColumn("target_incidents_per_hour", F.lit(float(per_hour)))
         .withColumn("elapsed_seconds", F.round("elapsed_seconds", 1))
         .withColumn("window_rate_per_sec", F.round("window_rate_per_sec", 3))

@@ -318,11 +318,24 @@ def bounds(
 
 
 def trace_verdicts(flagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Detection, first alarm as a fraction of the trace, alarms per 10,000 windows."""
+    """Detection, the first and all alarm positions as fractions of the trace, alarms per 10,000 windows."""
     alarms = F.sum(F.col("alarm").cast("long"))
     return flagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("windows"),
         alarms.alias("alarms"),
         (F.min(F.when(F.col("alarm"), F.col("idx"))) / F.count(F.lit(1))).alias("first_alarm_at"),
+        F.array_sort(F.collect_list(F.when(F.col("alarm"), F.col("idx")))).alias("_at"),
         (alarms * 10000.0 / F.count(F.lit(1))).alias("alarms_per_10k"),
-    ).withColumn("detected", F.col("alarms") > 0)
+    ).withColumn("detected", F.col("alarms") > 0).withColumn(
+        "alarm_positions", F.transform("_at", lambda i: i / F.col("windows"))
+    ).drop("_at")
+
+
+def trace_rates(verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """Share of traces detected, and alarms per 10,000 windows over all of them."""
+    return verdicts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("traces"), F.count_if("detected").alias("detected"),
+        (F.count_if("detected") / F.count(F.lit(1))).alias("detection_rate"),
+        F.sum("alarms").alias("alarms"), F.sum("windows").alias("windows"),
+        (F.sum("alarms") * 10000.0 / F.sum("windows")).alias("alarms_per_10k"),
+    )

@@ -248,14 +248,15 @@ def flow_fields(parsed: DataFrame, ts: str = "ts_us") -> DataFrame:
 
 
 def label_packets(
-    packets: DataFrame, flows: DataFrame, capture: list[str], mode: str = "auto"
+    packets: DataFrame, flows: DataFrame, capture: list[str], mode: str = "auto", hits: bool = False
 ) -> DataFrame:
     """Attack category per packet by 5-tuple, then host pair, then attacker address.
 
     ``packets`` has srcip, sport, dstip, dsport, proto and ``t`` in whole seconds;
     ``flows`` has the same with stime, ltime, cat and the row's ordinal. With time
     matching a tier without a covering span falls through to the next. ``auto`` uses
-    time for a capture when at least five of its packets hit a 5-tuple span.
+    time for a capture when at least five of its packets hit a 5-tuple span. ``hits`` adds
+    which lookups found something, for ``diagnostics``.
     """
     spans = both_directions(flows)
     pairs = flows.select(
@@ -291,9 +292,21 @@ def label_packets(
         .when(F.col("src_cat").isNotNull() | F.col("dst_cat").isNotNull(), "ip")
         .otherwise("none")
     )
+    found = {"five_any": "_five", "five_time": "_five_time", "pair_any": "_pair", "pair_time": "_pair_time"} if hits else {}
     return joined.select(
         *packets.columns, "use_time", tier.alias("tier"),
         F.coalesce(five, pair, F.col("src_cat"), F.col("dst_cat")).alias("cat"),
+        *[F.col(c).isNotNull().alias(n) for c, n in found.items()],
+        *([(F.col("src_cat").isNotNull() | F.col("dst_cat").isNotNull()).alias("_attacker")] if hits else []),
+    )
+
+
+def diagnostics(labelled: DataFrame, capture: list[str]) -> DataFrame:
+    """Per capture its time range, what could be parsed, and how many packets each lookup hit."""
+    named = {"five_hits": "_five", "five_time_hits": "_five_time", "pair_hits": "_pair", "pair_time_hits": "_pair_time", "attacker_packets": "_attacker"}
+    return labelled.groupBy(*capture).agg(
+        F.bool_and("use_time").alias("use_time"), F.count(F.lit(1)).alias("packets"), F.count("srcip").alias("parseable"),
+        F.min("t").alias("first_t"), F.max("t").alias("last_t"), *[F.count_if(c).alias(n) for n, c in named.items()],
     )
 
 

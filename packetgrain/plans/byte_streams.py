@@ -31,9 +31,17 @@ def scored_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def byte_entropy_labels(spark: SparkSession, folder: str) -> DataFrame:
-    docs = byte_streams(spark, folder)
+    """Every 13th document is one byte over and over, every 17th a kilobyte of hashes, every 19th part of a flood."""
+    hashes = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(31)), lambda i: F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")), 256)
+    ), "")
+    docs = byte_streams(spark, folder).withColumn(
+        "data",
+        F.when(F.col("doc_id") % 13 == 0, F.encode(F.repeat(F.lit("a"), 120), "UTF-8"))
+        .when(F.col("doc_id") % 17 == 0, F.unhex(hashes)).otherwise(F.col("data")),
+    )
     placed = windows.byte_offsets(docs, ["source"], [F.col("doc_id")])
-    labelled = windows.anomaly_labels(placed)
+    labelled = windows.anomaly_labels(placed, F.col("doc_id") % 19 == 0)
     return labelled.select(
         "source", "doc_id", "byte_offset", F.round("entropy", 6).alias("entropy"), "anomaly_type"
     )
@@ -120,16 +128,20 @@ def patch_segments(spark: SparkSession, folder: str) -> DataFrame:
     return cut_at.select(*KEYS, scoring.patch_statistics(F.col("lengths")).alias("s")).select(
         *KEYS, F.col("s.patches").cast("long").alias("patches"), F.round("s.mean_len", 6).alias("mean_len"),
         F.col("s.min_len").cast("long").alias("min_len"), F.col("s.max_len").cast("long").alias("max_len"),
+        F.md5(F.array_join(F.col("s.ends").cast("array<string>"), ",")).alias("boundaries"),
     )
 
 
 def heatmap_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean surprise intensity per heatmap cell over all windows."""
     pieces = _windows(spark, folder)
-    scored = ngram.bits_arrays(pieces, _model(pieces), KEYS, ORDER)
-    cells = scored.select(F.explode(scoring.heatmap(F.col("bits"), F.array())).alias("c"))
+    shown = pieces.withColumn("cell", F.struct("doc_id", "win_idx", windows.bytes_array("bytes", WIDTH).alias("shown")))
+    scored = ngram.bits_arrays(shown, _model(pieces), ["cell"], ORDER)
+    # The first score is of the byte after the first context.
+    after = F.slice("cell.shown", ORDER, WIDTH)
+    cells = scored.select(F.explode(scoring.heatmap(F.col("bits"), after)).alias("c"))
     return cells.groupBy(F.col("c.row").cast("long").alias("grid_row"), F.col("c.column").cast("long").alias("grid_column")).agg(
-        F.count(F.lit(1)).alias("cells"), F.round(F.avg("c.intensity"), 6).alias("intensity")
+        F.count(F.lit(1)).alias("cells"), F.round(F.avg("c.intensity"), 6).alias("intensity"), F.sum("c.byte").alias("byte_sum")
     )
 
 
@@ -200,7 +212,7 @@ model AS (SELECT ctx, byte, count(*) AS n FROM pos WHERE label = 0 GROUP BY ALL)
 totals AS (SELECT ctx, sum(n)::BIGINT AS total FROM model GROUP BY ctx)"""
 _BITS = _MODEL + """,
 bits AS (
-  SELECT p.doc_id, p.source, p.label, p.win_idx, p.p,
+  SELECT p.doc_id, p.source, p.label, p.win_idx, p.p, p.byte,
          CASE WHEN t.ctx IS NULL THEN 8.0::DOUBLE
               ELSE -log2((coalesce(m.n, 0) + 0.1::DOUBLE) / (t.total + 25.6::DOUBLE)) END AS bits
   FROM pos p LEFT JOIN totals t USING (ctx)
@@ -226,7 +238,11 @@ SCORES_SQL = "WITH " + score_sql()
 
 ORACLE = {
     "byte_entropy_labels": f"""
-WITH {_DOCS},
+WITH raw AS (
+  SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN repeat('61', 120)
+         WHEN doc_id % 17 = 0 THEN upper(array_to_string(list_transform(range(0, 32), lambda i: sha256(doc_id || '/' || i)), ''))
+         ELSE hex(encode(text)) END AS h FROM documents),
+docs AS (SELECT *, length(h) // 2 AS n FROM raw),
 counts AS (
   SELECT doc_id, n, substr(h, 2 * i + 1, 2) AS b, count(*) AS c
   FROM (SELECT doc_id, n, h, unnest(generate_series(0, n - 1)) AS i FROM docs WHERE n > 0)
@@ -236,7 +252,7 @@ SELECT source, doc_id,
        coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset,
        round(coalesce(e, 0.0), 6) AS entropy,
-       CASE WHEN coalesce(e, 0.0) < 1.0 OR (e > 7.7 AND n > 100) THEN 'Abnormal_Entropy' END AS anomaly_type
+       CASE WHEN doc_id % 19 = 0 THEN 'TCP_SYN_Flood' WHEN coalesce(e, 0.0) < 1.0 OR (e > 7.7 AND n > 100) THEN 'Abnormal_Entropy' END AS anomaly_type
 FROM docs LEFT JOIN ent USING (doc_id)""",
     "byte_windows_512": f"""
 WITH {_WINS}
@@ -305,13 +321,15 @@ seg AS (
   SELECT *, coalesce(sum(s) OVER (PARTITION BY doc_id, win_idx ORDER BY i
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM spk),
 sub AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, win_idx, g ORDER BY i) - 1) // 64 AS q FROM seg),
-len AS (SELECT doc_id, win_idx, g, q, count(*) AS n FROM sub GROUP BY ALL)
-SELECT doc_id, win_idx, count(*) AS patches, round(avg(n), 6) AS mean_len, min(n) AS min_len, max(n) AS max_len
-FROM len GROUP BY doc_id, win_idx""",
+len AS (SELECT doc_id, win_idx, g, q, count(*) AS n FROM sub GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, win_idx ORDER BY g, q) AS upto FROM len)
+SELECT doc_id, win_idx, count(*) AS patches, round(avg(n), 6) AS mean_len, min(n) AS min_len, max(n) AS max_len,
+       md5(string_agg(upto::VARCHAR, ',' ORDER BY upto)) AS boundaries
+FROM run GROUP BY doc_id, win_idx""",
     "heatmap_cells": f"""
 WITH {_BITS}
 SELECT (p - 3) // 32 AS grid_row, (p - 3) % 32 AS grid_column, count(*) AS cells,
-       round(avg(least(1.0, greatest(0.0, bits / 8.0))), 6) AS intensity
+       round(avg(least(1.0, greatest(0.0, bits / 8.0))), 6) AS intensity, sum(byte)::BIGINT AS byte_sum
 FROM bits GROUP BY ALL""",
     "model_loss": f"""
 WITH {_BITS},

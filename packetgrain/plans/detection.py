@@ -14,7 +14,7 @@ HOUR_US = 3_600_000_000
 DAY_US = 86_400_000_000
 ORDER = ["ts_us", "event_id"]
 GRID = cusum.geometric_grid(1.0, 50.0, 60)
-TRAFFIC_ALERT = 150.0
+TRACE_H = 4.0
 
 
 def _order() -> list:
@@ -51,10 +51,21 @@ def trace_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     out = cusum.trace_verdicts(flagged, ["series"])
     return out.select(
         "series", "windows", "alarms", F.round("first_alarm_at", 6).alias("first_alarm_at"),
+        F.array_join(F.transform("alarm_positions", lambda p: F.format_string("%.4f", p)), ",").alias("positions"),
         F.round("alarms_per_10k", 6).alias("alarms_per_10k"), "detected",
     )
 
 
+def trace_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Users of every third number are benign traces, the others attack traces but for those already in use."""
+    flagged = cusum.levels(_standardised(spark, folder), ["series"], _order(), F.col("step"), TRACE_H)
+    traces = cusum.trace_verdicts(flagged, ["series"]).withColumn("kind", F.when(F.col("series") % 3 == 0, "benign").otherwise("attack"))
+    used = traces.where(F.col("series") % 10 == 1).select("series")
+    out = cusum.trace_rates(match.exclude_files(traces, used, "series"), ["kind"])
+    return out.select("kind", "traces", "detected", F.round("detection_rate", 6).alias("detection_rate"), "alarms", "windows",
+                      F.round("alarms_per_10k", 6).alias("alarms_per_10k"))
+
+
 def _leaky(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """Leaky sums against the 60th percentile of all values, so the small tables alarm too."""
     rows = events(spark, folder).select("event_id", "ts_us", key, "value", F.lit(1).alias("sensor"))
@@ -110,11 +121,12 @@ def rate_tumbling_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _intervals(spark: SparkSession, folder: str) -> DataFrame:
-    """The built-in day schedules, one day each from the tenth day of the events."""
+    """The built-in day schedules, one day each, a week apart from the twelfth day of the events; the last one comes after
+    their end."""
     first = events(spark, folder).agg(F.min("ts_us").alias("t0_us"))
     days = schedule(spark)
     rows = match.schedule_epochs(days, first, -3.0)
-    shift = F.dense_rank().over(_by_day()) + 9
+    shift = F.dense_rank().over(_by_day()) * 7 + 4
     moved = rows.join(days.select("name", "day"), "name").withColumn("_shift", shift * DAY_US)
     moved = moved.select("name", (F.col("start_us") + F.col("_shift")).alias("start_us"), (F.col("end_us") + F.col("_shift")).alias("end_us"))
     return match.padded(moved, 2 * match.MINUTE_US)
@@ -131,7 +143,11 @@ def _span_end(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _byte_alarms(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where(F.col("value") > TRAFFIC_ALERT).select("event_id", "ts_us")
+    """The times at which the cumulative sum of a series' scores alarms."""
+    flagged = cusum.levels(
+        _standardised(spark, folder), ["series"], _order(), F.col("step"), TRACE_H, payload=["event_id", "ts_us"]
+    )
+    return flagged.where("alarm").select("event_id", "ts_us")
 
 
 def _rate_alarms(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,9 +195,9 @@ def false_alarms_per_hour(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _file_scores(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Users stand for files; a detector has no score for a file whose mean stays under 20."""
-    rows = events(spark, folder).where(F.col("event_type") == kind)
-    return rows.groupBy(F.col("user_id").alias("file")).agg(F.avg("value").alias("score")).where(F.col("score") > 20)
+    """Users stand for files; the byte detector has not seen those of every seventh number."""
+    rows = events(spark, folder).where((F.col("event_type") == kind) & ((F.lit(kind) != "view") | (F.col("user_id") % 7 != 0)))
+    return rows.groupBy(F.col("user_id").alias("file")).agg(F.avg("value").alias("score"))
 
 
 def detector_fusion_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,10 +230,11 @@ def _flow_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, folder: str) -> DataFrame:
-    """Large sign-ups and errors are the labelled attack flows, an hour long each."""
+    """Large sign-ups and errors are the labelled attack flows, thirty days long each, so that other packets of their host
+    pairs fall inside."""
     rows = _flow_rows(spark, folder).where(F.col("proto").isin("signup", "error") & (F.col("sport") > 1024 + 200))
     return rows.select(
-        "srcip", "sport", "dstip", "dsport", "proto", F.col("t").alias("stime"), (F.col("t") + 3600).alias("ltime"),
+        "srcip", "sport", "dstip", "dsport", "proto", F.col("t").alias("stime"), (F.col("t") + 30 * 86400).alias("ltime"),
         F.concat(F.lit("cat_"), F.col("proto"), F.col("dsport") % 3).alias("cat"), F.col("event_id").alias("ordinal"),
     )
 
@@ -238,6 +255,14 @@ def routing_stats(spark: SparkSession, folder: str) -> DataFrame:
     return match.routing_stats(_labelled(spark, folder, "strict"))
 
 
+def match_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """Per day; packets of purchases stand for frames that did not parse."""
+    rows = _flow_rows(spark, folder)
+    unread = F.col("proto") == "purchase"
+    sent = rows.select("capture", "event_id", "t", *[F.when(~unread, F.col(c)).alias(c) for c in ("srcip", "sport", "dstip", "dsport", "proto")])
+    return match.diagnostics(match.label_packets(sent, _truth(spark, folder), ["capture"], "auto", hits=True), ["capture"])
+
+
 def source_census(spark: SparkSession, folder: str) -> DataFrame:
     return match.source_census(_flow_rows(spark, folder))
 
@@ -253,7 +278,7 @@ def latest_reference(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     name: globals()[name]
     for name in (
-        "cusum_path", "cusum_alarms", "cusum_bounds", "trace_verdicts", "flow_cusum_leaky", "target_cusum",
+        "cusum_path", "cusum_alarms", "cusum_bounds", "trace_verdicts", "trace_rates", "match_diagnostics", "flow_cusum_leaky", "target_cusum",
         "syn_flood_trailing", "rate_buckets", "rate_buckets_whole_seconds", "rate_threshold",
         "rate_tumbling_alerts", "schedule_intervals", "attack_interval_join", "attack_fusion",
         "false_alarms_per_hour", "detector_fusion_files", "fusion_summary", "flow_label_cascade",
@@ -312,9 +337,9 @@ mid AS (
 iv0 AS (
   SELECT name,
          m + (split_part(s, ':', 1)::BIGINT * 60 + split_part(s, ':', 2)::BIGINT) * 60000000
-           + (dense_rank() OVER (ORDER BY day) + 9) * {DAY_US} AS start_us,
+           + (dense_rank() OVER (ORDER BY day) * 7 + 4) * {DAY_US} AS start_us,
          m + (split_part(e, ':', 1)::BIGINT * 60 + split_part(e, ':', 2)::BIGINT) * 60000000
-           + (dense_rank() OVER (ORDER BY day) + 9) * {DAY_US} AS end_us
+           + (dense_rank() OVER (ORDER BY day) * 7 + 4) * {DAY_US} AS end_us
   FROM sch, mid),
 iv AS (SELECT *, start_us - 120000000 AS lo_us, end_us + 120000000 AS hi_us FROM iv0),
 fe AS (SELECT min(lo_us) - 300000000 AS fit_end FROM iv),
@@ -328,7 +353,12 @@ rt AS (
   SELECT coalesce(min(c) FILTER (over_ <= 3000.0 * n / 10000), (SELECT max(score) + 1 FROM bk))::DOUBLE AS threshold
   FROM cand),
 ra AS (SELECT bucket_us AS ts_us FROM bk, rt WHERE score > threshold),
-ba AS (SELECT event_id, ts_us FROM ev WHERE value > 150)"""
+mu AS (SELECT user_id AS series, avg(value) AS mu, greatest(stddev_pop(value), 1e-9) AS sigma FROM ev GROUP BY user_id),
+st AS (
+  SELECT user_id AS series, event_id, ts_us, (value - mu) / sigma - 0.5 AS d,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS i
+  FROM ev JOIN mu ON series = user_id)""" + _fold_sql("4.0") + """,
+ba AS (SELECT st.event_id, st.ts_us FROM fold JOIN st ON st.series = fold.series AND st.i = fold.i WHERE level > 4.0)"""
 
 
 def _hits_sql(alarms: str) -> str:
@@ -347,7 +377,7 @@ fl AS (
          '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS srcip, floor(value)::BIGINT + 1024 AS sport,
          '192.168.0.' || k AS dstip, k AS dsport, event_type AS proto, ts_us // 1000000 AS t FROM ev),
 tr AS (
-  SELECT *, t - 1 AS st, t + 3601 AS lt, 'cat_' || proto || (dsport % 3) AS cat, event_id AS ordinal
+  SELECT *, t - 1 AS st, t + 2592001 AS lt, 'cat_' || proto || (dsport % 3) AS cat, event_id AS ordinal
   FROM fl WHERE proto IN ('signup', 'error') AND sport > 1224),
 bi AS (
   SELECT srcip, sport, dstip, dsport, proto, st, lt, cat, ordinal FROM tr
@@ -405,12 +435,20 @@ SELECT series, n, round(coalesce(min(h) FILTER (alarms <= 300.0 * n / 10000), ma
 FROM done GROUP BY series, n""",
     "trace_verdicts": f"""
 WITH RECURSIVE {_STD}{_fold_sql("4.0")},
-a AS (SELECT series, i, level > 4.0 AS alarm FROM fold WHERE i > 0)
+a AS (SELECT series, i, level > 4.0 AS alarm, count(*) OVER (PARTITION BY series) AS n FROM fold WHERE i > 0)
 SELECT series, count(*) AS windows, count(*) FILTER (alarm) AS alarms,
        round(min(i - 1) FILTER (alarm) / count(*), 6) AS first_alarm_at,
+       coalesce(string_agg(CASE WHEN alarm THEN format('{{:.4f}}', (i - 1) / n) END, ',' ORDER BY i), '') AS positions,
        round(count(*) FILTER (alarm) * 10000.0::DOUBLE / count(*), 6) AS alarms_per_10k,
        count(*) FILTER (alarm) > 0 AS detected
 FROM a GROUP BY series""",
+    "trace_rates": f"""
+WITH RECURSIVE {_STD}{_fold_sql("4.0")},
+t AS (SELECT series, count(*) AS n, count(*) FILTER (level > 4.0) AS a FROM fold WHERE i > 0 GROUP BY series)
+SELECT CASE WHEN series % 3 = 0 THEN 'benign' ELSE 'attack' END AS kind, count(*) AS traces, count(*) FILTER (a > 0) AS detected,
+       round(count(*) FILTER (a > 0) / count(*), 6) AS detection_rate, sum(a)::BIGINT AS alarms, sum(n)::BIGINT AS windows,
+       round(sum(a) * 10000.0::DOUBLE / sum(n), 6) AS alarms_per_10k
+FROM t WHERE series % 10 <> 1 GROUP BY 1""",
     "flow_cusum_leaky": _leaky_sql("user_id"),
     "target_cusum": _leaky_sql("k"),
     "syn_flood_trailing": f"""
@@ -428,15 +466,15 @@ c AS (
   SELECT (ts_us // 1000000 - (SELECT min(ts_us) // 1000000 FROM ev)) // 3600 AS bucket, user_id, count(*) AS n
   FROM ev WHERE event_type = 'error' GROUP BY ALL)
 SELECT bucket, max(n) AS score FROM c GROUP BY bucket""",
-    "rate_threshold": f"WITH {_RATE} SELECT threshold FROM rt",
+    "rate_threshold": f"WITH RECURSIVE {_RATE} SELECT threshold FROM rt",
     "rate_tumbling_alerts": f"""
 WITH {EV}
 SELECT ts_us // {HOUR_US} AS bucket, count(*) AS syns FROM ev WHERE event_type = 'error'
 GROUP BY 1 HAVING count(*) > 4""",
     "schedule_intervals": f"WITH {_SCHEDULE} SELECT name, start_us, end_us, lo_us, hi_us FROM iv",
-    "attack_interval_join": f"WITH {_RATE} {_hits_sql('ba')}",
+    "attack_interval_join": f"WITH RECURSIVE {_RATE} {_hits_sql('ba')}",
     "attack_fusion": f"""
-WITH {_RATE},
+WITH RECURSIVE {_RATE},
 b AS ({_hits_sql('ba')}), r AS ({_hits_sql('ra')})
 SELECT b.name, b.outside_captured_range, b.detected AS byte, r.detected AS rate,
        b.detected OR r.detected AS detected,
@@ -444,7 +482,7 @@ SELECT b.name, b.outside_captured_range, b.detected AS byte, r.detected AS rate,
             WHEN b.detected THEN 'byte' WHEN r.detected THEN 'rate' ELSE 'none' END AS "by"
 FROM b JOIN r USING (name)""",
     "false_alarms_per_hour": f"""
-WITH {_RATE},
+WITH RECURSIVE {_RATE},
 fa AS (SELECT * FROM ba WHERE NOT EXISTS (SELECT 1 FROM iv WHERE ts_us BETWEEN lo_us AND hi_us)),
 fr AS (SELECT * FROM ra WHERE NOT EXISTS (SELECT 1 FROM iv WHERE ts_us BETWEEN lo_us AND hi_us)),
 u AS (SELECT ts_us FROM fa, fe WHERE ts_us >= fit_end UNION SELECT ts_us FROM fr, fe WHERE ts_us >= fit_end),
@@ -456,16 +494,16 @@ SELECT (SELECT count(*) FROM fa) AS single, (SELECT count(*) FROM u) AS fused, r
        round((SELECT count(*) FROM u) / h, 6) AS fused_per_hour FROM hr""",
     "detector_fusion_files": f"""
 WITH {EV},
-b AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'view' GROUP BY 1 HAVING avg(value) > 20),
-r AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'error' GROUP BY 1 HAVING avg(value) > 20),
+b AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'view' AND user_id % 7 <> 0 GROUP BY 1),
+r AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'error' GROUP BY 1),
 j AS (SELECT file, b.s AS bs, r.s AS rs, coalesce(b.s > 50, false) AS bh, coalesce(r.s > 55, false) AS rh
       FROM b FULL JOIN r USING (file))
 SELECT file, round(bs, 6) AS byte_score, round(rs, 6) AS rate_score, bh AS byte_hit, rh AS rate_hit,
        bh OR rh AS fused, rh AND NOT bh AS rate_only, bh AND NOT rh AS byte_only FROM j""",
     "fusion_summary": f"""
 WITH {EV},
-b AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'view' GROUP BY 1 HAVING avg(value) > 20),
-r AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'error' GROUP BY 1 HAVING avg(value) > 20),
+b AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'view' AND user_id % 7 <> 0 GROUP BY 1),
+r AS (SELECT user_id AS file, avg(value) AS s FROM ev WHERE event_type = 'error' GROUP BY 1),
 j AS (SELECT coalesce(b.s > 50, false) AS bh, coalesce(r.s > 55, false) AS rh FROM b FULL JOIN r USING (file))
 SELECT count(*) AS files, count(*) FILTER (bh OR rh) AS fused, count(*) FILTER (rh AND NOT bh) AS rate_only,
        count(*) FILTER (bh AND NOT rh) AS byte_only,
@@ -477,6 +515,13 @@ WITH {_FLOW}, out AS (SELECT event_id, t5 AS x5, tp AS xp, sc, dc FROM j) SELECT
 WITH {_FLOW}, out AS (SELECT event_id, t5 AS x5, tp AS xp, sc, dc FROM j),
 o AS (SELECT {_TIER} FROM out)
 SELECT coalesce(cat, 'benign') AS class, tier, count(*) AS packets FROM o GROUP BY ALL""",
+    "match_diagnostics": f"""
+WITH {_CASCADE}
+SELECT j.capture, any_value(v.use_time) AS use_time, count(*) AS packets, count(*) FILTER (proto <> 'purchase') AS parseable,
+       min(t) AS first_t, max(t) AS last_t, count(f5) FILTER (proto <> 'purchase') AS five_hits, count(t5) FILTER (proto <> 'purchase') AS five_time_hits,
+       count(fp) FILTER (proto <> 'purchase') AS pair_hits, count(tp) FILTER (proto <> 'purchase') AS pair_time_hits,
+       count(*) FILTER (proto <> 'purchase' AND (sc IS NOT NULL OR dc IS NOT NULL)) AS attacker_packets
+FROM j JOIN v USING (capture) GROUP BY j.capture""",
     "source_census": f"""
 WITH {_FLOW} SELECT srcip, count(*) AS packets FROM fl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "latest_reference": f"""

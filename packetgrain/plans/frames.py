@@ -109,15 +109,19 @@ def flow_lives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    """The same IP packets behind cooked, raw and Ethernet link layers come out equal."""
-    rows = _frames(spark, folder).where(F.col("event_type").isin("click", "signup", "error"))
+    """IP packets behind cooked, raw and Ethernet link layers come out equal, tagged Ethernet as it is, and cooked packets
+    that are not IP as null."""
+    rows = _frames(spark, folder)
     ip = F.substring(F.col("data"), 15, 2**30)
     kind = F.substring(F.col("data"), 13, 2)
-    link = F.when(F.col("event_type") == "click", packets.SLL).when(F.col("event_type") == "signup", 101).otherwise(packets.SLL2)
+    link = (
+        F.when(F.col("event_type").isin("click", "purchase"), packets.SLL).when(F.col("event_type") == "signup", 101)
+        .when(F.col("event_type") == "view", packets.ETHERNET).otherwise(packets.SLL2)
+    )
     framed = (
         F.when(link == packets.SLL, F.concat(F.unhex(F.lit("00000001000602000000000100" + "00")), kind, ip))
         .when(link == packets.SLL2, F.concat(kind, F.unhex(F.lit("000000000001000100060200000000010000")), ip))
-        .otherwise(ip)
+        .when(link == packets.ETHERNET, F.col("data")).otherwise(ip)
     )
     sent = rows.withColumn("linktype", link).withColumn("data", framed)
     return packets.to_ethernet(sent).select("packet_index", F.md5(F.hex("data")).alias("digest"))
@@ -245,8 +249,9 @@ g AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY
 SELECT user_id, event_id, (sum(f) OVER (PARTITION BY user_id ORDER BY ts_us))::BIGINT AS life FROM g""",
     "link_normalise": f"""
 WITH {_EV}
-SELECT event_id AS packet_index, md5(concat(repeat('00', 12), substr({_frame(False)}, 25))) AS digest
-FROM ev WHERE event_type IN ('click', 'signup', 'error')""",
+SELECT event_id AS packet_index, CASE event_type WHEN 'purchase' THEN NULL WHEN 'view' THEN md5({_frame(False)})
+         ELSE md5(concat(repeat('00', 12), substr({_frame(False)}, 25))) END AS digest
+FROM ev""",
     "tls_mask_walk": """
 WITH t AS (
   SELECT conv_id, turn, role = 'user' AS app, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM conversations),

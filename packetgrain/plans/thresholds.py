@@ -53,6 +53,20 @@ def calibration_table(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*_rounded(out, [d for d in doubles if d != "gold_threshold"]))
 
 
+def calibration_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by an alert budget of one in two days; a user with a single window has no rate."""
+    fitted = calibrate.calibration_records(
+        _scores(spark, folder).withColumn("sensor", F.col("user_id")), SENSOR, "value", 0.02, calibrated_at=F.lit("2024-02-01T00:00:00")
+    )
+    explicit = F.when(F.col("sensor") % 10 == 0, F.lit(77.5))
+    return fitted.select(
+        "sensor", "num_windows", "threshold_method", "target_incidents_per_hour", F.round("budget_quantile", 9).alias("budget_quantile"),
+        F.round("byte_threshold", 6).alias("byte_threshold"), F.round("anchor_threshold", 6).alias("anchor_threshold"),
+        "gold_threshold", "calibrated_at",
+        F.round(calibrate.resolve_threshold(explicit, F.when(F.col("sensor") % 10 != 1, F.col("byte_threshold"))), 6).alias("in_use"),
+    )
+
+
 def calibration_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     return _calibration(spark, folder).select(
         "sensor", F.posexplode("score_quantiles").alias("pct", "value")
@@ -76,6 +90,8 @@ def score_percentile(spark: SparkSession, folder: str) -> DataFrame:
 
 def psi_drift(spark: SparkSession, folder: str) -> DataFrame:
     live = _halves(spark, folder).where(F.col("part") == "holdout").withColumn("bucket", F.floor(F.col("ts_us") / (5 * DAY_US)))
+    # Every other interval sees other traffic.
+    live = live.withColumn("score", F.when(F.col("bucket") % 2 == 0, F.col("score")).otherwise(F.col("score") * 3))
     out = calibrate.psi(live, _calibration(spark, folder), ["sensor", "bucket"])
     return out.select("sensor", "bucket", "n", F.round("psi", 6).alias("psi"), "drift_flag")
 
@@ -206,6 +222,7 @@ QUERIES = {
     "best_checkpoint": best_checkpoint,
     "half_split": half_split,
     "calibration_table": calibration_table,
+    "calibration_budget": calibration_budget,
     "calibration_quantiles": calibration_quantiles,
     "budget_thresholds": budget_thresholds,
     "score_percentile": score_percentile,
@@ -396,6 +413,22 @@ SELECT sensor, n AS num_windows, round(n / secs, 3) AS window_rate_per_sec, roun
        round(thr, 6) AS anchor_threshold, round(thr + 3.0, 4) AS gold_threshold,
        round(q999, 6) AS quantile_999, round(mean + 3 * std, 6) AS mean_plus_3sigma
 FROM calt""",
+    "calibration_budget": f"""
+WITH {EV},
+s AS (
+  SELECT user_id, list(value ORDER BY value) AS v, count(*) AS n, avg(value) + 3 * coalesce(stddev_samp(value), 0) AS m3,
+         quantile_cont(value, 0.999) AS q999, (max(ts_us) - min(ts_us)) / 1e6 AS secs FROM ev GROUP BY user_id),
+a AS (SELECT *, CASE WHEN secs > 0 THEN 1 - least(greatest(0.02 / (n / secs * 3600), 1e-6), 0.5) END AS q FROM s),
+b AS (
+  SELECT *, CASE WHEN q IS NULL THEN greatest(q999, m3)
+              ELSE v[floor(q * (n - 1))::INT + 1] + (v[ceil(q * (n - 1))::INT + 1] - v[floor(q * (n - 1))::INT + 1]) * (q * (n - 1) - floor(q * (n - 1))) END AS thr
+  FROM a)
+SELECT user_id AS sensor, n AS num_windows,
+       CASE WHEN q IS NULL THEN 'max(q99.9, mean+3sigma)' ELSE format('alert-budget (0.02/hr -> q{{:.5f}})', q) END AS threshold_method,
+       0.02 AS target_incidents_per_hour, round(q, 9) AS budget_quantile, round(thr, 6) AS byte_threshold, round(thr, 6) AS anchor_threshold,
+       round(thr + 3.0, 4) AS gold_threshold, '2024-02-01T00:00:00' AS calibrated_at,
+       round(CASE WHEN user_id % 10 = 0 THEN 77.5 WHEN user_id % 10 = 1 THEN 12.0 ELSE thr END, 6) AS in_use
+FROM b""",
     "calibration_quantiles": f"""
 WITH {_CAL}
 SELECT sensor, unnest(range(0, 101)) AS pct, round(unnest(q), 6) AS value FROM cal""",
@@ -418,7 +451,7 @@ WITH {_CAL},
 b AS (
   SELECT sensor, ts_us // {5 * DAY_US} AS bucket,
          least(9, greatest(0, len(list_filter([q[1],q[11],q[21],q[31],q[41],q[51],q[61],q[71],q[81],q[91],q[101]],
-               lambda x: x <= value)) - 1)) AS bin
+               lambda x: x <= value * CASE WHEN ts_us // {5 * DAY_US} % 2 = 0 THEN 1 ELSE 3 END)) - 1)) AS bin
   FROM half JOIN cal ON sensor = event_type WHERE part = 'holdout'),
 g AS (SELECT sensor, bucket, count(*) AS n FROM b GROUP BY ALL),
 c AS (
