@@ -16,7 +16,11 @@ from packetgrain.operators.ordering import row_index
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def byte_histogram(data: pd.Series) -> pd.Series:
     """Share of each byte value in a window."""
-    return data.map(lambda raw: np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(1, len(raw)))
+    parts = [raw or b"" for raw in data]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    cell = np.repeat(np.arange(len(parts)) * 256, size) + np.frombuffer(b"".join(parts), np.uint8)
+    counts = np.bincount(cell, minlength=256 * len(parts)).reshape(-1, 256)
+    return pd.Series(list(counts / np.maximum(size, 1)[:, None]))
 
 
 def assemble(sources: dict[str, DataFrame | None]) -> DataFrame:

@@ -169,6 +169,14 @@ def heatmap(bits: Column, bytes_: Column, columns: int = 32) -> Column:
     )
 
 
+def scan_alerts(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:
+    """A line per packet of a scan that reaches the threshold."""
+    return scored.where(F.col(score) >= threshold).select(
+        (F.col("ts_us") / 1e6).alias("timestamp"), "packet_index", F.length("data").alias("pkt_len"),
+        F.round(score, 4).alias("surprise_bits"), F.lit(threshold).alias("threshold"), F.lit("ALERT").alias("status"),
+    )
+
+
 def scan_summary(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     """Packets and anomalies of a scan; here the threshold itself counts."""
     return scored.agg(

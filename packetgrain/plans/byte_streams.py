@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.operators import calibrate, ngram, scoring, windows
+from packetgrain.operators import calibrate, classify, ngram, scoring, windows
 from packetgrain.session import cut
 from packetgrain.sources.tables import byte_streams, spread, table
 
@@ -164,6 +164,24 @@ def model_loss(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def loss_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross entropy of the held-out windows less that of the training windows."""
+    losses = model_loss(spark, folder).select("split", F.col("cross_entropy").alias("loss"))
+    return scoring.generalisation_gap(losses).select(F.round("gap", 5).alias("gap"))
+
+
+def byte_class_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte shares of the windows of each class; a class without a source leaves no hole in the labels."""
+    pieces = _windows(spark, folder).select("label", "bytes")
+    sources = {name: pieces.where(F.col("label") == value).select("bytes") for name, value in (("attack", 1), ("benign", 0))}
+    rows = classify.assemble({"attack": sources["attack"], "probe": None, "benign": sources["benign"]})
+    shares = rows.select("class", "label", classify.byte_histogram("bytes").alias("h"))
+    return shares.groupBy("class", "label").agg(
+        F.count(F.lit(1)).alias("windows"),
+        *[F.round(F.avg(F.get("h", F.lit(b))), 9).alias(f"share_{b}") for b in (32, 101, 110, 195)],
+    )
+
+
 def page_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-corpus check: web pages scored by the model of benign documents."""
     pages = spread(table(spark, folder, "pages")).select("page_id", F.encode("html", "UTF-8").alias("data"))
@@ -188,6 +206,8 @@ QUERIES = {
     "patch_segments": patch_segments,
     "heatmap_cells": heatmap_cells,
     "model_loss": model_loss,
+    "loss_gap": loss_gap,
+    "byte_class_profile": byte_class_profile,
     "page_scores": page_scores,
 }
 
@@ -331,6 +351,19 @@ WITH {_BITS}
 SELECT (p - 3) // 32 AS grid_row, (p - 3) % 32 AS grid_column, count(*) AS cells,
        round(avg(least(1.0, greatest(0.0, bits / 8.0))), 6) AS intensity, sum(byte)::BIGINT AS byte_sum
 FROM bits GROUP BY ALL""",
+    "loss_gap": f"""
+WITH {_BITS},
+s AS (SELECT label, -ln(pow(2.0::DOUBLE, -bits)) AS l FROM bits)
+SELECT round(round(avg(l) FILTER (label IS NULL), 6) - round(avg(l) FILTER (label = 0), 6), 5) AS gap FROM s""",
+    "byte_class_profile": f"""
+WITH {_WINS},
+c AS (
+  SELECT CASE WHEN label = 1 THEN 'attack' ELSE 'benign' END AS class, n_valid,
+         list_transform(range(0, n_valid), lambda i: substr(hx, 2 * i + 1, 2)) AS b FROM wins WHERE label IS NOT NULL)
+SELECT class, CASE WHEN class = 'attack' THEN 0 ELSE 1 END AS label, count(*) AS windows,
+       round(avg(len(list_filter(b, lambda x: x = '20')) / n_valid), 9) AS share_32, round(avg(len(list_filter(b, lambda x: x = '65')) / n_valid), 9) AS share_101,
+       round(avg(len(list_filter(b, lambda x: x = '6E')) / n_valid), 9) AS share_110, round(avg(len(list_filter(b, lambda x: x = 'C3')) / n_valid), 9) AS share_195
+FROM c GROUP BY class""",
     "model_loss": f"""
 WITH {_BITS},
 s AS (

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetgrain.operators import ordering, packets, tls, windows
+from packetgrain.operators import ordering, packets, scoring, tls, windows
 from packetgrain.session import shared_folder
 from packetgrain.sinks import writers
 from packetgrain.sources import captures
@@ -164,6 +164,25 @@ def tls_mask_walk(spark: SparkSession, folder: str) -> DataFrame:
     return masked.select("conv_id", "packet_index", F.md5(F.hex(payload)).alias("digest"))
 
 
+def target_traffic(spark: SparkSession, folder: str) -> DataFrame:
+    """Packets and bytes of each target; frames that did not parse have none."""
+    parsed = packets.drop_unparsed(packets.parse(_frames(spark, folder)))
+    return parsed.groupBy(packets.target_key().alias("target")).agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("data")).alias("bytes")
+    )
+
+
+def scan_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan's alerts written as JSON lines and read back; entropy stands for the model's surprise."""
+    masked = tls.mask(_frames(spark, folder))
+    cut_ = windows.one_window_per_packet(masked, 96).where("scorable")
+    scored = cut_.withColumn("score", windows.byte_entropy("bytes"))
+    alerts = scoring.scan_alerts(scored, 1.5)
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    writers.write_json(alerts, path)
+    return spark.read.schema(alerts.schema).json(path)
+
+
 SPLIT_BYTES = 20_000
 
 
@@ -197,7 +216,7 @@ QUERIES = {
     name: globals()[name]
     for name in (
         "frame_parse", "frame_mask", "unparsed_frames", "frame_flow_windows", "flow_lives", "link_normalise", "tls_mask_walk",
-        "capture_read", "stream_captures",
+        "capture_read", "stream_captures", "target_traffic", "scan_alerts",
     )
 }
 
@@ -216,6 +235,18 @@ SELECT event_type || '.pcap' AS capture, row_number() OVER (PARTITION BY event_t
        ts_us, 1 AS linktype, md5({_frame(False)}) AS digest FROM ev"""
 
 ORACLE = {
+    "target_traffic": f"""
+WITH {_EV},
+t AS (SELECT {_DST} || ':' || ({_DPORT}) AS target, length({_frame(False)}) // 2 AS n FROM ev WHERE event_type <> 'purchase')
+SELECT target, count(*) AS packets, sum(n)::BIGINT AS bytes FROM t GROUP BY target""",
+    "scan_alerts": f"""
+WITH {_EV},
+f AS (SELECT event_id, ts_us, {_frame(True)} AS h FROM ev),
+w AS (SELECT event_id, ts_us, length(h) // 2 AS n, rpad(substr(h, 1, 192), 192, '0') AS hx FROM f),
+c AS (SELECT event_id, substr(hx, 2 * i + 1, 2) AS b, count(*) / 96 AS p FROM (SELECT *, unnest(range(0, 96)) AS i FROM w) GROUP BY ALL),
+e AS (SELECT event_id, -sum(p * log2(p + 1e-9)) AS s FROM c GROUP BY event_id)
+SELECT ts_us / 1e6 AS timestamp, event_id AS packet_index, n AS pkt_len, round(s, 4) AS surprise_bits, 1.5 AS threshold,
+       'ALERT' AS status FROM w JOIN e USING (event_id) WHERE s >= 1.5""",
     "capture_read": _CAPTURED,
     "stream_captures": _CAPTURED,
     "frame_parse": f"""

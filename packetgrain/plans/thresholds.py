@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetgrain.operators import calibrate, evaluation, leaderboard, windows
 from packetgrain.session import cut, shared_folder
 from packetgrain.sinks import writers
+from packetgrain.sources import documents
 from packetgrain.sources.tables import events, scores
 
 SENSOR = ["sensor"]
@@ -201,7 +202,7 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
     writers.write_json(docs, path)
-    points = leaderboard.operating_points(spark.read.schema(docs.schema).json(path))
+    points = leaderboard.operating_points(documents.metrics(spark, path, docs.schema, lines=True))
     staged = points.withColumn("step", leaderboard.step_of(F.col("checkpoint"))).withColumn("board", F.lit(1))
     return leaderboard.judge(staged, ["board"], [F.col("step")], drift=0.05)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Positions in the headerless 49-column flow table and protocol numbers.
 FLOW_COLUMNS = {0: "srcip", 1: "sport", 2: "dstip", 3: "dsport", 4: "proto", 28: "stime", 29: "ltime", 47: "attack_cat", 48: "label"}
@@ -51,9 +52,9 @@ def attack_flows(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=["sport", "dsport", "proto", "stime", "ltime"])
 
 
-def metrics(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Nested metrics documents, one per file."""
-    reader = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
+def metrics(spark: SparkSession, path: str, schema: str | StructType | None = None, lines: bool = False) -> DataFrame:
+    """Nested metrics documents, one per file or one per line."""
+    reader = spark.read.option("multiLine", not lines).option("recursiveFileLookup", "true")
     return (reader.schema(schema) if schema else reader).json(path)
 
 

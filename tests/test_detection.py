@@ -339,3 +339,28 @@ def test_ranges_keep_streams_together(spark):
     parts = windows.spread_by_stream(df, ["flow"], "i", 4).withColumn("p", F.spark_partition_id())
     sizes = [r["count"] for r in parts.groupBy("p").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 40
+
+
+def test_compressor_as_complexity(spark):
+    import zlib
+
+    texts = [b"", b"a" * 400, bytes(range(256))]
+    ratio = scoring.compressor_bits(lambda b: zlib.compress(b, 6))
+    got = [r.r for r in spark.createDataFrame([(t,) for t in texts], "data binary").select(ratio("data").alias("r")).collect()]
+    assert got == [8.0 * len(zlib.compress(t, 6)) / max(1, len(t)) for t in texts]
+
+
+def test_long_tails_are_fitted_like_short_ones(spark, limits):
+    rnd = random.Random(9)
+    data = [(s, 10 + rnd.expovariate(1.0 if s == "a" else 0.5)) for s in ("a", "b") for _ in range(3000)] + [("c", 1.0)] * 40
+    df = spark.createDataFrame(data, "sensor string, score double").repartition(6)
+
+    def fits():
+        return {r.sensor: (r.num_tail_points, r.gpd_shape, r.gpd_scale, r.threshold) for r in calibrate.evt_thresholds(df, ["sensor"], 0.001).collect()}
+
+    near = fits()
+    limits(hotRows=50)
+    far = fits()
+    assert near.keys() == far.keys() == {"a", "b"}
+    for k in near:
+        assert far[k] == pytest.approx(near[k], rel=1e-9)
