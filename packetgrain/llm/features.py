@@ -30,9 +30,9 @@ def word_grams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.nda
     return found.doc, (hashing.mix(found.hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bounded(rows: DataFrame, most: int) -> DataFrame:
+def bounded(rows: DataFrame, most: int, *ties: str) -> DataFrame:
     """At most ``most`` rows of the smallest hashes of the id: one top-k per task, then one over those."""
-    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", *ties).limit(most)
 
 
 def remainder(divisor: int):

@@ -101,7 +101,10 @@ def ridge(rows: np.ndarray, lang: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
-    """Learn from rows with a language whose crc32(doc_id) mod 3 is not 1, at most ``most`` of them."""
+    """Learn from rows with a language whose crc32(doc_id) mod 3 is not 1, at most ``most`` of them; equal rows count once.
+
+    The bound holds on the executors: the driver gets the features of at most ``most`` rows, whatever repeats.
+    """
     chosen = features.bounded(
         docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (features.remainder(3) != 1)).select(
             "doc_id", "lang"
@@ -119,8 +122,9 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
                         batch.column(0).slice(first, n),
                         batch.column(1).slice(first, n),
                         pa.array([r.tobytes() for r in bits], pa.binary()),
+                        batch.column(3).slice(first, n),
                     ],
-                    ["doc_id", "lang", "bits"],
+                    ["doc_id", "lang", "bits", "key"],
                 )
 
     schema = T.StructType(
@@ -128,17 +132,19 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("lang", T.StringType()),
             T.StructField("bits", T.BinaryType()),
+            T.StructField("key", T.LongType()),
         ]
     )
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    table = rows.select("doc_id", "lang", "text").mapInArrow(pack, schema).toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("bits", "ascending")]).slice(0, most)
+    made = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("key")).mapInArrow(pack, schema)
+    table = features.bounded(made.dropDuplicates(["doc_id", "lang", "key"]), most, "lang", "key").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("bits", "ascending"), ("lang", "ascending")])
     raw = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(-1, (1 << BITS) // 8)
     return ridge(np.unpackbits(raw, axis=1).astype(np.float32), table["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1) of the strongest language."""
+    """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1) of the strongest language in place of columns of these names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)

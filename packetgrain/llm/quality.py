@@ -94,10 +94,13 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, ra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
-    """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``most`` of them."""
+    """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``most`` of them; equal rows count once.
+
+    The bound holds on the executors: the driver gets the features of at most ``most`` rows, whatever repeats.
+    """
     marked = labels.where(F.col("quality").isin(0, 1) & (features.remainder(5) != 0))
     chosen = features.bounded(marked.groupBy("doc_id").agg(F.max("quality").alias("quality")), most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,23 +111,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
                     [
                         batch.column(0).slice(first, len(shares)),
                         batch.column(2).slice(first, len(shares)),
+                        batch.column(3).slice(first, len(shares)),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(shares[row, bucket])),
                     ],
-                    ["doc_id", "quality", "bucket", "share"],
+                    ["doc_id", "quality", "key", "bucket", "share"],
                 )
 
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("quality", chosen.schema["quality"].dataType),
+            T.StructField("key", T.LongType()),
             T.StructField("bucket", T.ArrayType(T.IntegerType())),
             T.StructField("share", T.ArrayType(T.FloatType())),
         ]
     )
-    table = rows.select("doc_id", "text", "quality").mapInArrow(sparse, schema).toArrow()
-    # Repeated rows of an id are bounded like all others; the order of arrival must not matter.
-    table = table.sort_by("doc_id").slice(0, most)
+    made = rows.select("doc_id", "text", "quality", "key").mapInArrow(sparse, schema)
+    table = features.bounded(made.dropDuplicates(["doc_id", "key"]), most, "key").toArrow()
+    # The order of arrival must not matter.
+    table = table.sort_by([("doc_id", "ascending"), ("key", "ascending")])
     column = {c: table[c].combine_chunks() for c in ("bucket", "share")}
     return sgd(
         [
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``quality_score`` and ``quality_kept`` (score of at least ``threshold``)."""
+    """``docs`` with ``quality_score`` and ``quality_kept`` (score of at least ``threshold``) in place of columns of these names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetgrain.llm import graph, merkle, periodic_runs, queries, url_filter, url_sql
+import corpus_pipeline
+from packetgrain.llm import graph, language, merkle, periodic_runs, quality, queries, url_filter, url_sql
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, leaf string, _copy int, rank int"
@@ -304,3 +305,50 @@ def test_runs_of_small_powers():
     for least, power in ((1, 2), (6, 3), (9, 4)):
         got = [found for _, found in periodic_runs.found_in(texts, least, power)]
         assert got == [runs(t.split(), least, power) for t in texts]
+
+
+# Bounds and names
+
+
+def test_fits_bring_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = [(i if i % 2 else 7, f"text {i % 900} of many words", "en" if i % 3 else "de") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    brought = []
+    to_arrow = type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda self: brought.append(to_arrow(self)) or brought[-1])
+    quality.fit(frame, labels, most=50)
+    language.fit(frame, most=40)
+    assert [t.num_rows for t in brought] == [50, 40]
+
+
+HELPERS = ["digest", "kept", "row", "quality_score", "quality_kept", "_digest", "_kept", "_chosen", "_least", "least", "root", "node", "contaminated", "key"]
+
+
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    texts = ["one two three four five six seven " * 40 + str(i % 20) for i in range(60)] + [None, "", "word " * 3000]
+    rows = [(i, t, len(t or ""), *[f"{h}{i}" for h in HELPERS]) for i, t in enumerate(texts)]
+    names = ", ".join(f"`{h}` string" for h in HELPERS)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, n_chars long, {names}")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing in common with these")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[h] for h in HELPERS] == [f"{h}{r.doc_id}" for h in HELPERS], name
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_tables_of_tokens_and_benchmark(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words of a document")], "doc_id long, text string")
+    none = docs.limit(0)
+    items = docs.select(F.col("doc_id").alias("item_id"), "text")
+    for d, b, n in ((none, items, 0), (docs, items.limit(0), 1), (none, items.limit(0), 0)):
+        monkeypatch.setattr(queries, "table", lambda s, f, name, d=d, b=b: d if name == "documents" else b)
+        assert queries.op6_winnowing(spark, "").count() == n
+    monkeypatch.setattr(queries, "table", lambda *_: none)
+    assert queries.op2_token_orc(spark, "").count() == 0
