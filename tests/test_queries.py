@@ -11,6 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import TABLES, rows_of  # noqa: E402
 
+from packetgrain.plans import registry  # noqa: E402
+
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="supplied tables are not here")
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -65,3 +67,11 @@ def test_query_with_every_key_too_large(spark, duck, limits, name):
 def test_query_with_a_model_too_large_to_broadcast(spark, duck, limits, name):
     limits(modelRows=1)
     test_query(spark, duck, name)
+
+
+def test_other_queries_without_the_text_operators(monkeypatch):
+    def refuse(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(entry, "import_module", refuse)
+    assert entry.queries() == registry.QUERIES and entry.oracle_sql() == registry.ORACLE
