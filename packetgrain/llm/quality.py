@@ -100,7 +100,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     """
     marked = labels.where(F.col("quality").isin(0, 1) & (features.remainder(5) != 0))
     chosen = features.bounded(marked.groupBy("doc_id").agg(F.max("quality").alias("quality")), most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), "doc_id")
+    # One id may have many texts: the rows themselves are chosen by their keys alone.
+    picked = features.bounded(keyed.select("doc_id", "key").distinct(), most, "key")
+    rows = keyed.join(F.broadcast(picked), ["doc_id", "key"])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
                         batch.column(0).slice(first, len(shares)),
                         batch.column(2).slice(first, len(shares)),
                         batch.column(3).slice(first, len(shares)),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int16))),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(shares[row, bucket])),
                     ],
                     ["doc_id", "quality", "key", "bucket", "share"],
@@ -123,12 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("quality", chosen.schema["quality"].dataType),
             T.StructField("key", T.LongType()),
-            T.StructField("bucket", T.ArrayType(T.IntegerType())),
+            T.StructField("bucket", T.ArrayType(T.ShortType())),
             T.StructField("share", T.ArrayType(T.FloatType())),
         ]
     )
     made = rows.select("doc_id", "text", "quality", "key").mapInArrow(sparse, schema)
-    table = features.bounded(made.dropDuplicates(["doc_id", "key"]), most, "key").toArrow()
+    table = made.dropDuplicates(["doc_id", "key"]).toArrow()
     # The order of arrival must not matter.
     table = table.sort_by([("doc_id", "ascending"), ("key", "ascending")])
     column = {c: table[c].combine_chunks() for c in ("bucket", "share")}
