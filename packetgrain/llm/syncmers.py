@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is cut in tokens: runs without white space, at most 16 characters each. Of all runs of ``K`` tokens those are
-kept whose least run of ``S`` tokens, by hash, stands first or last in them (closed syncmers). Whether a run is kept
-depends on its own tokens alone, so an edit changes only the runs it touches, and kept runs are anchors for matching
-by position. The fingerprint is the ``SIZE`` smallest distinct hashes of kept runs; the likeness of two of them is
-the share both have of the ``SIZE`` smallest of their union, an estimate of the Jaccard index.
+A text is cut in tokens: runs without white space of at most 16 characters, and the single characters of longer runs,
+so that text written without spaces is cut alike on both sides of an edit. Of all runs of ``K`` tokens those are kept
+whose least run of ``S`` tokens, by hash, stands first or last in them (closed syncmers). Whether a run is kept depends
+on its own tokens alone, so an edit changes only the runs it touches, and kept runs are anchors for matching by
+position. The fingerprint is the ``SIZE`` smallest distinct hashes of kept runs; the likeness of two of them is the
+share both have of the ``SIZE`` smallest of their union, an estimate of the Jaccard index. Runs of ``K`` characters of
+a small alphabet (digits, bases) are few, so texts of nothing else are alike by chance.
 
 Defined results: a null text is empty; a text of fewer than ``K`` tokens has one run, all its tokens; an empty text
 has an empty fingerprint, which is like another empty one (1) and unlike any other (0); repeated rows are kept; an
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 K = 5
 S = 2
 SIZE = 64
-TOKEN = r"\S{1,16}"
+TOKEN = r"(?<!\S)\S{1,16}(?!\S)|\S"
 
 
 def let(value: Column, body) -> Column:
