@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetgrain.functions.text import fixed_all
 from packetgrain.operators import calibrate, cusum, match, ordering, rate
 from packetgrain.plans.thresholds import EV
 from packetgrain.sources.schedules import schedule
@@ -51,7 +52,7 @@ def trace_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     out = cusum.trace_verdicts(flagged, ["series"])
     return out.select(
         "series", "windows", "alarms", F.round("first_alarm_at", 6).alias("first_alarm_at"),
-        F.array_join(F.transform("alarm_positions", lambda p: F.format_string("%.4f", p)), ",").alias("positions"),
+        F.array_join(fixed_all("alarm_positions", 4), ",").alias("positions"),
         F.round("alarms_per_10k", 6).alias("alarms_per_10k"), "detected",
     )
 
