@@ -45,10 +45,11 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of a table's files as they arrive."""
+    """Rows of a table's files as they arrive; the table is one file or a folder of files."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A stream takes a single file only as what a pattern matches; a folder it matches is read whole.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def run_available(stream: DataFrame) -> DataFrame:
@@ -261,7 +262,7 @@ class _FlowBuffer(StatefulProcessor):
                 rest, marks, life = bytearray(), [], life + 1
             last = ts
             marks.append((len(rest), ts))
-            rest += data
+            rest += data or b""
             while len(rest) >= self.width:
                 # The window's time is that of the packet holding its first byte.
                 at = max(i for i, m in enumerate(marks) if m[0] <= 0)
