@@ -56,17 +56,11 @@ def incident_sessions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-SENSORS = 3
-
-
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    """Incidents with the packets that their sensor saw in the six hours before them, in place of ten seconds."""
+    """Incidents with the packets of the six hours before them, in place of ten seconds."""
     opened = cut(_incidents(spark, folder).withColumn("alert", F.concat_ws("/", "type", "alert_id")))
-    sensor = F.coalesce(F.col("user_id"), F.lit(0)) % SENSORS
-    asked = opened.select("alert", F.col("first_us").alias("ts_us"), sensor.alias("sensor"))
-    packets = packet_meta(spark, folder).withColumn("sensor", F.split("src", r"\.")[3].cast("long") + 256 * F.split("src", r"\.")[2].cast("long"))
-    packets = packets.withColumn("sensor", F.col("sensor") % SENSORS)
-    return opened.join(enrich.around(asked, packets, ["sensor"], 6 * HOUR_US, "alert", "event_id"), "alert", "left")
+    asked = opened.select("alert", F.col("first_us").alias("ts_us"))
+    return opened.join(enrich.around(asked, packet_meta(spark, folder), [], 6 * HOUR_US, "alert", "event_id"), "alert", "left")
 
 
 def incident_enrichment(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,11 +261,11 @@ inc AS (
   FROM nb GROUP BY type, inc)"""
 _PACKETS = f""",
 pm AS (
-  SELECT event_id, ts_us, user_id % 3 AS sensor, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src, '192.168.0.' || k AS dst,
+  SELECT event_id, ts_us, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src, '192.168.0.' || k AS dst,
          k AS dport, event_type AS proto, floor(value)::BIGINT AS size, event_type = 'error' AS is_syn FROM ev),
 cx AS (
   SELECT i.type || '/' || i.alert_id AS alert, i.first_us AS opened, p.* FROM inc i
-  JOIN pm p ON p.sensor = coalesce(i.user_id, 0) % 3 AND p.ts_us <= i.first_us AND p.ts_us >= i.first_us - {6 * HOUR_US})"""
+  JOIN pm p ON p.ts_us <= i.first_us AND p.ts_us >= i.first_us - {6 * HOUR_US})"""
 _ENR = _INC + _PACKETS + """,
 vol AS (SELECT alert, any_value(opened) AS opened, count(*) AS packets, sum(size)::BIGINT AS bytes,
                count(*) FILTER (is_syn) AS syns FROM cx GROUP BY alert),
