@@ -6,6 +6,8 @@ frames of the batch at once and writes zeros there.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -149,8 +151,26 @@ def _v1(f: Frames) -> None:
     f.zero(record, f.pay + 5, f.n)
 
 
+# Bytes of frames masked together; an Arrow batch may have more.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(sizes: Iterable[int], most: int = PIECE_BYTES) -> list[slice]:
+    """Slices of rows of about ``most`` bytes, one row at least; a row weighs 64 more than its size."""
+    upto = np.cumsum([size + 64 for size in sizes], dtype=np.int64)
+    if not len(upto):
+        return []
+    edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(upto)]
+    return [slice(lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+
+
 @F.pandas_udf(HEADER)
 def _mask_full(data: pd.Series) -> pd.DataFrame:
+    parts = [_masked_full(data.iloc[s]) for s in pieces(map(len, data))]
+    return pd.concat(parts, ignore_index=True) if parts else _masked_full(data)
+
+
+def _masked_full(data: pd.Series) -> pd.DataFrame:
     f = Frames(list(data))
     src, dst = f.addresses(False), f.addresses(True)
     _full(f)

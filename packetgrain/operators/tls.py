@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetgrain.operators.masking import mask_headers
+from packetgrain.operators.masking import mask_headers, pieces
 from packetgrain.operators.ordering import fits, row_index
 from packetgrain.session import cut, limit
 
@@ -98,7 +98,7 @@ def mask_records(packets: DataFrame) -> DataFrame:
         keys = [at(c) for c in by]
         entry, start, data = [at(c) for c in STATE], at("_pay"), at("data")
         last, state = None, (0, False, False)
-        for pdf in batches:
+        for pdf in (batch.iloc[s] for batch in batches for s in pieces(map(len, batch["data"]))):
             masked = []
             for row in pdf.itertuples(index=False, name=None):
                 key = tuple(row[i] for i in keys)
