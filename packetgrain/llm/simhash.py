@@ -34,10 +34,11 @@ BLOCK = 32_768
 LEAST_DEPTH, MOST_DEPTH = 4, 11
 # Pairs compared at once.
 CHUNK = 1 << 20
-# Near duplicates: band keys of a text, share of pairs at the similarity without a common one, and the texts and
-# shingles of a block of candidates.
-BANDS = 32
-MISSED = 1e-5
+# Near duplicates: share of pairs at the similarity that meet in no leaf, lanes that travel with a member of a leaf, nodes
+# of a leaf and of a block, and the texts and shingles of a block of candidates.
+MISSED = 1e-6
+CARRIED = 4
+NEAR_ROWS, NEAR_BLOCK = 1 << 20, 1 << 22
 GROUP_TEXTS, GROUP_SHINGLES = 1024, 1 << 20
 
 
@@ -200,7 +201,7 @@ def _close(home: np.ndarray, guests: np.ndarray, reach: int) -> Iterator[tuple[n
 
 
 def _leaf_links(node: np.ndarray, prints: np.ndarray, role: np.ndarray, band: int, radius: int, reach: int):
-    """Spanning forest of the links of one block pair.
+    """Spanning forest of the links of one block pair; ``band`` is one of the first lane's.
 
     Roles: 0 home, 1 guest from another leaf, 2 home and guest, 3 guest from the leaf itself.
     """
@@ -232,12 +233,18 @@ def _forest(n: int, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u[kept], v[kept], d[kept]
 
 
-def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = None) -> DataFrame:
+def links(
+    nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = None, carried: int | None = None,
+    leaf_rows: int | None = None, block_rows: int | None = None,
+) -> DataFrame:
     """u, v, distance: links of at most ``radius`` bits that keep all components, for ``nodes(node long, print)``.
 
     ``print`` has ``lanes`` longs. With ``reach`` (bits a band may differ in, 0 or 1) at least ``radius // bands``,
-    the default, no link is lost; a smaller reach is a search with misses.
+    the default, no link is lost; a smaller reach is a search with misses. Distances are those of ``carried`` lanes,
+    the band's own and the next; all lanes without it.
     """
+    carried = carried or lanes
+    leaf_rows, block_rows = leaf_rows or LEAF_ROWS, block_rows or BLOCK
     bands = 4 * lanes
     exact = radius // bands
     if reach is None:
@@ -245,7 +252,7 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
     if reach > 1:
         raise ValueError("bands may differ in one bit at most; use more lanes or a smaller radius")
     n = nodes.count()
-    depth = int(min(MOST_DEPTH, max(LEAST_DEPTH, np.ceil(np.log2(max(n, 1) / LEAF_ROWS)))))
+    depth = int(min(MOST_DEPTH, max(LEAST_DEPTH, np.ceil(np.log2(max(n, 1) / leaf_rows)))))
     home, at, to = tree(depth, reach)
     leaves = int(home.max()) + 1
 
@@ -275,10 +282,10 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
     sizes = rows.mapInArrow(count, "leaf long, h long, g long").groupBy("leaf").agg(F.sum("h").alias("h"), F.sum("g").alias("g"))
     home_blocks, guest_blocks = np.ones(bands * leaves, np.int64), np.ones(bands * leaves, np.int64)
     for r in sizes.collect():
-        home_blocks[r["leaf"]] = max(1, -(-r["h"] // BLOCK))
+        home_blocks[r["leaf"]] = max(1, -(-r["h"] // block_rows))
         # Home members of a leaf in several block pairs are guests of all its home blocks too.
-        if max(r["h"], r["g"]) > BLOCK:
-            guest_blocks[r["leaf"]] = -(-(r["h"] + r["g"]) // BLOCK)
+        if max(r["h"], r["g"]) > block_rows:
+            guest_blocks[r["leaf"]] = -(-(r["h"] + r["g"]) // block_rows)
     single = (home_blocks == 1) & (guest_blocks == 1)
 
     def spread(row, leaf, nodes_, own, other, role):
@@ -310,6 +317,7 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
                     r, l, p, _ = spread(split, leaf[~alone], node, guest_blocks, home_blocks, 1)
                     parts.append((r, l, p, np.full(len(r), 3, np.int8)))
                 r, l, p, role = (np.concatenate(x) for x in zip(*parts, strict=True))
+                own = np.ascontiguousarray(prints[:, (band // 4 + np.arange(carried)) % lanes])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(l),
@@ -317,7 +325,7 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
                         pa.array(role),
                         pa.array(node[r]),
                         pa.FixedSizeBinaryArray.from_buffers(
-                            pa.binary(8 * lanes), len(r), [None, pa.py_buffer(np.ascontiguousarray(prints[r]).tobytes())]
+                            pa.binary(8 * carried), len(r), [None, pa.py_buffer(own[r].tobytes())]
                         ).cast(pa.binary()),
                     ],
                     ["leaf", "pair", "role", "node", "print"],
@@ -326,9 +334,9 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = Non
     def meet(key, table):
         node = table["node"].to_numpy()
         raw = b"".join(table["print"].to_pylist())
-        prints = np.frombuffer(raw, np.uint64).reshape(-1, lanes)
+        prints = np.frombuffer(raw, np.uint64).reshape(-1, carried)
         role = table["role"].to_numpy()
-        u, v, d = _leaf_links(node, prints, role, key[0].as_py() // leaves, radius, reach)
+        u, v, d = _leaf_links(node, prints, role, key[0].as_py() // leaves % 4, radius, reach)
         return pa.table({"u": node[u], "v": node[v], "distance": d.astype(np.int32)})
 
     dealt = rows.mapInArrow(deal, "leaf long, pair long, role byte, node long, print binary")
@@ -357,43 +365,44 @@ def classes(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     )
 
 
-def band_keys(hashes: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
-    """``BANDS`` keys of every run of shingles: each the hash of ``rows`` minima, so repeats in a run change nothing.
+def near_settings(similarity: float) -> tuple[int, int]:
+    """Lanes, and radius over the carried ones, that find pairs of shingle sets of this Jaccard index.
 
-    Two sets share a key of one band with probability (Jaccard index) ** rows. Empty runs have keys of their own.
+    Two sets of one size have an angle with cosine 2 s / (1 + s), and every bit of their fingerprints differs with
+    probability angle / pi, on its own. A pair meets where a band differs in at most one bit.
     """
-    out = np.zeros((len(first) - 1, BANDS), np.uint64)
-    full = np.flatnonzero(np.diff(first))
-    halves = (hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32))
-    salts = hashing.mix(np.arange(1, 2 * BANDS * rows + 1, dtype=np.uint64)).astype(np.uint32).reshape(-1, 2)
-    for band in range(BANDS):
-        key = np.zeros(len(full), np.uint64)
-        for i in range(band * rows, (band + 1) * rows):
-            mixed = (halves[i % 2] ^ salts[i, 0]) * (salts[i, 1] | np.uint32(1))
-            if len(full):
-                key = hashing.mix(key ^ np.minimum.reduceat(mixed, first[:-1][full])) + np.uint64(i)
-        out[full, band] = key
-        out[:, band] = hashing.mix(out[:, band] ^ hashing.VALUES[band])
-    return out
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    same = 1 - differ
+    meets = same**BAND_BITS + BAND_BITS * differ * same ** (BAND_BITS - 1)
+    lanes = max(CARRIED, math.ceil(math.log(MISSED) / math.log1p(-meets) / 4)) if meets < 1 else CARRIED
+    bits = 64 * CARRIED
+    return lanes, math.ceil(bits * differ + 6 * math.sqrt(bits * differ * same))
+
 
+def _set_prints(docs: DataFrame, size: int, lanes: int) -> DataFrame:
+    """doc_id, digest, number of shingles and fingerprint of the distinct shingles of every row of ``docs(doc_id, digest, text)``.
 
-def _sketches(docs: DataFrame, size: int, rows: int) -> DataFrame:
-    """doc_id, digest, number of shingles and band keys of every row of ``docs(doc_id, digest, text)``."""
+    Over distinct shingles, repeats in a text change nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in arrow.pieces(batch, "text"):
                 hashes, first = shingle_hashes(words.find(data, offsets, words.VISIBLE), size)
-                flat = band_keys(hashes, first, rows).ravel().view(np.int64)
-                ends = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
+                sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                own = np.concatenate([np.zeros(0, np.uint64), *sets])
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
+                made = [bit_majorities(hashing.mix(own ^ hashing.VALUES[lane]) if lane else own, ends) for lane in range(lanes)]
+                flat = np.stack(made, axis=1).ravel().view(np.int64)
+                places = np.arange(0, len(flat) + 1, lanes, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array(np.diff(first)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(places), pa.array(flat)),
                     ],
-                    ["doc_id", "digest", "n", "keys"],
+                    ["doc_id", "digest", "n", "print"],
                 )
 
     schema = T.StructType(
@@ -401,7 +410,7 @@ def _sketches(docs: DataFrame, size: int, rows: int) -> DataFrame:
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("digest", T.BinaryType()),
             T.StructField("n", T.LongType()),
-            T.StructField("keys", T.ArrayType(T.LongType(), False)),
+            T.StructField("print", T.ArrayType(T.LongType(), False)),
         ]
     )
     return docs.select("doc_id", "digest", "text").mapInArrow(run, schema)
@@ -478,11 +487,9 @@ def _near_links(sets: DataFrame, similarity: float) -> DataFrame:
 
 def text_classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """digest and root of every distinct text of ``docs(doc_id, digest, text)``: equal roots are one class."""
-    # Rows of minima: as many as leave a pair just at the similarity without a common key in under 1 of 100,000 cases.
-    least = 1 - MISSED ** (1 / BANDS)
-    rows = max(1, int(math.log(least) / math.log(similarity))) if similarity < 1 else 8
-    prints = cut(_sketches(docs, size, rows))
-    kinds = prints.groupBy("digest", "doc_id").agg(F.count("*").alias("n_rows"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    lanes, radius = near_settings(similarity)
+    prints = cut(_set_prints(docs, size, lanes))
+    kinds = prints.groupBy("digest", "doc_id").agg(F.count("*").alias("n_rows"), F.first("n").alias("n"), F.first("print").alias("print"))
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     nodes = cut(
         kinds.groupBy("digest")
@@ -490,14 +497,16 @@ def text_classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             F.min(first)["doc_id"].alias("least"),
             F.max("n_rows").alias("n_rows"),
             F.first("n").alias("n"),
-            F.first("keys").alias("keys"),
+            F.first("print").alias("print"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    heads = cut(keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v"))
-    # A link to the first member of each bucket keeps the components of all candidate pairs.
-    edges = keys.join(heads, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    # Texts of one fingerprint are candidates without a search; the first of them is searched.
+    heads = cut(nodes.groupBy("print").agg(F.min("node").alias("v"), F.count("*").alias("n")))
+    found = links(heads.select(F.col("v").alias("node"), "print"), radius, lanes, 1, CARRIED, NEAR_ROWS, NEAR_BLOCK)
+    equal = nodes.select("node", "print").join(heads.where("n > 1").select("print", "v"), "print").where("node <> v")
+    # The forests of the leaves keep the components of all candidate pairs.
+    edges = found.select("u", "v").unionByName(equal.select(F.col("node").alias("u"), "v"))
     roots = cut(graph.components(edges))
     member = nodes.select("node", "digest", "least", "n", "n_rows").join(roots, "node")
     blocks = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES))
@@ -517,10 +526,10 @@ def text_classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every document: classes of texts whose shingle sets have the given Jaccard index.
 
-    Nodes are distinct texts. Candidates share a band key of minima over their shingle sets; every component of
-    candidates is then compared by exact shingle sets, all pairs but those already joined, and only confirmed links
-    make classes. A pair just at ``similarity`` has no common key in less than one of 100,000 cases. A text without
-    words is a copy of any other such text. Defined results for null ids and repeated rows as in ``classes``.
+    Nodes are distinct texts. Candidates are links of their fingerprints, found by the trees of all bands; every component
+    of candidates is then compared by exact shingle sets, all pairs but those already joined, and only confirmed links
+    make classes. A pair just at ``similarity`` is met in no leaf in less than one of 1,000,000 cases (calculated), in
+    up to 3 of 10,000 where texts have as few as five shingles. A text without words is a copy of any other such text. Defined results for null ids and repeated rows as in ``classes``.
     """
     named = docs.select("doc_id", "text").withColumn("digest", suffix_dedup.digest())
     found = cut(text_classes(named, size, similarity))

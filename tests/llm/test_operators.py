@@ -258,6 +258,30 @@ def test_texts_dominated_by_one_shingle_differ(spark):
     assert [got[i].component_id for i in range(len(rows))] == near_wanted(rows) == list(range(8))
 
 
+def test_pipeline_stage_takes_candidates_from_simhash_trees(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(60):
+        # Two sets of 104 shingles with 93 in common: Jaccard 0.81.
+        w = [f"w{rnd.randint(0, 9999)}" for _ in range(108)]
+        rows += [" ".join(w), " ".join([*w[:97], *[f"v{rnd.randint(0, 9999)}" for _ in range(11)]])]
+    asked, links = [], simhash.links
+
+    def watched(nodes, radius, lanes, *more):
+        asked.append((nodes.collect(), radius, lanes))
+        return links(nodes, radius, lanes, *more)
+
+    monkeypatch.setattr(simhash, "links", watched)
+    kept = corpus_pipeline.simhash_near_dedup(spark, table(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(near_wanted(rows))) == list(range(0, 120, 2))
+    [(nodes, radius, lanes)] = asked
+    assert (lanes, radius) == simhash.near_settings(0.8) and len(nodes) == 120
+    words_ = rows[0].split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words_[i : i + 5]), 42) for i in range(104)}
+    first = sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+    assert first in {r["print"][0] % (1 << 64) for r in nodes}
+
+
 def test_stages_judge_rows_of_null_and_repeated_ids(spark, tmp_path):
     rnd = random.Random(8)
     some = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(100)) for _ in range(6)]
