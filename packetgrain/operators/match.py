@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetgrain.operators.ordering import running
-from packetgrain.session import small
+from packetgrain.operators.ordering import fits, running
+from packetgrain.session import cut, small
 
 MINUTE_US = 60_000_000
 HOUR_US = 3_600_000_000
@@ -212,13 +212,12 @@ def dyadic_pieces(start: Column, end: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)))
 
 
-def _time_hits(packets: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """First labelled span, by file order, that covers each packet of the key.
+def _time_hits(asked: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """First span, by file order, that covers each second of ``asked(keys…, t)``; null where none does.
 
     Spans are cut into aligned blocks and the first span of every block is kept; a second
     then looks up the one block of each size it lies in. However many spans cover a
-    second, it meets at most one row per block size, so no pairs are listed. Packets of
-    one key and second are the same question and are asked once.
+    second, it meets at most one row per block size, so no pairs are listed.
     """
     blocks = (
         spans.select(*keys, "cat", "ordinal", F.inline(dyadic_pieces(F.col("st"), F.col("lt"))))
@@ -229,16 +228,48 @@ def _time_hits(packets: DataFrame, spans: DataFrame, keys: list[str]) -> DataFra
     if not used:
         used = [0]
     levels = F.explode(F.array(*[F.lit(v) for v in sorted(used)])).alias("level")
-    asked = packets.select(*keys, "t").distinct().select(*keys, "t", levels)
     block = F.call_function("shiftright", F.col("t"), F.col("level")).alias("block")
     return (
-        asked.select(*keys, "t", "level", block)
-        .join(blocks, [*keys, "level", "block"])
+        asked.select(*keys, "t", levels).select(*keys, "t", "level", block)
+        .join(blocks, [*keys, "level", "block"], "left")
         .groupBy(*keys, "t")
         .agg(F.min_by("cat", "ordinal").alias("cat"))
     )
 
 
+# Before any second a packet or a span may have.
+BEFORE = -(1 << 62)
+
+
+def _steps(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t, any, cat: what holds for a key from ``t`` on. ``any`` is its first span's category, in its first row alone;
+    ``cat`` that of the first span that covers the seconds up to the next row."""
+    ends = spans.select(*keys, F.explode(F.array(F.col("st").cast("long"), F.col("lt").cast("long") + 1)).alias("t")).distinct()
+    turns = _time_hits(ends, spans, keys)
+    first = spans.groupBy(*keys).agg(F.min_by("cat", "ordinal").alias("any")).withColumn("t", F.lit(BEFORE))
+    return turns.unionByName(first, allowMissingColumns=True).select(*keys, "t", "any", "cat")
+
+
+def _span_facts(packets: DataFrame, steps: DataFrame, keys: list[str], name: str, within: bool | None) -> DataFrame:
+    """``packets`` with the key's first category and that at the packet's second, in one ordered pass over the key.
+
+    Only the ends of spans are looked up in blocks; packets take what the last end before them left.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    turns = steps.where(known).select(*keys, "t", F.col("any").alias("_any"), "cat", F.lit(0).alias("_side"))
+    both = packets.where(known).withColumn("_side", F.lit(1)).unionByName(turns, allowMissingColumns=True)
+    last = F.when(F.col("_side") == 0, F.struct("t", "cat"))
+    seen = running(
+        both, keys, [F.col("t"), F.col("_side")], {"_first": ("max", F.col("_any")), "_last": ("max", last)}, within=within
+    )
+    found = seen.where("_side = 1").select(
+        *packets.columns, F.col("_first").alias(f"{name}_any"), F.col("_last.cat").alias(f"{name}_time")
+    )
+    return found.unionByName(packets.where(~known), allowMissingColumns=True)
+
+
 def flow_fields(parsed: DataFrame, ts: str = "ts_us") -> DataFrame:
     """Parsed packets under the names and types of the ground-truth flows, for ``label_packets``."""
     return parsed.withColumns({
@@ -258,26 +289,27 @@ def label_packets(
     time for a capture when at least five of its packets hit a 5-tuple span. ``hits`` adds
     which lookups found something, for ``diagnostics``.
     """
+    flows = cut(flows)
     spans = both_directions(flows)
     pairs = flows.select(
         pair_key("srcip", "dstip").alias("pair"),
         (F.col("stime") - 1).alias("st"), (F.col("ltime") + 1).alias("lt"), "cat", "ordinal",
     )
-    p = packets.withColumn("pair", pair_key("srcip", "dstip"))
-    five_first = spans.groupBy(*FIVE).agg(F.min_by("cat", "ordinal").alias("five_any"))
-    pair_first = pairs.groupBy("pair").agg(F.min_by("cat", "ordinal").alias("pair_any"))
-    five_time = _time_hits(p, spans, FIVE).withColumnRenamed("cat", "five_time")
-    pair_time = _time_hits(p, pairs, ["pair"]).withColumnRenamed("cat", "pair_time")
-    ips = attacker_categories(flows)
+    # A packet without addresses has no pair.
+    some = F.col("srcip").isNotNull() | F.col("dstip").isNotNull()
+    p = packets.withColumn("pair", F.when(some, pair_key("srcip", "dstip")))
+    pair_steps = cut(_steps(pairs, ["pair"]))
+    # Packets of one 5-tuple are packets of one pair, so one answer holds for both passes.
+    within = fits(p.select("pair").unionByName(pair_steps.select("pair")).where("pair IS NOT NULL"), ["pair"]) or None
+    ips = cut(attacker_categories(flows))
+    ips = F.broadcast(ips) if small(ips) else ips
     joined = (
-        p.join(five_first, FIVE, "left")
-        .join(five_time, [*FIVE, "t"], "left")
-        .join(pair_first, "pair", "left")
-        .join(pair_time, ["pair", "t"], "left")
+        _span_facts(_span_facts(p, _steps(spans, FIVE), FIVE, "five", within), pair_steps, ["pair"], "pair", within)
         .join(ips.select(F.col("ip").alias("srcip"), F.col("cat").alias("src_cat")), "srcip", "left")
         .join(ips.select(F.col("ip").alias("dstip"), F.col("cat").alias("dst_cat")), "dstip", "left")
     )
     if mode == "auto":
+        joined = cut(joined.drop(*{"pair"} - set(packets.columns)))
         votes = joined.groupBy(*capture).agg(
             (F.count("five_time") >= 5).alias("use_time")
         )
