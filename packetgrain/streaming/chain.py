@@ -123,12 +123,12 @@ def _records(found: DataFrame, product: str, category: str, detector: str) -> Da
 
 def batch(frames: DataFrame, s: Settings, score: Callable[[], Column], named: tuple[str, str, str]) -> DataFrame:
     """Records of ``frames(capture, packet_index, ts_us, data)``; ``named`` is product, category and detector."""
-    key = windows.idle_split(packets.parse(frames).withColumn("flow", packets.flow_key()), FLOW, s.idle_us)
-    begun = key.groupBy(*FLOW, "life").agg(F.min("ts_us").alias("life_us"))
-    lives = cut(key.join(begun, [*FLOW, "life"]).select("capture", "packet_index", "ts_us", "flow", "life_us", "data", "is_syn"))
+    # Frames are parsed and masked once; every later step reads what was written.
+    parsed = cut(_masked(frames).select("capture", "packet_index", "ts_us", "flow", "is_syn", "data", "_src", "_dst", "_sp", "_dp", "_pay", "_tls"))
+    lives = windows.idle_split(parsed, FLOW, s.idle_us, begun="life_us").drop("is_syn", "life")
     # A life's TLS stream is its own.
-    sent = lives.drop("is_syn").withColumn("_own", F.col("capture")).withColumn("capture", F.concat_ws("/", "capture", "life_us"))
-    masked = tls.mask(sent).withColumn("capture", F.col("_own")).drop("_own")
+    sent = lives.withColumn("_own", F.col("capture")).withColumn("capture", F.concat_ws("/", "capture", "life_us"))
+    masked = cut(tls.mask_records(sent).withColumn("capture", F.col("_own")).select(*FLOW, "packet_index", "ts_us", "life_us", "data"))
     by = [*FLOW, "life_us"]
     pieces = windows.packet_windows(
         masked, by, [F.col("ts_us"), F.col("packet_index")], s.width, done=["ts_us", "packet_index"]
@@ -145,9 +145,9 @@ def batch(frames: DataFrame, s: Settings, score: Callable[[], Column], named: tu
         named_ = out.withColumnRenamed("level", f"{key}_level").withColumnRenamed("alarm", f"{key}_alarm")
         return named_.select(*rows.columns, f"{key}_level", f"{key}_alarm").unionByName(plain)
 
-    found = _alerts(levels(levels(scored, "pair", s.flow_h), "target", s.target_h), s)
+    found = _alerts(levels(cut(levels(scored, "pair", s.flow_h)), "target", s.target_h), s)
     bucket = F.floor(F.col("ts_us") / s.syn_bucket_us)
-    floods = lives.where("is_syn").groupBy("capture", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > s.syn_limit)
+    floods = parsed.where("is_syn").groupBy("capture", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > s.syn_limit)
     rate = floods.select(*_flood(F.col("capture"), (F.col("b") + 1) * s.syn_bucket_us, F.col("n")))
     alerts = found.select(*ALERT).unionByName(rate.select(*ALERT))
     order = F.struct("tie", "tie_2").alias("alert_id")
