@@ -177,8 +177,9 @@ class _Flows(live._Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = live._ordered(rows, ["ts_us", "packet_index"])
-        if self.state.exists():
-            rest, marks, number, begun, last, *record = self.state.get()[:8]
+        held = self.held()
+        if held:
+            rest, marks, number, begun, last, *record = held[:8]
             rest, marks = bytearray(rest), np.frombuffer(marks, np.int64).reshape(-1, 2).tolist()
         else:
             last = None
@@ -227,7 +228,7 @@ class _Level(live._Expiring):
         if pdf[self.key].isna().all():
             yield pdf.assign(**{f"{self.key}_level": 0.0, f"{self.key}_alarm": False})
             return
-        level, last = self.state.get()[:2] if self.state.exists() else (0.0, None)
+        level, last = (self.held() or (0.0, None))[:2]
         out = []
         for ts, score in zip(pdf["done_ts_us"].tolist(), pdf["score"].tolist()):
             if last is not None and ts - last > self.ttl_us:

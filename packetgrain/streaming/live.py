@@ -123,7 +123,9 @@ def byte_alerts(scores: DataFrame, calibration: DataFrame, keys: list[str]) -> D
 
 def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     """A key's rows of one micro-batch, whose size the source's rate limit bounds."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
+    parts = list(rows)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return pdf.iloc[np.lexsort([pdf[c].to_numpy() for c in reversed(order)])] if len(pdf) > 1 else pdf
 
 
 class _Expiring(StatefulProcessor):
@@ -136,12 +138,18 @@ class _Expiring(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState(self.name, self.layout)
 
+    def held(self) -> tuple | None:
+        """What the key has left; asked once for the rows of a key, as every question is a message to the state store."""
+        self._held = self.state.get()
+        return self._held
+
     def keep(self, *values, until_us: int) -> None:
-        """``values`` until the watermark has passed ``until_us``; the last field is the timer."""
-        if self.state.exists():
-            self.handle.deleteTimer(self.state.get()[-1])
+        """``values`` until the watermark has passed ``until_us``, after ``held``; the last field is the timer."""
         timer = until_us // 1000 + 1
-        self.handle.registerTimer(timer)
+        if self._held is None or self._held[-1] != timer:
+            if self._held is not None:
+                self.handle.deleteTimer(self._held[-1])
+            self.handle.registerTimer(timer)
         self.state.update((*values, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -162,7 +170,7 @@ class _Levels(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["ts_us", "event_id"])
-        level, last = self.state.get()[:2] if self.state.exists() else (0.0, None)
+        level, last = (self.held() or (0.0, None))[:2]
         times, steps = pdf["ts_us"].to_numpy(), pdf["step"].tolist()
         fresh = np.flatnonzero(np.diff(times, prepend=times[0] if last is None else last) > self.ttl_us)
         out: list[float] = []
@@ -218,7 +226,8 @@ class _Spans(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["ts_us", self.tie])
-        held = np.frombuffer(self.state.get()[0], np.int64) if self.state.exists() else np.zeros(0, np.int64)
+        left = self.held()
+        held = np.frombuffer(left[0], np.int64) if left else np.zeros(0, np.int64)
         times = pdf["ts_us"].to_numpy(np.int64)
         # A row counts what is held up to its own time, itself and the rows before it.
         first = times - self.span_us
@@ -318,7 +327,8 @@ class _Bans(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["ts_us", "tie"])
-        ban = tuple(self.state.get()[:4]) if self.state.exists() else None
+        left = self.held()
+        ban = tuple(left[:4]) if left else None
         out = []
         for ts, ttl, reason, kind in pdf[["ts_us", "ban_ttl", "reason", "type"]].itertuples(index=False):
             ban = incidents.banned(ban, int(ts), int(ttl), kind)
