@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from packetgrain.session import cut
@@ -27,8 +27,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # The smaller neighbours of a node are tied to the smallest of them, and so is the node.
         tied = large.join(least, "u")
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        stars = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        # Counted while they are written.
+        seen = Observation()
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total")
+        stars = cut(stars.observe(seen, F.count("*").alias("n"), total))
+        now = seen.get
         if now == before:
             break
         before = now

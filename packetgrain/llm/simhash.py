@@ -8,8 +8,10 @@ home in one leaf and visits every leaf the triangle bound does not exclude, so e
 some band; there it is compared over all bits. The trees depend on their depth alone, never on data.
 
 A leaf returns a minimum spanning forest of its links, at most one link per member: links of every radius keep
-their components, and no group is expanded to all pairs. A leaf with more than ``BLOCK`` members is dealt as pairs
-of blocks. Components are found over the links in Spark.
+their components, and no group is expanded to all pairs. Where only components are asked for, each member is tied to
+the smallest node of its component instead: a group that meets in many leaves has the same ties there, not a forest
+of its own in each. A leaf with more than ``BLOCK`` members is dealt as pairs of blocks. Components are found over
+the links in Spark.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,15 +235,30 @@ def _forest(n: int, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u[kept], v[kept], d[kept]
 
 
+def _ties(node: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links between the places ``u`` and ``v``: every linked node but the smallest of its component, and that one."""
+    names, at = np.unique(np.concatenate([node[u], node[v]]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while (label[x] != label[y]).any():
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+    member = np.flatnonzero(label != np.arange(len(names)))
+    return names[member], names[label[member]]
+
+
 def links(
     nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = None, carried: int | None = None,
-    leaf_rows: int | None = None, block_rows: int | None = None,
+    leaf_rows: int | None = None, block_rows: int | None = None, ties: bool = False,
 ) -> DataFrame:
     """u, v, distance: links of at most ``radius`` bits that keep all components, for ``nodes(node long, print)``.
 
     ``print`` has ``lanes`` longs. With ``reach`` (bits a band may differ in, 0 or 1) at least ``radius // bands``,
     the default, no link is lost; a smaller reach is a search with misses. Distances are those of ``carried`` lanes,
-    the band's own and the next; all lanes without it.
+    the band's own and the next; all lanes without it. With ``ties`` only u, v: nodes and
+    smaller ones of their component, about one row per node. They keep the components of this radius, and are no links.
     """
     carried = carried or lanes
     leaf_rows, block_rows = leaf_rows or LEAF_ROWS, block_rows or BLOCK
@@ -337,10 +354,17 @@ def links(
         prints = np.frombuffer(raw, np.uint64).reshape(-1, carried)
         role = table["role"].to_numpy()
         u, v, d = _leaf_links(node, prints, role, key[0].as_py() // leaves % 4, radius, reach)
+        if ties:
+            return pa.table(dict(zip(("u", "v"), _ties(node, u, v), strict=True)))
         return pa.table({"u": node[u], "v": node[v], "distance": d.astype(np.int32)})
 
     dealt = rows.mapInArrow(deal, "leaf long, pair long, role byte, node long, print binary")
-    return dealt.groupBy("leaf", "pair").applyInArrow(meet, "u long, v long, distance int")
+    found = dealt.groupBy("leaf", "pair").applyInArrow(meet, "u long, v long" + ", distance int" * (not ties))
+    if not ties:
+        return found
+    # A node has one tie for each leaf (and block pair) it is in. They and the node itself are tied to the smallest of them.
+    tied = found.withColumn("least", F.min("v").over(Window.partitionBy("u")))
+    return tied.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
 
 
 # Operators
@@ -355,7 +379,7 @@ def classes(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """
     prints = cut(fingerprints(docs, size).select("doc_id", F.col("print")[0].alias("node")))
     nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least")))
-    found = links(nodes.select("node", F.array("node").alias("print")), radius)
+    found = links(nodes.select("node", F.array("node").alias("print")), radius, ties=True)
     roots = graph.components(found)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -467,7 +491,8 @@ def _confirmed(block: np.ndarray, flat: np.ndarray, first: np.ndarray, similarit
 
 
 def _near_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v: confirmed links within every root of ``sets(node, root, blocks, shingles)``, dealt as pairs of blocks."""
+    """u, v: members of the components of confirmed links within every root of ``sets(node, root, blocks, shingles)``, each
+    with the smallest node of its component. A root is dealt as pairs of blocks."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = sets.withColumn("block", block).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
@@ -480,7 +505,7 @@ def _near_links(sets: DataFrame, similarity: float) -> DataFrame:
         size = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
         first = np.concatenate([[0], np.cumsum(size)])
         pairs = np.array(_confirmed(block, column.flatten().to_numpy(), first, similarity), np.int64).reshape(-1, 2)
-        return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
+        return pa.table(dict(zip(("u", "v"), _ties(node, pairs[:, 0], pairs[:, 1]), strict=True)))
 
     return dealt.groupBy("root", "low", "high").applyInArrow(meet, "u long, v long")
 
@@ -503,10 +528,10 @@ def text_classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     )
     # Texts of one fingerprint are candidates without a search; the first of them is searched.
     heads = cut(nodes.groupBy("print").agg(F.min("node").alias("v"), F.count("*").alias("n")))
-    found = links(heads.select(F.col("v").alias("node"), "print"), radius, lanes, 1, CARRIED, NEAR_ROWS, NEAR_BLOCK)
+    found = links(heads.select(F.col("v").alias("node"), "print"), radius, lanes, 1, CARRIED, NEAR_ROWS, NEAR_BLOCK, True)
     equal = nodes.select("node", "print").join(heads.where("n > 1").select("print", "v"), "print").where("node <> v")
-    # The forests of the leaves keep the components of all candidate pairs.
-    edges = found.select("u", "v").unionByName(equal.select(F.col("node").alias("u"), "v"))
+    # The ties of the leaves keep the components of all candidate pairs.
+    edges = found.unionByName(equal.select(F.col("node").alias("u"), "v"))
     roots = cut(graph.components(edges))
     member = nodes.select("node", "digest", "least", "n", "n_rows").join(roots, "node")
     blocks = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES))

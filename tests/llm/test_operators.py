@@ -282,6 +282,53 @@ def test_pipeline_stage_takes_candidates_from_simhash_trees(spark, monkeypatch):
     assert first in {r["print"][0] % (1 << 64) for r in nodes}
 
 
+@pytest.mark.parametrize("texts_", [1024, 40])
+def test_edges_of_one_large_near_group_grow_with_its_members(spark, monkeypatch, texts_):
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", texts_)
+    rnd = random.Random(12)
+    base = [f"w{rnd.randint(0, 9999)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rnd.randrange(150)] = f"v{i}"
+        rows.append(" ".join(w))
+    rows += [" ".join(f"x{rnd.randint(0, 9999)}" for _ in range(80)) for _ in range(20)]
+    seen, components = [], simhash.graph.components
+
+    def watched(edges):
+        seen.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash.graph, "components", watched)
+    got = by_id(simhash.near_duplicates(table(spark, rows)))
+    assert [got[i].component_id for i in range(320)] == near_wanted(rows) == [0] * 300 + list(range(300, 320))
+    # Candidates: about one edge a member, not one for each of 44 bands. Confirmed: one a member and pair of blocks it is in.
+    assert 299 <= seen[0] <= 450 and 299 <= seen[1] <= 300 * -(-300 // texts_)
+    got = by_id(simhash.classes(table(spark, rows)))
+    assert seen[2] <= 450 and len({got[i].component_id for i in range(300, 320)}) == 20
+
+
+@pytest.mark.parametrize("block", [10, 1 << 15])
+def test_ties_keep_the_components_of_links(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(15)
+    # Chains: each fingerprint is up to three bits from the one before it, so their ends are far apart.
+    prints = []
+    for _ in range(12):
+        x = int(rng.integers(0, 1 << 63))
+        for _ in range(20):
+            prints.append(x)
+            x ^= sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+    prints = np.unique(np.array(prints, np.uint64)).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, [p]) for i, p in enumerate(prints)], "node long, print array<long>")
+    ties = [tuple(r) for r in simhash.links(nodes, 4, ties=True).collect()]
+    assert all(v < u for u, v in ties)
+    mask, tied = (1 << 64) - 1, {frozenset(t) for t in ties}
+    want = linked(len(prints), lambda i, j: ((prints[i] ^ prints[j]) & mask).bit_count() <= 4)
+    assert linked(len(prints), lambda i, j: frozenset((i, j)) in tied) == want
+    assert 1 < len(set(want)) <= 12
+
+
 def test_stages_judge_rows_of_null_and_repeated_ids(spark, tmp_path):
     rnd = random.Random(8)
     some = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(100)) for _ in range(6)]
