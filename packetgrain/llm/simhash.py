@@ -249,6 +249,12 @@ def _ties(node: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, n
     return names[member], names[label[member]]
 
 
+def _least_ties(found: DataFrame) -> DataFrame:
+    """For ties u, v, one for each leaf or pair of blocks that ``u`` is in: all of them and ``u`` tied to the smallest."""
+    tied = found.withColumn("least", F.min("v").over(Window.partitionBy("u")))
+    return tied.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
+
+
 def links(
     nodes: DataFrame, radius: int, lanes: int = 1, reach: int | None = None, carried: int | None = None,
     leaf_rows: int | None = None, block_rows: int | None = None, ties: bool = False,
@@ -362,9 +368,7 @@ def links(
     found = dealt.groupBy("leaf", "pair").applyInArrow(meet, "u long, v long" + ", distance int" * (not ties))
     if not ties:
         return found
-    # A node has one tie for each leaf (and block pair) it is in. They and the node itself are tied to the smallest of them.
-    tied = found.withColumn("least", F.min("v").over(Window.partitionBy("u")))
-    return tied.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
+    return _least_ties(found)
 
 
 # Operators
@@ -507,7 +511,7 @@ def _near_links(sets: DataFrame, similarity: float) -> DataFrame:
         pairs = np.array(_confirmed(block, column.flatten().to_numpy(), first, similarity), np.int64).reshape(-1, 2)
         return pa.table(dict(zip(("u", "v"), _ties(node, pairs[:, 0], pairs[:, 1]), strict=True)))
 
-    return dealt.groupBy("root", "low", "high").applyInArrow(meet, "u long, v long")
+    return _least_ties(dealt.groupBy("root", "low", "high").applyInArrow(meet, "u long, v long"))
 
 
 def text_classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:

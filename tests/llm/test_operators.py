@@ -308,6 +308,25 @@ def test_edges_of_one_large_near_group_grow_with_its_members(spark, monkeypatch,
     assert seen[2] <= 450 and len({got[i].component_id for i in range(300, 320)}) == 20
 
 
+def test_confirmed_edges_of_a_group_dealt_as_blocks_grow_with_its_members(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", 20)
+    rnd = random.Random(16)
+    base = [f"w{rnd.randint(0, 9999)}" for _ in range(150)]
+    seen, components = [], simhash.graph.components
+
+    def watched(edges):
+        seen.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash.graph, "components", watched)
+    for n in (120, 240):
+        rows = [" ".join([*base[: i % 150], f"v{i}", *base[i % 150 + 1 :]]) for i in range(n)]
+        got = by_id(simhash.near_duplicates(table(spark, rows)))
+        assert {got[i].component_id for i in range(n)} == {0}
+    # A member is in 6 and 12 pairs of blocks, and is tied once; so are the smallest nodes of the pairs, in a block about four.
+    assert 119 <= seen[1] <= 2 * 120 and 239 <= seen[3] <= 2 * 240, seen
+
+
 @pytest.mark.parametrize("block", [10, 1 << 15])
 def test_ties_keep_the_components_of_links(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
